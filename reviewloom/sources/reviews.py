@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.functions.sentiment import MAX_LEXICON
+from reviewloom.params import Params
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
@@ -36,7 +37,11 @@ TABLE_SCHEMAS = {
     "top_terms_by_brand": _schema(brand=_S, rank=_L, term=_S, count=_L),
 }
 
-CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
+# With a null marker no field can hold, an empty field is null and a quoted empty field is "".
+CSV_READ = {
+    "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False,
+    "nullValue": chr(0), "emptyValue": "",
+}
 
 
 def load_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REVIEW_SCHEMA) -> DataFrame:
@@ -66,3 +71,15 @@ def read_lexicon(spark: SparkSession, path: str) -> dict[str, float]:
     if len(rows) > MAX_LEXICON:
         raise ValueError(f"lexicon has more than {MAX_LEXICON} entries")
     return {r.word: r.valence for r in rows}
+
+
+def dictionary_table(spark: SparkSession, params: Params) -> DataFrame:
+    """The keyword dictionaries as rows ``group_name, category, category_ord, keyword``."""
+    groups = {"aspect": params.aspects, "emotion": params.emotions}
+    rows = [
+        (group, category, i, keyword)
+        for group, categories in groups.items()
+        for i, (category, keywords) in enumerate(categories.items(), start=1)
+        for keyword in keywords
+    ]
+    return spark.createDataFrame(rows, "group_name string, category string, category_ord long, keyword string")
