@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.params import Params
+from reviewloom.sources.reviews import spread_small_input
 
 REVIEW_COLUMNS = [
     "doc_id AS row_ix",
@@ -63,4 +64,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*REVIEW_COLUMNS)
+    return spread_small_input(table(spark, sf_dir, "documents")).selectExpr(*REVIEW_COLUMNS)

@@ -242,17 +242,22 @@ def compose_full_text(spark, sf_dir):
 
 @query
 def parse_rating(spark, sf_dir):
-    return standardised(spark, sf_dir, "reviewer_rating")
+    return raw(spark, sf_dir).select("row_ix", tx.parse_rating(F.col("reviewer_rating")).alias("reviewer_rating"))
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = tx.parse_date(F.col("reviewer_published_date"), P.date_formats)
+    return raw(spark, sf_dir).select("row_ix", when.alias("review_date"))
 
 
 @query
 def parse_date(spark, sf_dir):
-    return standardised(spark, sf_dir, F.date_format("review_date", "yyyy-MM-dd HH:mm:ss").alias("review_date"))
+    return dated(spark, sf_dir).select("row_ix", F.date_format("review_date", "yyyy-MM-dd HH:mm:ss").alias("review_date"))
 
 
 @query
 def derive_month(spark, sf_dir):
-    return standardised(spark, sf_dir, "review_month")
+    return dated(spark, sf_dir).select("row_ix", tx.derive_month(F.col("review_date")).alias("review_month"))
 
 
 @query

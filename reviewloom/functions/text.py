@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewloom import params as P
 
-# Java's \s is ASCII only; this is the Unicode set plus the four separators U+001C..U+001F.
-WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# Java's \s is ASCII only; this is the Unicode set plus the separators U+001C..U+001F, split by
+# whether a character fits in Latin-1, for which the pattern engine uses a bit table.
+WHITESPACE_LATIN1 = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0]+"
+WHITESPACE_BEYOND = r"[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITESPACE = WHITESPACE_LATIN1[:-2] + WHITESPACE_BEYOND[1:] + "+"
 
 
 def clean_newlines(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "\r\n", "  ")
+    plain = F.coalesce(text, F.lit(""))
+    return F.replace(F.replace(plain, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
 
 
 def clean_mojibake(text: Column) -> Column:
@@ -23,12 +30,15 @@ def clean_mojibake(text: Column) -> Column:
     """
     latin1 = F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", ""), "ISO-8859-1")
     repaired = F.replace(F.make_valid_utf8(latin1.cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
-    marked = text.rlike(f"[{P.MOJIBAKE_MARKS}]")
+    marked = reduce(or_, [text.contains(mark) for mark in P.MOJIBAKE_MARKS])
     return F.when(marked, F.coalesce(F.nullif(repaired, F.lit("")), text)).otherwise(text)
 
 
 def clean_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
+    collapsed = F.when(text.rlike(WHITESPACE_BEYOND), F.regexp_replace(text, WHITESPACE, " ")).otherwise(
+        F.regexp_replace(text, WHITESPACE_LATIN1, " ")
+    )
+    return F.trim(collapsed)
 
 
 def redact_email(text: Column) -> Column:
@@ -73,8 +83,9 @@ def derive_month(when: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    trimmed = clean_whitespace(text)
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " "))).cast("long")
+    """Words of a text whose whitespace is already collapsed: its spaces plus one."""
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def quote_excerpt(text: Column, length: int = 600) -> Column:

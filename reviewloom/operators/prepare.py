@@ -16,9 +16,13 @@ DEDUPE_KEYS = ["brand", "reviewer_name", "review_full_text"]
 
 def clean_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add ``{out: in}`` cleaned and redacted.  One projection per step: a step that reads its
-    input twice then reads a value, not the expression of all steps before it."""
+    input twice then reads a value, not the expression of all steps before it.
+
+    Whitespace is collapsed once, before redaction: a mask replaces text that neither starts nor
+    ends with whitespace, so masking leaves nothing to collapse.
+    """
     df = df.withColumns({out: tx.clean_newlines(F.col(source)) for out, source in columns.items()})
-    for step in (tx.clean_mojibake, tx.clean_whitespace, tx.redact_email, tx.redact_phone, tx.clean_whitespace):
+    for step in (tx.clean_mojibake, tx.clean_whitespace, tx.redact_email, tx.redact_phone):
         df = df.withColumns({out: step(F.col(out)) for out in columns})
     return df
 

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from reviewloom.operators.prepare import order_key
 
 
+def exact_sum(score: Column) -> Column:
+    """Sum of scores in decimals: the same in whatever order rows arrive, retries included."""
+    return F.sum(score.cast("decimal(20,10)"))
+
+
+def exact_mean(score: Column) -> Column:
+    return F.try_divide(exact_sum(score).cast("double"), F.count(score))
+
+
 def zero_fill(df: DataFrame, value_cols: list[str], brand_order: list[str], measures: dict[str, "callable"]) -> DataFrame:
     """Every declared brand x every value seen, with ``measures[name](is_this_brand)`` aggregated.
 
@@ -61,13 +70,15 @@ def brand_rows(df: DataFrame, brand_order: list[str]) -> DataFrame:
 def brand_summary(df: DataFrame, brand_order: list[str]) -> DataFrame:
     """Count, mean and exact median tokens, mean compound.  The median is taken over the
     histogram of token counts, which is small however many reviews a brand has."""
-    histogram = df.groupBy("brand", "token_count").agg(F.count("*").alias("n"), F.sum("compound").alias("s"))
+    histogram = df.groupBy("brand", "token_count").agg(
+        F.count("*").alias("n"), exact_sum(F.col("compound")).alias("s")
+    )
     n = F.sum("n")
     per_brand = histogram.groupBy("brand").agg(
         n.alias("n_reviews"),
         (F.sum(F.col("n") * F.col("token_count")) / n).alias("mean_tokens"),
         F.percentile("token_count", 0.5, F.col("n")).alias("median_tokens"),
-        (F.sum("s") / n).alias("mean_compound"),
+        (F.sum("s").cast("double") / n).alias("mean_compound"),
     )
     out = brand_rows(per_brand, brand_order).orderBy("brand_ord")
     return out.select("brand", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"), "mean_tokens", "median_tokens", "mean_compound")
@@ -100,7 +111,7 @@ def aspect_prevalence(df: DataFrame, brand_order: list[str]) -> DataFrame:
 def monthly_sentiment(df: DataFrame, brand_order: list[str]) -> DataFrame:
     """Mean compound and count by brand and month; undated reviews are left out."""
     dated = df.filter(F.col("review_date").isNotNull())
-    measures = {"n_reviews": F.count_if, "mean_compound": lambda here: F.avg(F.when(here, F.col("compound")))}
+    measures = {"n_reviews": F.count_if, "mean_compound": lambda here: exact_mean(F.when(here, F.col("compound")))}
     out = zero_fill(dated, ["review_month"], brand_order, measures)
     return out.orderBy("brand_ord", "review_month").select("brand", "review_month", "mean_compound", "n_reviews")
 
@@ -162,7 +173,7 @@ def brand_summary_export(df: DataFrame) -> DataFrame:
     per_brand = df.filter(F.col("brand").isNotNull()).groupBy("brand").agg(
         F.count("*").alias("n_reviews"),
         F.avg("reviewer_rating").alias("mean_rating"),
-        F.avg("compound").alias("mean_sentiment"),
+        exact_mean(F.col("compound")).alias("mean_sentiment"),
         *[F.count_if(is_label(x)).alias(f"n_{x}") for x in labels],
     )
     total = sum((F.col(f"n_{x}") for x in labels[1:]), F.col(f"n_{labels[0]}"))

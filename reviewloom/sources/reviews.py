@@ -56,6 +56,13 @@ def load_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: T
     return spark.read.options(**CSV_READ).schema(plain).csv(path).withColumn("row_ix", F.monotonically_increasing_id())
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer files than there are cores.  A large input
+    has many more files than that, and is left as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def load_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """One result table written by ``sources.writers``, read back under its declared schema."""
     return spark.read.options(**CSV_READ).schema(schema or TABLE_SCHEMAS[name]).csv(f"{folder}/{name}")
