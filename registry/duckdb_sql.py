@@ -292,9 +292,9 @@ def ctfidf(prefix: str, topic: str) -> dict[str, str]:
                                ORDER BY f_all DESC, term LIMIT {P.max_features}""",
         f"{prefix}_count": f"SELECT * FROM {prefix}_count_all JOIN {prefix}_total USING (term)",
         f"{prefix}_length": f"SELECT topic_id, sum(f) AS f_topic FROM {prefix}_count GROUP BY topic_id",
-        f"{prefix}_weight": f"""SELECT topic_id, term, f, ln(1 + (SELECT floor(avg(f_topic)) FROM {prefix}_length) / f_all) AS idf,
-                                f / f_topic * ln(1 + (SELECT floor(avg(f_topic)) FROM {prefix}_length) / f_all) AS weight
-                                FROM {prefix}_count JOIN {prefix}_length USING (topic_id)""",
+        f"{prefix}_mean": f"""SELECT floor((SELECT sum(f_topic) FROM {prefix}_length) / (SELECT count(DISTINCT {topic}) FROM given)) AS a""",
+        f"{prefix}_weight": f"""SELECT topic_id, term, f, ln(1 + a / f_all) AS idf, f / f_topic * ln(1 + a / f_all) AS weight
+                                FROM {prefix}_count JOIN {prefix}_length USING (topic_id) CROSS JOIN {prefix}_mean""",
         f"{prefix}_ranked": f"""SELECT topic_id, term, weight, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term) AS rank
                                 FROM {prefix}_weight QUALIFY rank <= {P.top_words}""",
         f"{prefix}_label": f"""SELECT topic_id, string_agg(term, ' | ' ORDER BY rank) AS topic_label

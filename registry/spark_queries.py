@@ -396,8 +396,7 @@ def dict_top_category(spark, sf_dir):
 def lda_fit(spark, sf_dir):
     """The fitted topic-term matrix, in long form."""
     s = study(spark, sf_dir)
-    model, terms = s.lda
-    return rounded(tl.lda_topic_terms(s.tokens, model, terms, len(terms)))
+    return rounded(tl.lda_topic_terms(spark, s.lda, s.terms, len(s.terms)))
 
 
 @query

@@ -6,17 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.tokens import feature_terms
-from reviewloom.operators.topics_lda import count_vectors, joined_terms, topk_terms_per_topic
-from reviewloom.params import Params
+from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
 from reviewloom.session import materialise
 
 BLOCK = 1024  # rows compared with the candidates at a time inside a task
@@ -25,15 +23,14 @@ BLOCK = 1024  # rows compared with the candidates at a time inside a task
 # --- embedding -------------------------------------------------------------------------
 
 
-def tfidf_vectors(tokens: DataFrame, params: Params) -> DataFrame:
-    """``row_ix, tfidf``: the weights of ``operators.tokens.tfidf`` as sparse vectors, row by row."""
-    features = feature_terms(tokens, params).orderBy("term_ix").select("term", "df").collect()  # <= max_features
-    if not features:
-        raise ValueError("no term is frequent enough; lower min_df")
-    n = tokens.count()
-    idf = Vectors.dense([float(np.log((1 + n) / (1 + r.df)) + 1) for r in features])
-    counted = count_vectors(tokens, [r.term for r in features])
-    weighted = ElementwiseProduct(scalingVec=idf, inputCol="counts", outputCol="weighted").transform(counted)
+def tfidf_vectors(counts: DataFrame, doc_freq: list[int]) -> DataFrame:
+    """``row_ix, tfidf``: the weights of ``operators.tokens.tfidf`` as sparse vectors, row by row.
+
+    ``counts`` holds count vectors, ``doc_freq`` the number of rows with each feature.
+    """
+    n = counts.count()
+    idf = Vectors.dense([float(np.log((1 + n) / (1 + df)) + 1) for df in doc_freq])
+    weighted = ElementwiseProduct(scalingVec=idf, inputCol="counts", outputCol="weighted").transform(counts)
     return Normalizer(p=2.0, inputCol="weighted", outputCol="tfidf").transform(weighted).select("row_ix", "tfidf")
 
 
@@ -45,21 +42,33 @@ def embed_svd(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
     Iterative solvers would pass over the data once per matrix-vector product.
     """
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("tfidf"), "tfidf"))
-    gramian = matrix.computeGramianMatrix().toArray()
-    values, axes = np.linalg.eigh(gramian)
+    values, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
     keep = np.argsort(values)[::-1][: min(dim, len(values))]
     axes = axes[:, keep]
     # fixed sign: the largest component of every axis is positive
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     shared = vectors.sparkSession.sparkContext.broadcast(axes)
 
-    @F.pandas_udf("array<double>")
-    def project(batch: pd.Series) -> pd.Series:
-        if batch.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(batch.to_list()) @ shared.value))
-
-    rows = vectors.select("row_ix", project(vector_to_array("tfidf")).alias("vec"))
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a vector column travels as its sparse parts: index and value lists per row
+            indices, values = (batch.column("tfidf").field(part) for part in ("indices", "values"))
+            bounds = indices.offsets.to_numpy()
+            index, value = indices.flatten().to_numpy(), values.flatten().to_numpy()
+            index_start = bounds[0]
+            out = np.empty((batch.num_rows, shared.value.shape[1]))
+            for start in range(0, batch.num_rows, BLOCK):
+                stop = min(start + BLOCK, batch.num_rows)
+                inside = slice(bounds[start] - index_start, bounds[stop] - index_start)
+                block = np.zeros((stop - start, shared.value.shape[0]))
+                row = np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1]))
+                block[row, index[inside]] = value[inside]
+                out[start:stop] = block @ shared.value
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1]
+            vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row_ix"), vec], names=["row_ix", "vec"])
+
+    rows = vectors.select("row_ix", "tfidf").mapInArrow(project, "row_ix long, vec array<double>")
     return rows, np.sqrt(np.maximum(values[keep], 0.0))
 
 
@@ -182,7 +191,8 @@ def topic_term_weights(tokens: DataFrame, assigned: DataFrame, topic_col: str, m
     # max_features rows: a proven bound for the broadcast
     kept = materialise(counts.join(F.broadcast(totals), "term"), "topic_term_counts")
     lengths = kept.groupBy("topic_id").agg(F.sum("f").alias("f_topic"))
-    mean_length = F.floor(lengths.agg(F.avg("f_topic")).scalar())
+    n_topics = topics.agg(F.count_distinct("topic_id")).scalar()  # topics left without a term count too
+    mean_length = F.floor(lengths.agg(F.sum("f_topic")).scalar() / n_topics)
     idf = F.log(1 + mean_length / F.col("f_all"))
     return kept.join(lengths, "topic_id").select(
         "topic_id", "term", "f", idf.alias("idf"), (F.col("f") / F.col("f_topic") * idf).alias("weight")

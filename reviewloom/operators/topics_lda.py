@@ -5,35 +5,30 @@ from __future__ import annotations
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.tokens import feature_terms
 from reviewloom.params import Params
 
 
-def vocabulary_list(features: DataFrame) -> list[str]:
-    """The at most ``max_features`` feature terms, in index order."""
-    return [r.term for r in features.orderBy("term_ix").select("term").collect()]
-
-
-def count_vectors(tokens: DataFrame, terms: list[str], out: str = "counts") -> DataFrame:
-    """Add a sparse count vector per row; a row-wise step."""
-    return CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol=out).transform(tokens)
-
-
-def lda_fit(tokens: DataFrame, params: Params) -> tuple[LDAModel, list[str]]:
-    """Fit on whole-corpus passes (``subsamplingRate=1``) with symmetric 1/k priors."""
-    terms = vocabulary_list(feature_terms(tokens, params))
+def count_vectors(tokens: DataFrame, terms: list[str]) -> DataFrame:
+    """``row_ix, counts``: a sparse count vector per row; a row-wise step."""
     if not terms:
         raise ValueError("no term is frequent enough; lower min_df")
+    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="counts").transform(tokens)
+    return counted.select("row_ix", "counts")
+
+
+def lda_fit(counts: DataFrame, params: Params) -> LDAModel:
+    """Fit on ``row_ix, counts`` with symmetric 1/k priors.  Every iteration reads the vectors
+    again, so they should come from a written table."""
     k = params.lda_topics
     lda = LDA(
         k=k, seed=params.seed, maxIter=params.lda_iterations, featuresCol="counts", optimizer="online",
-        subsamplingRate=1.0, learningOffset=1.0, docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
-        topicDistributionCol="topic_vector",
+        subsamplingRate=params.lda_subsampling, learningOffset=1.0,
+        docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, topicDistributionCol="topic_vector",
     )
-    return lda.fit(count_vectors(tokens, terms).select("row_ix", "counts")), terms
+    return lda.fit(counts)
 
 
 def topk_terms_per_topic(weights: DataFrame, top_n: int) -> DataFrame:
@@ -55,18 +50,16 @@ def joined_terms(ranked: Column, n: int, separator: str) -> Column:
     return F.array_join(F.slice(terms, 1, n), separator)
 
 
-def lda_topic_terms(tokens: DataFrame, model: LDAModel, terms: list[str], top_n: int) -> DataFrame:
+def lda_topic_terms(spark: SparkSession, model: LDAModel, terms: list[str], top_n: int) -> DataFrame:
     """Top terms by unnormalised topic weight.  The topic matrix is k x max_features at most."""
     matrix = model.topicsMatrix().toArray()
     rows = [(topic, term, float(matrix[i, topic])) for i, term in enumerate(terms) for topic in range(matrix.shape[1])]
-    weights = tokens.sparkSession.createDataFrame(rows, "topic_id long, term string, weight double")
-    return topk_terms_per_topic(weights, top_n)
+    return topk_terms_per_topic(spark.createDataFrame(rows, "topic_id long, term string, weight double"), top_n)
 
 
-def lda_weights(tokens: DataFrame, model: LDAModel, terms: list[str]) -> DataFrame:
+def lda_weights(counts: DataFrame, model: LDAModel) -> DataFrame:
     """``row_ix, topic_weights``: share of every topic in every row, as an array by topic id."""
-    scored = model.transform(count_vectors(tokens, terms))
-    return scored.select("row_ix", vector_to_array("topic_vector").alias("topic_weights"))
+    return model.transform(counts).select("row_ix", vector_to_array("topic_vector").alias("topic_weights"))
 
 
 def dominant_topic(weights: DataFrame, topic_terms: DataFrame) -> DataFrame:

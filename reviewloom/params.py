@@ -227,6 +227,7 @@ class Params:
     seed: int = 42
     lda_topics: int = 6
     lda_iterations: int = 20
+    lda_subsampling: float = 1.0  # share of the rows read per iteration; 1 = whole-corpus passes
     top_words: int = 10
     max_features: int = 2500
     min_df: int = 5

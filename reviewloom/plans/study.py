@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +35,24 @@ class Study:
 
     # --- reviews -----------------------------------------------------------------------
 
-    @cached_property
-    def sample(self) -> DataFrame:
-        """Cleaned, filtered, de-duplicated reviews."""
-        return materialise(pr.prepare_reviews(self.raw, self.params), "sample")
-
     @cached_property
     def scored(self) -> DataFrame:
-        """The sample with sentiment and dictionary scores."""
+        """Cleaned, filtered, de-duplicated reviews with sentiment and dictionary scores.  Scoring
+        is row-wise, so it is fused into the one write of the sample."""
         p = self.params
-        df = sentiment_scores(self.sample, "review_full_text", p.lexicon, p.negators, p.boosters)
+        sample = pr.prepare_reviews(self.raw, p)
+        df = sentiment_scores(sample, "review_full_text", p.lexicon, p.negators, p.boosters)
         label = sentiment_label(F.col("compound"), p.positive_threshold, p.negative_threshold)
         df = df.withColumn("sentiment_label", label)
         df = score_dictionary(df, p.aspects, "aspect")
         return materialise(score_dictionary(df, p.emotions, "emotion"), "scored")
 
+    @cached_property
+    def sample(self) -> DataFrame:
+        """The reviews without their scores; a column subset of ``scored``."""
+        scores = ["neg", "neu", "pos", "compound", "sentiment_label"]
+        return self.scored.drop(*scores, *[c for c in self.scored.columns if c.startswith(("aspect_", "emotion_"))])
+
     @cached_property
     def tokens(self) -> DataFrame:
         return materialise(tk.token_array(self.sample, self.params), "tokens")
@@ -56,26 +60,38 @@ class Study:
     # --- topics ------------------------------------------------------------------------
 
     @cached_property
-    def lda(self):
-        return tl.lda_fit(self.tokens, self.params)
+    def features(self) -> list[tuple[str, int]]:
+        """Feature terms and the number of reviews with each; at most ``max_features``."""
+        found = tk.feature_terms(self.tokens, self.params).orderBy("term_ix").select("term", "df").collect()
+        return [(r.term, r.df) for r in found]
+
+    @cached_property
+    def terms(self) -> list[str]:
+        return [term for term, _ in self.features]
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return materialise(tl.count_vectors(self.tokens, self.terms), "counts")
+
+    @cached_property
+    def lda(self) -> LDAModel:
+        return tl.lda_fit(self.counts, self.params)
 
     @cached_property
     def topic_terms(self) -> DataFrame:
-        model, terms = self.lda
-        top = tl.lda_topic_terms(self.tokens, model, terms, self.params.top_words)
+        top = tl.lda_topic_terms(self.raw.sparkSession, self.lda, self.terms, self.params.top_words)
         labelled = lb.apply_labels(top, "topic_id", "topic_label", self.params.lda_labels, "publication_label")
         return materialise(labelled, "topic_terms")
 
     @cached_property
     def topic_weights(self) -> DataFrame:
-        model, terms = self.lda
-        weights = tl.dominant_topic(tl.lda_weights(self.tokens, model, terms), self.topic_terms)
+        weights = tl.dominant_topic(tl.lda_weights(self.counts, self.lda), self.topic_terms)
         return materialise(weights, "topic_weights")
 
     @cached_property
     def vectors(self) -> DataFrame:
-        p = self.params
-        rows, _ = tc.embed_svd(tc.tfidf_vectors(self.tokens, p), p.embedding_dim)
+        weighted = tc.tfidf_vectors(self.counts, [df for _, df in self.features])
+        rows, _ = tc.embed_svd(weighted, self.params.embedding_dim)
         return materialise(rows, "vectors")
 
     @cached_property
@@ -142,7 +158,7 @@ class Study:
         """The named result tables."""
         p, df = self.params, self.reviews
         return {
-            "scored_reviews": tl.widen_weights(df, p.lda_topics),
+            "scored_reviews": pr.sort_reviews(tl.widen_weights(df, p.lda_topics)),
             "brand_summary": sm.brand_summary(df, p.brand_order),
             "rating_counts": sm.rating_counts(df, p.brand_order),
             "sentiment_summary": sm.sentiment_summary(df, p.brand_order),

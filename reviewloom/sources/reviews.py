@@ -51,16 +51,17 @@ def load_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: T
     may lack it: rows are then numbered by position, in the order Spark reads the file.
     """
     if fmt != "csv":
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spread_small_input(spark.read.schema(schema).format(fmt).load(path))
     plain = T.StructType([f for f in schema if f.name != "row_ix"])
-    return spark.read.options(**CSV_READ).schema(plain).csv(path).withColumn("row_ix", F.monotonically_increasing_id())
+    numbered = spark.read.options(**CSV_READ).schema(plain).csv(path).withColumn("row_ix", F.monotonically_increasing_id())
+    return spread_small_input(numbered)
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Give every core work when the input has fewer files than there are cores.  A large input
     has many more files than that, and is left as it is: no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def load_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
