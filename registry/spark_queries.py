@@ -66,16 +66,30 @@ class FixtureStudy(Study):
             "given",
         )
 
+    def tokens_by(self, topic: str) -> DataFrame:
+        return self.tokens.join(self.given.select("row_ix", F.col(topic).alias("topic_id")), "row_ix")
+
+    @cached_property
+    def given_weights(self) -> DataFrame:
+        return tc.topic_term_weights(self.tokens_by("dominant_topic_id"), P.max_features)
+
     @cached_property
     def given_terms(self) -> DataFrame:
-        top = tc.ctfidf_terms(self.tokens, self.given, "dominant_topic_id", P.top_words, P.max_features)
+        top = tc.ctfidf_terms(self.given_weights, P.top_words)
         labelled = lb.apply_labels(top, "topic_id", "topic_label", P.lda_labels, "publication_label")
         return materialise(labelled, "given_terms")
 
+    @cached_property
+    def given_clustered(self) -> DataFrame:
+        return materialise(self.tokens_by("cluster_id"), "given_clustered")
+
+    @cached_property
+    def given_cluster_weights(self) -> DataFrame:
+        return tc.topic_term_weights(self.given_clustered, P.max_features)
+
     @cached_property
     def given_cluster_terms(self) -> DataFrame:
-        top = tc.ctfidf_terms(self.tokens, self.given, "cluster_id", P.top_words, P.max_features)
-        return materialise(top, "given_cluster_terms")
+        return materialise(tc.ctfidf_terms(self.given_cluster_weights, P.top_words), "given_cluster_terms")
 
     @cached_property
     def given_reviews(self) -> DataFrame:
@@ -439,9 +453,7 @@ def ctfidf_terms(spark, sf_dir):
 @query
 def topic_info(spark, sf_dir):
     s = study(spark, sf_dir)
-    info = tc.topic_info(
-        s.sample, s.tokens, s.given, "cluster_id", s.given_cluster_terms, max_features=P.max_features
-    )
+    info = tc.topic_info(s.sample, s.given_clustered, s.given_cluster_weights, s.given_cluster_terms)
     return info.select(
         "bertopic_topic_id", "n_reviews", "Name",
         F.array_join("Representation", ", ").alias("Representation"),
@@ -471,7 +483,7 @@ def coherence_cv(spark, sf_dir):
 @query
 def coherence_compare(spark, sf_dir):
     s = study(spark, sf_dir)
-    return rounded(co.coherence_compare(s.tokens, s.given_terms, s.given_cluster_terms, s.given, P.coherence_window))
+    return rounded(co.coherence_compare(s.tokens, s.given_terms, s.given_clustered, s.given_cluster_terms, P.coherence_window))
 
 
 # --- labels and constructs -------------------------------------------------------------
@@ -613,10 +625,9 @@ def sort_dist(spark, sf_dir):
 
 @query
 def topk_terms_per_topic(spark, sf_dir):
-    """Most frequent terms of each country's reviews."""
-    s = study(spark, sf_dir)
-    weights = tc.topic_term_weights(s.tokens, s.given, "dominant_topic_id", P.max_features)
-    return tl.topk_terms_per_topic(weights.select("topic_id", "term", F.col("f").alias("weight")), 15)
+    """Most frequent terms of each language's reviews."""
+    counts = study(spark, sf_dir).given_weights.select("topic_id", "term", F.col("f").alias("weight"))
+    return tl.topk_terms_per_topic(counts, 15)
 
 
 @query

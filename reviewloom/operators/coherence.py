@@ -30,9 +30,13 @@ def window_counts(tokens: DataFrame, sets: DataFrame, window: int) -> DataFrame:
     successive occurrences add only the starts that the one before has not covered.  So a window
     is never enumerated, and rows grow with occurrences, not with occurrences times window size.
     """
-    placed = tokens.repartition("row_ix").select(
-        "row_ix", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term")
-    )
+    # the topic words: top_words per topic
+    words = [r.term for r in sets.select("term").distinct().collect()]
+    marked = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    found = F.filter(marked, lambda x: x["term"].isin(words))
+    # only topic words are shuffled, still packed by row, and exploded after that
+    placed = tokens.select("row_ix", F.size("tokens").alias("len"), found.alias("found")).filter(F.size("found") > 0)
+    placed = placed.repartition("row_ix").select("row_ix", "len", F.inline("found"))
     # sets has tens of rows per topic, fixed by the number of top words
     hits = placed.join(F.broadcast(sets), "term").select(
         "row_ix", "a", "b", "pos",
@@ -99,11 +103,11 @@ def coherence_cv(
 
 
 def coherence_compare(
-    tokens: DataFrame, lda_terms: DataFrame, cluster_terms: DataFrame, assigned: DataFrame, window: int = 110
+    tokens: DataFrame, lda_terms: DataFrame, clustered: DataFrame, cluster_terms: DataFrame, window: int = 110
 ) -> DataFrame:
-    """Both models; the cluster model on reviews that are in a cluster, with all its topics scored."""
-    clustered = assigned.filter(F.col("cluster_id") != -1).select("row_ix")
-    inside = tokens.join(clustered, "row_ix", "left_semi")
+    """Both models; the cluster model on ``row_ix, topic_id, tokens`` of reviews that are in a
+    cluster, with all its topics scored."""
+    inside = clustered.filter(F.col("topic_id") != -1)
     return coherence_cv(tokens, lda_terms, "LDA", window).unionByName(
         coherence_cv(inside, cluster_terms, "BERTopic", window)
     )

@@ -69,11 +69,27 @@ def token_array(df: DataFrame, params: Params, text_col: str = "review_full_text
     return gathered.select("row_ix", F.transform("hits", lambda h: h["term"]).alias("tokens"))
 
 
-def term_frequencies(tokens: DataFrame) -> DataFrame:
-    """``row_ix, term, tf``.  All tokens of a row lie in one partition, so counting needs no
-    shuffle beyond that of the arrays."""
-    placed = tokens.repartition("row_ix").select("row_ix", F.explode("tokens").alias("term"))
-    return placed.groupBy("row_ix", "term").agg(F.count("*").alias("tf"))
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """One row per distinct term of each row: ``term, tf`` beside the other columns of ``docs``.
+
+    A row holds all its tokens, so they are counted inside the row: sorted, equal tokens are
+    neighbours, and a run's length is its count.  Nothing is shuffled.
+    """
+    rest = [c for c in docs.columns if c != "tokens"]
+    s, starts = F.col("_s"), F.col("_starts")
+    first_of_run = F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i))
+    runs = F.transform(
+        starts,
+        lambda p, j: F.struct(
+            F.get(s, p).alias("term"),
+            (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long").alias("tf"),
+        ),
+    )
+    return (
+        docs.withColumn("_s", F.array_sort("tokens"))
+        .withColumn("_starts", F.filter(first_of_run, lambda p: p.isNotNull()))
+        .select(*rest, F.inline(runs))
+    )
 
 
 def feature_terms(tokens: DataFrame, params: Params) -> DataFrame:
@@ -81,7 +97,7 @@ def feature_terms(tokens: DataFrame, params: Params) -> DataFrame:
     occur in ``min_df`` rows or more and in ``max_df`` of all rows or fewer; indexed in term order."""
     rows = tokens.agg(F.count("*")).scalar()
     stats = (
-        term_frequencies(tokens)
+        term_frequencies(tokens.select("tokens"))
         .groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
         .filter((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df) * rows))
@@ -96,7 +112,7 @@ def doc_term_counts(tokens: DataFrame, params: Params, features: DataFrame | Non
     if features is None:
         features = feature_terms(tokens, params)
     # max_features rows: a proven bound for the broadcast
-    joined = term_frequencies(tokens).join(F.broadcast(features), "term")
+    joined = term_frequencies(tokens.select("row_ix", "tokens")).join(F.broadcast(features), "term")
     return joined.select("row_ix", "term", "term_ix", "df", "tf")
 
 
@@ -104,6 +120,10 @@ def tfidf(tokens: DataFrame, params: Params, features: DataFrame | None = None)
     """``row_ix, term, term_ix, weight``: tf * (ln((1+n)/(1+df)) + 1), rows scaled to length 1."""
     rows = tokens.agg(F.count("*")).scalar()
     idf = F.log((1 + rows) / (1 + F.col("df"))) + 1
-    raw = doc_term_counts(tokens, params, features).withColumn("_w", F.col("tf") * idf)
+    # partitioned while compact; the length of a row then needs no shuffle of its own
+    placed = tokens.select("row_ix", "tokens").repartition("row_ix")
+    if features is None:
+        features = feature_terms(tokens, params)
+    raw = doc_term_counts(placed, params, features).withColumn("_w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("row_ix")))
     return raw.select("row_ix", "term", "term_ix", (F.col("_w") / norm).alias("weight"))

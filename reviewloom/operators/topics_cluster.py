@@ -14,6 +14,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
 from reviewloom.session import materialise
 
@@ -177,47 +178,46 @@ def density_clusters(
 # --- description -----------------------------------------------------------------------
 
 
-def topic_term_weights(tokens: DataFrame, assigned: DataFrame, topic_col: str, max_features: int = 2500) -> DataFrame:
-    """``topic_id, term, f, idf, weight`` with every topic read as one long document.
+def topic_term_weights(docs: DataFrame, max_features: int = 2500) -> DataFrame:
+    """``topic_id, term, f, idf, weight`` for ``row_ix, topic_id, tokens``, every topic read as one
+    long document.
 
     weight = f(t,c) / F(c) * ln(1 + A / f(t)) over the ``max_features`` most frequent terms, where
-    A is the mean number of words per topic, cut to a whole number (Grootendorst 2022).
+    A is the mean number of words per topic, cut to a whole number (Grootendorst 2022).  Written
+    out: it has at most topics x max_features rows and several readers.
     """
-    topics = assigned.select("row_ix", F.col(topic_col).alias("topic_id"))
-    words = tokens.join(topics, "row_ix").select("topic_id", F.explode("tokens").alias("term"))
+    words = docs.select("topic_id", F.explode("tokens").alias("term"))
     counts = words.groupBy("topic_id", "term").agg(F.count("*").alias("f"))
     totals = counts.groupBy("term").agg(F.sum("f").alias("f_all"))
     totals = totals.orderBy(F.desc("f_all"), F.asc("term")).limit(max_features)
     # max_features rows: a proven bound for the broadcast
     kept = materialise(counts.join(F.broadcast(totals), "term"), "topic_term_counts")
     lengths = kept.groupBy("topic_id").agg(F.sum("f").alias("f_topic"))
-    n_topics = topics.agg(F.count_distinct("topic_id")).scalar()  # topics left without a term count too
+    n_topics = docs.agg(F.count_distinct("topic_id")).scalar()  # topics left without a term count too
     mean_length = F.floor(lengths.agg(F.sum("f_topic")).scalar() / n_topics)
     idf = F.log(1 + mean_length / F.col("f_all"))
-    return kept.join(lengths, "topic_id").select(
+    weights = kept.join(lengths, "topic_id").select(
         "topic_id", "term", "f", idf.alias("idf"), (F.col("f") / F.col("f_topic") * idf).alias("weight")
     )
+    return materialise(weights, "topic_term_weights")
 
 
-def ctfidf_terms(tokens: DataFrame, assigned: DataFrame, topic_col: str, top_n: int = 10, max_features: int = 2500) -> DataFrame:
-    weights = topic_term_weights(tokens, assigned, topic_col, max_features)
+def ctfidf_terms(weights: DataFrame, top_n: int = 10) -> DataFrame:
+    """Top terms of each topic from ``topic_term_weights``."""
     return topk_terms_per_topic(weights.select("topic_id", "term", "weight"), top_n)
 
 
-def representative_rows(tokens: DataFrame, assigned: DataFrame, topic_col: str, per_topic: int = 3, max_features: int = 2500) -> DataFrame:
-    """``topic_id, row_ix, cosine, doc_rank``: rows whose weighted terms are closest to their topic's."""
-    weights = materialise(topic_term_weights(tokens, assigned, topic_col, max_features), "topic_term_weights")
-    topics = assigned.select("row_ix", F.col(topic_col).alias("topic_id"))
-    terms = (
-        tokens.join(topics, "row_ix")
-        .select("row_ix", "topic_id", F.explode("tokens").alias("term"))
-        .groupBy("row_ix", "topic_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def representative_rows(docs: DataFrame, weights: DataFrame, per_topic: int = 3) -> DataFrame:
+    """``topic_id, row_ix, cosine, doc_rank``: rows whose weighted terms are closest to their topic's.
+
+    Terms are counted inside each row and looked up by topic; a row's terms lie together, so the
+    partial sums leave one record per row to shuffle.
+    """
     norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     mine = F.col("tf") * F.col("idf")
     scored = (
-        terms.join(weights, ["topic_id", "term"])
+        term_frequencies(docs.select("row_ix", "topic_id", "tokens"))
+        .join(weights, ["topic_id", "term"])
         .groupBy("row_ix", "topic_id")
         .agg(F.sum(mine * F.col("weight")).alias("dot"), F.sqrt(F.sum(mine * mine)).alias("len"))
         .join(norms, "topic_id")
@@ -229,26 +229,26 @@ def representative_rows(tokens: DataFrame, assigned: DataFrame, topic_col: str,
 
 
 def topic_info(
-    reviews: DataFrame, tokens: DataFrame, assigned: DataFrame, topic_col: str, topic_terms: DataFrame,
-    per_topic: int = 3, max_features: int = 2500, text_col: str = "review_full_text",
+    reviews: DataFrame, docs: DataFrame, weights: DataFrame, topic_terms: DataFrame,
+    per_topic: int = 3, text_col: str = "review_full_text",
 ) -> DataFrame:
     """Per topic: size, ``{id}_{top four terms}``, term list, closest texts."""
-    sizes = assigned.groupBy(F.col(topic_col).alias("topic_id")).agg(F.count("*").alias("n_reviews"))
+    sizes = docs.groupBy("topic_id").agg(F.count("*").alias("n_reviews"))
     listed = topic_terms.groupBy("topic_id").agg(F.collect_list(F.struct("rank", "term")).alias("ranked"))
-    closest = representative_rows(tokens, assigned, topic_col, per_topic, max_features)
+    closest = representative_rows(docs, weights, per_topic)
     # per_topic rows per topic
     texts = reviews.select("row_ix", text_col).join(F.broadcast(closest), "row_ix")
-    docs = texts.groupBy("topic_id").agg(F.collect_list(F.struct("doc_rank", text_col)).alias("docs"))
+    grouped = texts.groupBy("topic_id").agg(F.collect_list(F.struct("doc_rank", text_col)).alias("texts"))
     name = F.concat_ws("_", F.col("topic_id").cast("string"), joined_terms(F.col("ranked"), 4, "_"))
     return (
         sizes.join(listed, "topic_id", "left")
-        .join(docs, "topic_id", "left")
+        .join(grouped, "topic_id", "left")
         .select(
             F.col("topic_id").alias("bertopic_topic_id"),
             "n_reviews",
             name.alias("Name"),
             F.transform(F.array_sort("ranked"), lambda x: x["term"]).alias("Representation"),
-            F.transform(F.array_sort("docs"), lambda x: x[text_col]).alias("Representative_Docs"),
+            F.transform(F.array_sort("texts"), lambda x: x[text_col]).alias("Representative_Docs"),
         )
         .orderBy("bertopic_topic_id")
     )

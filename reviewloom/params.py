@@ -226,7 +226,7 @@ class Params:
     min_tokens: int = 5
     seed: int = 42
     lda_topics: int = 6
-    lda_iterations: int = 20
+    lda_iterations: int = 10
     lda_subsampling: float = 1.0  # share of the rows read per iteration; 1 = whole-corpus passes
     top_words: int = 10
     max_features: int = 2500

@@ -100,20 +100,26 @@ class Study:
         found = tc.density_clusters(self.vectors, p.eps, p.min_pts, p.min_topic_size, p.max_candidates, p.seed)
         return materialise(found, "clusters")
 
+    @cached_property
+    def clustered(self) -> DataFrame:
+        """``row_ix, topic_id, tokens``: the one join of tokens with their clusters."""
+        ids = self.clusters.select("row_ix", F.col("cluster_id").alias("topic_id"))
+        return materialise(self.tokens.join(ids, "row_ix"), "clustered")
+
+    @cached_property
+    def cluster_weights(self) -> DataFrame:
+        return tc.topic_term_weights(self.clustered, self.params.max_features)
+
     @cached_property
     def cluster_terms(self) -> DataFrame:
-        p = self.params
-        top = tc.ctfidf_terms(self.tokens, self.clusters, "cluster_id", p.top_words, p.max_features)
-        label = first_match_label(F.col("topic_label"), p.label_rules)
+        top = tc.ctfidf_terms(self.cluster_weights, self.params.top_words)
+        label = first_match_label(F.col("topic_label"), self.params.label_rules)
         return materialise(top.withColumn("publication_label", label), "cluster_terms")
 
     @cached_property
     def cluster_info(self) -> DataFrame:
-        p = self.params
-        info = tc.topic_info(
-            self.sample, self.tokens, self.clusters, "cluster_id", self.cluster_terms, max_features=p.max_features
-        )
-        return info.withColumn("publication_label", first_match_label(F.col("Name"), p.label_rules))
+        info = tc.topic_info(self.sample, self.clustered, self.cluster_weights, self.cluster_terms)
+        return info.withColumn("publication_label", first_match_label(F.col("Name"), self.params.label_rules))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -130,7 +136,7 @@ class Study:
     @cached_property
     def coherence(self) -> DataFrame:
         scores = co.coherence_compare(
-            self.tokens, self.topic_terms, self.cluster_terms, self.clusters, self.params.coherence_window
+            self.tokens, self.topic_terms, self.clustered, self.cluster_terms, self.params.coherence_window
         )
         return materialise(scores, "coherence")
 

@@ -94,8 +94,7 @@ DOCS = [
 
 
 def given(spark):
-    df = spark.createDataFrame(DOCS, "row_ix long, topic long, tokens array<string>").repartition(3)
-    return df.select("row_ix", "tokens"), df.select("row_ix", "topic")
+    return spark.createDataFrame(DOCS, "row_ix long, topic_id long, tokens array<string>").repartition(3)
 
 
 def brute_weights(max_features=2500):
@@ -110,19 +109,19 @@ def brute_weights(max_features=2500):
 
 @pytest.mark.parametrize("max_features", [2500, 3])
 def test_class_tfidf(spark, max_features):
-    tokens, topic = given(spark)
     expected = brute_weights(max_features)
-    got = {(r.topic_id, r.term): r.weight for r in tc.topic_term_weights(tokens, topic, "topic", max_features).collect()}
+    got = {(r.topic_id, r.term): r.weight for r in tc.topic_term_weights(given(spark), max_features).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
 
 
 def test_top_terms_labels_and_info(spark):
-    tokens, topic = given(spark)
-    terms = tc.ctfidf_terms(tokens, topic, "topic", 2)
+    docs = given(spark)
+    weights = tc.topic_term_weights(docs)
+    terms = tc.ctfidf_terms(weights, 2)
     rows = {(r.topic_id, r["rank"]): r for r in terms.collect()}
     assert rows[1, 1].term == "d" and rows[1, 1].topic_label == "d | " + rows[1, 2].term
-    reviews = tokens.select("row_ix", F.array_join("tokens", " ").alias("review_full_text"))
-    info = {r.bertopic_topic_id: r for r in tc.topic_info(reviews, tokens, topic, "topic", terms, per_topic=2).collect()}
+    reviews = docs.select("row_ix", F.array_join("tokens", " ").alias("review_full_text"))
+    info = {r.bertopic_topic_id: r for r in tc.topic_info(reviews, docs, weights, terms, per_topic=2).collect()}
     assert info[1].n_reviews == 3 and info[1].Name.startswith("1_d_") and info[1].Representation[0] == "d"
     assert info[1].Representative_Docs == ["d e d b", "d e d b"] and info[-1].Representative_Docs == ["c e"]
 
