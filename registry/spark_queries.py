@@ -67,7 +67,8 @@ class FixtureStudy(Study):
         )
 
     def tokens_by(self, topic: str) -> DataFrame:
-        return self.tokens.join(self.given.select("row_ix", F.col(topic).alias("topic_id")), "row_ix")
+        topics = self.given.select("row_ix", F.col(topic).alias("topic_id"))
+        return self.tokens.select("row_ix", "tokens").join(topics, "row_ix")
 
     @cached_property
     def given_weights(self) -> DataFrame:
@@ -571,8 +572,7 @@ def emotion_prevalence(spark, sf_dir):
 
 @query
 def top_terms(spark, sf_dir):
-    s = study(spark, sf_dir)
-    return sm.top_terms(s.scored, s.tokens, BRANDS)
+    return sm.top_terms(study(spark, sf_dir).tokens, BRANDS)
 
 
 @query

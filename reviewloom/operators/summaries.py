@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.prepare import order_key
+from reviewloom.session import materialise
 
 
 def exact_sum(score: Column) -> Column:
@@ -129,27 +130,23 @@ def emotion_prevalence(df: DataFrame, emotions: list[str], brand_order: list[str
     return out.select("brand", "emotion", "n_reviews", "pct_reviews")
 
 
-def top_terms(df: DataFrame, tokens: DataFrame, brand_order: list[str], top_n: int = 20) -> DataFrame:
+def top_terms(docs: DataFrame, brand_order: list[str], top_n: int = 20) -> DataFrame:
     """Most frequent terms longer than three letters by brand; the first seen wins a tie.
 
-    Counts are hash-aggregated per task, and the rank filter cuts each task's terms before they
-    meet.  Only terms that reach the top ``top_n``, ties included, are then looked up again for
-    where they were first seen.
+    ``docs`` holds ``tokens`` beside the columns of ``order_key``.  Counts are partial per task,
+    and the rank filter cuts each task's terms before they meet.  The terms that reach ``top_n``,
+    ties included, are written out, so that the second pass, which looks up where they were first
+    seen, joins a table of known size and need not shuffle tokens.
     """
-    keys = ["brand", "brand_ord", "review_date", "url", "row_ix"]
-    words = (
-        df.filter(F.col("brand").isin(brand_order))
-        .select(*keys)
-        .join(tokens, "row_ix")
-        .select(*keys, F.posexplode("tokens").alias("pos", "term"))
-        .filter(F.length("term") > 3)
-    )
+    listed = docs.filter(F.col("brand").isin(brand_order))
+    words = listed.select("brand", F.explode("tokens").alias("term")).filter(F.length("term") > 3)
     counts = words.groupBy("brand", "term").agg(F.count("*").alias("count"))
     by_count = Window.partitionBy("brand").orderBy(F.desc("count"))
     leaders = counts.withColumn("_r", F.rank().over(by_count)).filter(F.col("_r") <= top_n).drop("_r")
-    first = words.join(leaders, ["brand", "term"]).groupBy("brand", "brand_ord", "term", "count").agg(
-        F.min(order_key(F.col("pos"))).alias("seen")
-    )
+    leaders = materialise(leaders, "leading_terms")
+    keys = ["brand", "brand_ord", "review_date", "url", "row_ix"]
+    placed = listed.select(*keys, F.posexplode("tokens").alias("pos", "term")).join(leaders, ["brand", "term"])
+    first = placed.groupBy("brand", "brand_ord", "term", "count").agg(F.min(order_key(F.col("pos"))).alias("seen"))
     by_rank = Window.partitionBy("brand").orderBy(F.desc("count"), F.asc("seen"))
     ranked = first.withColumn("rank", F.row_number().over(by_rank).cast("long")).filter(F.col("rank") <= top_n)
     return ranked.orderBy("brand_ord", "rank").select("brand", "rank", "term", "count")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -18,6 +20,9 @@ from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
 from reviewloom.session import materialise
 
+# The functions below travel to tasks by value: executors need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 1024  # rows compared with the candidates at a time inside a task
 
 
@@ -143,7 +148,8 @@ def density_clusters(
         for batch in batches:
             for rows in _blocks(batch["vec"]):
                 counts += (rows @ shared.value.T >= min_cos).sum(axis=0)
-        yield pd.DataFrame({"candidate": np.arange(len(counts)), "n": counts})
+        met = np.flatnonzero(counts)
+        yield pd.DataFrame({"candidate": met, "n": counts[met]})
 
     counted = vectors.select("vec").mapInPandas(neighbours, "candidate long, n long")
     dense = counted.groupBy("candidate").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pts)

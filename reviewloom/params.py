@@ -229,6 +229,7 @@ class Params:
     lda_iterations: int = 10
     lda_subsampling: float = 1.0  # share of the rows read per iteration; 1 = whole-corpus passes
     top_words: int = 10
+    cluster_top_words: int = 10
     max_features: int = 2500
     min_df: int = 5
     max_df: float = 0.85
@@ -258,10 +259,49 @@ class Params:
         return replace(self, **changes)
 
 
-def load_params(path: str) -> Params:
-    """Read a JSON object whose keys are field names of :class:`Params`; the rest keep their defaults."""
+def _parse(path: str) -> dict:
     with open(path, encoding="utf-8") as handle:
-        given = json.load(handle)
+        if not path.endswith((".yml", ".yaml")):
+            return json.load(handle)
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("reading YAML parameters needs PyYAML; use JSON instead") from error
+        return yaml.safe_load(handle)
+
+
+# names inside the "analysis" section -> field names, where they differ
+SECTION_NAMES = {
+    "random_state": "seed",
+    "lda_top_words": "top_words",
+    "bertopic_top_words": "cluster_top_words",
+    "bertopic_min_topic_size": "min_topic_size",
+    "bertopic_embedding_dim": "embedding_dim",
+}
+
+
+def from_sections(sections: dict) -> dict:
+    """Fields from a file in sections: ``analysis``, ``sentiment``, ``aspects``, ``emotions``,
+    ``publication_labels.lda`` and ``construct_mapping.lda``.  Other sections do not affect results."""
+    given = {SECTION_NAMES.get(k, k): v for k, v in sections.get("analysis", {}).items()}
+    given |= sections.get("sentiment", {})
+    given |= {k: sections[k] for k in ("aspects", "emotions") if k in sections}
+    if "lda" in sections.get("publication_labels", {}):
+        given["lda_labels"] = sections["publication_labels"]["lda"]
+    if "lda" in sections.get("construct_mapping", {}):
+        given["lda_constructs"] = {
+            k: (v.get("primary_construct", ""), v.get("interpretation", ""))
+            for k, v in sections["construct_mapping"]["lda"].items()
+        }
+    return given
+
+
+def load_params(path: str) -> Params:
+    """Read JSON or YAML: field names of :class:`Params`, or the sections of :func:`from_sections`.
+    What is not given keeps its default."""
+    given = _parse(path)
+    if "analysis" in given:
+        given = from_sections(given)
     unknown = set(given) - {f.name for f in fields(Params)}
     if unknown:
         raise ValueError(f"unknown parameters: {sorted(unknown)}")

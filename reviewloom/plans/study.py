@@ -55,7 +55,10 @@ class Study:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return materialise(tk.token_array(self.sample, self.params), "tokens")
+        """``row_ix, tokens`` with the brand and order columns, which arrive on the partitioning
+        the tokens already have."""
+        keys = self.sample.select("row_ix", "brand", "brand_ord", "review_date", "url")
+        return materialise(tk.token_array(self.sample, self.params).join(keys, "row_ix"), "tokens")
 
     # --- topics ------------------------------------------------------------------------
 
@@ -104,7 +107,7 @@ class Study:
     def clustered(self) -> DataFrame:
         """``row_ix, topic_id, tokens``: the one join of tokens with their clusters."""
         ids = self.clusters.select("row_ix", F.col("cluster_id").alias("topic_id"))
-        return materialise(self.tokens.join(ids, "row_ix"), "clustered")
+        return materialise(self.tokens.select("row_ix", "tokens").join(ids, "row_ix"), "clustered")
 
     @cached_property
     def cluster_weights(self) -> DataFrame:
@@ -112,7 +115,7 @@ class Study:
 
     @cached_property
     def cluster_terms(self) -> DataFrame:
-        top = tc.ctfidf_terms(self.cluster_weights, self.params.top_words)
+        top = tc.ctfidf_terms(self.cluster_weights, self.params.cluster_top_words)
         label = first_match_label(F.col("topic_label"), self.params.label_rules)
         return materialise(top.withColumn("publication_label", label), "cluster_terms")
 
@@ -178,7 +181,7 @@ class Study:
             "emotion_prevalence_by_brand": sm.emotion_prevalence(df, list(p.emotions), p.brand_order),
             "monthly_sentiment_by_brand": sm.monthly_sentiment(df, p.brand_order),
             "topic_coherence": self.coherence,
-            "top_terms_by_brand": sm.top_terms(df, self.tokens, p.brand_order),
+            "top_terms_by_brand": sm.top_terms(self.tokens, p.brand_order),
         }
 
     def run(self, folder: str, fmt: str = "csv") -> dict[str, str]:

@@ -103,3 +103,9 @@ def test_top_k_is_cut_before_it_meets(spark):
 def test_brand_tables_shuffle_values_not_rows(spark):
     text = plan(QUERIES["rating_counts"](spark, SF_DIR))
     assert "partial_count" in text and "Join" not in text
+
+
+def test_top_terms_do_not_shuffle_tokens(spark):
+    text = plan(QUERIES["top_terms"](spark, SF_DIR))
+    assert "SortMergeJoin" not in text and "partial_min" in text and "Exchange hashpartitioning(brand" in text
+    assert "Exchange" not in text[text.index("posexplode"):].replace("BroadcastExchange", "")

@@ -70,7 +70,7 @@ def test_top_terms_first_seen_wins_ties(spark):
     tokens = spark.createDataFrame(
         [(1, ["late", "gone", "cat", "cat"]), (2, ["sent", "gone", "late"]), (3, ["zeta", "beta", "beta"])], "row_ix long, tokens array<string>"
     )
-    rows = [tuple(r) for r in sm.top_terms(df, tokens, ["A", "B"], 2).collect()]
+    rows = [tuple(r) for r in sm.top_terms(df.join(tokens, "row_ix"), ["A", "B"], 2).collect()]
     # "gone" and "late" tie; "gone" comes first in the earlier review
     assert rows == [("A", 1, "gone", 2), ("A", 2, "late", 2), ("B", 1, "beta", 2), ("B", 2, "zeta", 1)]
 
