@@ -62,9 +62,13 @@ def sentiment_scores(
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-    kept = F.filter(
-        F.transform(F.col("_w"), lambda t, i: F.struct(i.alias("pos"), t.alias("raw"), F.lower(t).alias("low"))),
-        lambda x: x["low"].isin(relevant),
+    # positions of the words that matter; only those words become records
+    relevant_at = F.filter(
+        F.transform(F.col("_w"), lambda t, i: F.when(F.lower(t).isin(relevant), i)), lambda at: at.isNotNull()
+    )
+    kept = F.transform(
+        F.col("_at"),
+        lambda at: F.struct(at.alias("pos"), F.get(F.col("_w"), at).alias("raw"), F.lower(F.get(F.col("_w"), at)).alias("low")),
     )
 
     def marked_word(x: Column) -> Column:
@@ -99,14 +103,18 @@ def sentiment_scores(
     def total(values: Column, term) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + term(v))
 
-    exclaim = F.least(F.regexp_count(text, F.lit("!")), F.lit(4)) * EXCLAMATION
-    questions = F.regexp_count(text, F.lit(r"\?"))
+    def occurrences(mark: str) -> Column:
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+    exclaim = F.least(occurrences("!"), F.lit(4)) * EXCLAMATION
+    questions = occurrences("?")
     asked = F.when(questions < 2, 0.0).when(questions <= 3, questions * QUESTION).otherwise(QUESTION_MAX)
 
     v = F.col("_v")
     scored = (
         df.withColumns({"_w": words, "_mixed": text.rlike("[a-z]"), "_e": exclaim + asked})
-        .withColumns({"_k": kept, "_n": F.size("_w")})
+        .withColumns({"_at": relevant_at, "_n": F.size("_w")})
+        .withColumn("_k", kept)
         .withColumn("_m", marked)
         .withColumn("_but", F.array_min(F.transform(F.filter("_m", lambda x: x["is_but"]), lambda x: x["pos"])))
         .withColumn("_v", F.filter(F.transform("_m", valence), lambda x: x != 0))
@@ -134,5 +142,5 @@ def sentiment_scores(
 
     compound = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.round(s / F.sqrt(s * s + NORMALISER), 4))
     scored = scored.withColumns({"neg": share(q), "neu": share(z), "pos": share(p), "compound": compound})
-    scored = scored.drop("_w", "_mixed", "_e", "_k", "_n", "_m", "_but", "_v", "_s", "_p", "_q", "_z")
+    scored = scored.drop("_w", "_at", "_mixed", "_e", "_k", "_n", "_m", "_but", "_v", "_s", "_p", "_q", "_z")
     return computed_once(scored, ["neg", "neu", "pos", "compound"])

@@ -10,7 +10,7 @@ EPSILON = 1e-12
 
 def topic_word_lists(topic_terms: DataFrame) -> DataFrame:
     """``topic_id, terms``: the terms of every topic in rank order."""
-    listed = topic_terms.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("r"))
+    listed = topic_terms.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("r"))
     return listed.select("topic_id", F.transform("r", lambda x: x["term"]).alias("terms"))
 
 

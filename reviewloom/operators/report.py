@@ -21,7 +21,7 @@ def _top_lines(df: DataFrame, group: str, name: str, order: list[Column], n: int
     """``n`` first rows of each group as one text ``name (x.x%); ...``."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     top = df.withColumn("_r", rank).filter(F.col("_r") <= n).withColumn("_t", _share_line(name))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_t"))), lambda x: x["_t"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("_r", "_t"))), lambda x: x["_t"])
     return top.groupBy(group).agg(F.array_join(lines, "; ").alias(out))
 
 
@@ -44,7 +44,7 @@ def overall_top_aspects(distribution: DataFrame, n: int = 3) -> DataFrame:
     top = counts.withColumn("pct_reviews", F.try_divide(100.0 * F.col("n_reviews"), total))
     top = top.orderBy(F.desc("pct_reviews"), F.asc("aspect_top_category")).limit(n)
     key = F.struct((-F.col("pct_reviews")).alias("k"), F.col("aspect_top_category").alias("a"), _share_line("aspect_top_category").alias("t"))
-    lines = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["t"])
+    lines = F.transform(F.sort_array(F.collect_list(key)), lambda x: x["t"])
     return top.agg(F.array_join(lines, "; ").alias("overall_top_aspects"))
 
 

@@ -47,26 +47,46 @@ def post_stopwords(vocabulary: DataFrame, stopwords: list[str]) -> DataFrame:
 
 
 def vocabulary_of(raw: DataFrame, params: Params) -> DataFrame:
-    """Distinct raw tokens of ``row_ix, raw`` with their normal form, written to the shared folder."""
-    words = raw.select(F.explode("raw").alias("token")).distinct()
+    """``token, n, term`` for the distinct tokens of ``row_ix, raw``, written to the shared folder;
+    ``n`` counts occurrences, and a token whose normal form is dropped has a null term."""
+    words = raw.select(F.explode("raw").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     dropped = sorted(set(english_stopwords(params)) | set(params.custom_stopwords))
-    vocabulary = post_stopwords(token_normalize(words, params.stem_map), dropped)
-    return materialise(vocabulary.select("token", "term"), "vocabulary")
+    term = F.when(~F.col("term").isin(dropped), F.col("term"))
+    vocabulary = token_normalize(words, params.stem_map).select("token", "n", term.alias("term"))
+    return materialise(vocabulary, "vocabulary")
+
+
+def _hits(placed: DataFrame) -> DataFrame:
+    """``row_ix, hits``: the ``(pos, term)`` of each row."""
+    hit = F.when(F.col("term").isNotNull(), F.struct("pos", "term"))
+    return placed.groupBy("row_ix").agg(F.collect_list(hit).alias("hits"))
 
 
 def token_array(df: DataFrame, params: Params, text_col: str = "review_full_text") -> DataFrame:
     """``row_ix, tokens``: normalised tokens of every row, in order, with repeats.
 
-    The vocabulary comes back as a table of known size: Catalyst broadcasts it while it is under
-    ``autoBroadcastJoinThreshold`` and shuffles both sides by token beyond that.
+    The vocabulary is a written table of known size.  Up to ``max_broadcast_words`` rows it is
+    broadcast, and after the one shuffle of compact rows everything stays in its partition.  A
+    larger vocabulary is split: its most frequent words, nearly all occurrences, are broadcast as
+    before; only occurrences of the remaining, rare words are shuffled by token, where no word is
+    hot, and their hits then join the others by row.
     """
     raw = raw_tokens(df, english_stopwords(params), text_col)
     vocabulary = vocabulary_of(raw, params)
     placed = raw.repartition("row_ix").select("row_ix", F.posexplode_outer("raw").alias("pos", "token"))
-    found = placed.join(vocabulary, "token", "left")
-    hit = F.when(F.col("term").isNotNull(), F.struct("pos", "term"))
-    gathered = found.groupBy("row_ix").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    return gathered.select("row_ix", F.transform("hits", lambda h: h["term"]).alias("tokens"))
+    if vocabulary.count() <= params.max_broadcast_words:
+        hits = _hits(placed.join(F.broadcast(vocabulary.select("token", "term")), "token", "left"))
+    else:
+        by_use = vocabulary.orderBy(F.desc("n"), F.asc("token"))
+        frequent = materialise(by_use.limit(params.max_broadcast_words).select("token", "term"), "frequent_words")
+        rare = vocabulary.select("token", "term").join(frequent, "token", "left_anti")
+        # max_broadcast_words rows
+        here = _hits(placed.join(F.broadcast(frequent), "token", "left"))
+        elsewhere = placed.join(F.broadcast(frequent), "token", "left_anti").join(rare, "token")
+        found = _hits(elsewhere).withColumnRenamed("hits", "more")
+        joined = here.join(found, "row_ix", "left")
+        hits = joined.select("row_ix", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", "more")).alias("hits"))
+    return hits.select("row_ix", F.transform(F.sort_array("hits"), lambda h: h["term"]).alias("tokens"))
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -86,7 +106,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
         ),
     )
     return (
-        docs.withColumn("_s", F.array_sort("tokens"))
+        docs.withColumn("_s", F.sort_array("tokens"))
         .withColumn("_starts", F.filter(first_of_run, lambda p: p.isNotNull()))
         .select(*rest, F.inline(runs))
     )

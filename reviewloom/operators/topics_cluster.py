@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
-from reviewloom.session import materialise
+from reviewloom.session import broadcast_if_small, materialise
 
 # The functions below travel to tasks by value: executors need not have this package installed.
 register_pickle_by_value(sys.modules[__name__])
 
+MAX_WEIGHTS = 2_000_000  # topic-term weights that may be broadcast, some 150 MB
 BLOCK = 1024  # rows compared with the candidates at a time inside a task
 
 
@@ -220,14 +221,14 @@ def representative_rows(docs: DataFrame, weights: DataFrame, per_topic: int = 3)
     partial sums leave one record per row to shuffle.
     """
     norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    table = materialise(weights.join(norms, "topic_id"), "weights_with_norm")
     mine = F.col("tf") * F.col("idf")
+    cosine = F.try_divide(F.sum(mine * F.col("weight")), F.sqrt(F.sum(mine * mine)) * F.max("norm"))
     scored = (
         term_frequencies(docs.select("row_ix", "topic_id", "tokens"))
-        .join(weights, ["topic_id", "term"])
+        .join(broadcast_if_small(table, MAX_WEIGHTS), ["topic_id", "term"])
         .groupBy("row_ix", "topic_id")
-        .agg(F.sum(mine * F.col("weight")).alias("dot"), F.sqrt(F.sum(mine * mine)).alias("len"))
-        .join(norms, "topic_id")
-        .select("topic_id", "row_ix", F.try_divide("dot", F.col("len") * F.col("norm")).alias("cosine"))
+        .agg(cosine.alias("cosine"))
     )
     # rounded, so that rows of equal text tie and the smaller row wins
     closest = Window.partitionBy("topic_id").orderBy(F.desc(F.round("cosine", 9)), F.asc("row_ix"))
@@ -253,8 +254,8 @@ def topic_info(
             F.col("topic_id").alias("bertopic_topic_id"),
             "n_reviews",
             name.alias("Name"),
-            F.transform(F.array_sort("ranked"), lambda x: x["term"]).alias("Representation"),
-            F.transform(F.array_sort("texts"), lambda x: x[text_col]).alias("Representative_Docs"),
+            F.transform(F.sort_array("ranked"), lambda x: x["term"]).alias("Representation"),
+            F.transform(F.sort_array("texts"), lambda x: x[text_col]).alias("Representative_Docs"),
         )
         .orderBy("bertopic_topic_id")
     )
@@ -266,5 +267,6 @@ def topic_assign(df: DataFrame, assigned: DataFrame, topic_terms: DataFrame) ->
         F.col("topic_id").alias("bertopic_topic_id"), F.col("topic_label").alias("bertopic_topic_label")
     ).distinct()
     ids = assigned.select("row_ix", F.col("cluster_id").alias("bertopic_topic_id"))
-    joined = df.join(ids, "row_ix", "left").join(labels, "bertopic_topic_id", "left")
+    # one row per topic, at most max_candidates + 1
+    joined = df.join(ids, "row_ix", "left").join(F.broadcast(labels), "bertopic_topic_id", "left")
     return joined.withColumn("bertopic_topic_label", F.coalesce("bertopic_topic_label", F.lit("outlier")))

@@ -46,7 +46,7 @@ def with_topic_label(top: DataFrame) -> DataFrame:
 
 def joined_terms(ranked: Column, n: int, separator: str) -> Column:
     """First ``n`` terms, by rank, of an array of ``(rank, term)``."""
-    terms = F.transform(F.array_sort(ranked), lambda x: x["term"])
+    terms = F.transform(F.sort_array(ranked), lambda x: x["term"])
     return F.array_join(F.slice(terms, 1, n), separator)
 
 

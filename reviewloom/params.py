@@ -238,6 +238,7 @@ class Params:
     eps: float = 0.6
     min_pts: int = 5
     max_candidates: int = 4096
+    max_broadcast_words: int = 5_000_000  # vocabulary rows that may be broadcast, some 300 MB
     positive_threshold: float = 0.05
     negative_threshold: float = -0.05
     coherence_window: int = 110

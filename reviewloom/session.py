@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,3 +45,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int) -> DataFrame:
+    """Ask for a broadcast of a written table if it has at most ``max_rows`` rows; counting those
+    reads file footers only.  A larger table is left to a shuffled join."""
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -56,17 +56,15 @@ def test_token_array_shuffles_compact_rows_once(spark):
     assert exchanges(df) == 1 and "BroadcastHashJoin" in plan(df)
 
 
-def test_large_vocabulary_is_not_broadcast(spark):
+def test_large_vocabulary_is_split(spark):
+    """Only occurrences of rare words are shuffled by token, and nothing is lost."""
     s = study(spark, SF_DIR)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     expected = sorted((r.row_ix, tuple(r.tokens)) for r in s.tokens.collect())
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = tk.token_array(s.sample, fx.PARAMS)
-        assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+    for bound in (1, 50, 2000):
+        df = tk.token_array(s.sample, fx.PARAMS.with_(max_broadcast_words=bound))
         assert sorted((r.row_ix, tuple(r.tokens)) for r in df.collect()) == expected
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    text = plan(df)
+    assert "LeftAnti" in text and "Join" in text
 
 
 def test_term_counts_need_no_shuffle(spark):
