@@ -58,10 +58,10 @@ def load_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: T
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer files than there are cores.  A large input
-    has many more files than that, and is left as it is: no shuffle."""
+    """Give every core work when the input is read in fewer splits than there are cores.  A large
+    input has many more splits than that, and is left as it is: no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def load_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -69,6 +69,20 @@ def load_table(spark: SparkSession, folder: str, name: str, schema: T.StructType
     return spark.read.options(**CSV_READ).schema(schema or TABLE_SCHEMAS[name]).csv(f"{folder}/{name}")
 
 
+def load_scored(spark: SparkSession, folder: str, params: Params) -> DataFrame:
+    """The written ``scored_reviews``: names come from its header, as raw columns vary; the types
+    of the columns that a study adds are declared here."""
+    types = {
+        "row_ix": _L, "reviewer_rating": _D, "review_date": T.TimestampType(), "review_month": T.DateType(),
+        "token_count": _L, "brand_ord": T.IntegerType(), "dominant_topic_id": _L, "bertopic_topic_id": _L,
+    }
+    types |= {name: _D for name in ("neg", "neu", "pos", "compound")}
+    types |= {f"topic_{i}": _D for i in range(params.lda_topics)}
+    types |= {f"aspect_{c}": _L for c in params.aspects} | {f"emotion_{c}": _L for c in params.emotions}
+    df = spark.read.options(**CSV_READ).csv(f"{folder}/scored_reviews")
+    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
+
+
 def read_lexicon(spark: SparkSession, path: str) -> dict[str, float]:
     """A valence lexicon: tab-separated ``word, valence`` lines, further columns ignored.
 
