@@ -24,7 +24,7 @@ STAGES = ["scored", "tokens", "counts", "lda", "topic_weights", "vectors", "clus
 OPERATORS = [
     "clean_mojibake", "clean_whitespace", "redact_phone", "compose_full_text", "filter_sample", "dedupe_keep_first",
     "keyword_count", "dict_scores", "token_normalize", "doc_term_counts", "tfidf", "density_clusters",
-    "ctfidf_terms", "topic_info", "coherence_cv", "rating_counts", "brand_summary", "sentiment_summary",
+    "topic_info", "rating_counts", "brand_summary", "sentiment_summary",
     "monthly_sentiment", "topic_distribution", "aspect_prevalence", "emotion_prevalence", "top_terms",
     "brand_summary_export", "sort_reviews", "representative_quotes", "manuscript_table", "rating_corr", "sink_table",
 ]

@@ -444,7 +444,22 @@ DICTIONARY = values(
 
 FINALS = {
     "src_reviews": "SELECT * FROM reviews",
-    "src_csv_tables": MONTHLY,
+    "src_csv_tables": " UNION ALL ".join(
+        f"SELECT {q(name)} AS table_name, concat_ws('|', {', '.join(keys)}) AS key, {r6(number, 'value')} FROM ({source})"
+        for name, keys, number, source in [
+            ("topic_coherence", ["model", "topic_id", "topic_label"], "coherence_cv", coherence_rows("cg", "LDA")),
+            (
+                "construct_mapping", ["model", "topic_id", "publication_label", "primary_construct", "interpretation"], "0.0",
+                "SELECT * REPLACE (topic_id::VARCHAR AS topic_id) FROM id_constructs UNION ALL SELECT * FROM label_constructs",
+            ),
+            ("topic_terms", ["topic_label", "term", "publication_label"], "weight", "SELECT * FROM given_terms"),
+            ("bertopic_terms", ["topic_label", "term"], "weight", "SELECT * FROM gc_terms"),
+            ("topic_distribution_by_brand", ["brand", "dominant_topic_label", "publication_label"], "pct_reviews", "SELECT * FROM topic_dist"),
+            ("aspect_distribution_by_brand", ["brand", "aspect_top_category"], "pct_reviews", "SELECT * FROM aspect_share"),
+            ("monthly_sentiment_by_brand", ["brand", "review_month::VARCHAR"], "mean_compound", MONTHLY),
+            ("sentiment_summary", ["brand", "sentiment_label"], "pct_reviews", "SELECT * FROM sentiment_share"),
+        ]
+    ),
     "src_params": f"""SELECT d.group_name, d.category, d.category_ord::BIGINT AS category_ord, d.keyword,
         count(*) FILTER (contains(' ' || lower(r.reviewer_review) || ' ', d.keyword)) AS n_reviews
         FROM ({DICTIONARY}) d CROSS JOIN reviews r GROUP BY ALL""",

@@ -167,10 +167,31 @@ def src_reviews(spark, sf_dir):
 
 @query
 def src_csv_tables(spark, sf_dir):
+    """The tables that the publication step reads, written as CSV and read back, in one long form."""
     s = study(spark, sf_dir)
+    unlabelled = s.given_cluster_terms.withColumn("publication_label", F.lit(None).cast("string"))
+    tables = {
+        "topic_coherence": (s.given_coherence, ["model", "topic_id", "topic_label"], "coherence_cv"),
+        "construct_mapping": (
+            lb.construct_union(s.given_constructs, constructs_by_label(spark, sf_dir)),
+            ["model", "topic_id", "publication_label", "primary_construct", "interpretation"], None,
+        ),
+        "topic_terms": (s.given_terms, ["topic_label", "term", "publication_label"], "weight"),
+        "bertopic_terms": (unlabelled, ["topic_label", "term", "publication_label"], "weight"),
+        "topic_distribution_by_brand": (s.given_distribution, ["brand", "dominant_topic_label", "publication_label"], "pct_reviews"),
+        "aspect_distribution_by_brand": (sm.aspect_prevalence(s.scored, BRANDS), ["brand", "aspect_top_category"], "pct_reviews"),
+        "monthly_sentiment_by_brand": (sm.monthly_sentiment(s.scored, BRANDS), ["brand", "review_month"], "mean_compound"),
+        "sentiment_summary": (sm.sentiment_summary(s.scored, BRANDS), ["brand", "sentiment_label"], "pct_reviews"),
+    }
     folder = scratch_path(spark, "tables")
-    wr.save_bundle({"monthly_sentiment_by_brand": sm.monthly_sentiment(s.scored, BRANDS)}, folder)
-    return rounded(load_table(spark, folder, "monthly_sentiment_by_brand"))
+    wr.save_bundle({name: df for name, (df, _, _) in tables.items()}, folder)
+    back = None
+    for name, (_, keys, number) in tables.items():
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
+        value = (F.col(number) if number else F.lit(0.0)).alias("value")
+        rows = load_table(spark, folder, name).select(F.lit(name).alias("table_name"), key, value)
+        back = rows if back is None else back.unionByName(rows)
+    return rounded(back)
 
 
 @query

@@ -140,3 +140,20 @@ def test_study_on_published_dictionaries(spark):
     for name in out:
         one, two = ({r.value for r in spark.read.text(paths[name]).collect()} for paths in (out, again))  # one header per part
         assert one == two, name
+
+
+def test_shared_folder_comes_from_the_session():
+    import pytest
+
+    from reviewloom.session import shared_folder
+
+    class Stub:
+        def __init__(self, master, folder):
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "stub"})()
+            self.conf = type("F", (), {"get": staticmethod(lambda key, default: folder)})()
+
+    assert shared_folder(Stub("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Stub("yarn", None))
+    local = Stub("local[2]", None)
+    assert shared_folder(local).startswith("/tmp/run-") and shared_folder(local) == shared_folder(local)
