@@ -80,7 +80,8 @@ def coherence_cv(
     npmi = (
         F.when((p_w == 0) | (p_u == 0), F.lit(0.0))
         .when(p_wu == 1, F.lit(1.0))
-        .otherwise(F.log((p_wu + eps) / (p_w * p_u)) / -F.log(p_wu + eps))
+        # also where a share is so near 1 that adding eps makes it 1
+        .otherwise(F.coalesce(F.try_divide(F.log((p_wu + eps) / (p_w * p_u)), -F.log(p_wu + eps)), F.lit(1.0)))
     )
     context = grid.select("topic_id", "topic_label", "w", "u", npmi.alias("x"))
     summed = F.sum("x").over(Window.partitionBy("topic_id", "u"))

@@ -177,13 +177,16 @@ EXPORT_COLUMNS = {
 # Defaults of our own.
 # ---------------------------------------------------------------------------------------
 
+# Tried in this order.  The first covers dates and ISO timestamps in one go, so that common inputs
+# do not fail through a list of formats.
 DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd[['T'][ ]HH:mm[:ss[.SSSSSSSSS]][XXX]]",
+    "yyyy/MM/dd",
+    "M/d/yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
 ]
 
 # A starter lexicon only, so that a study runs out of the box; a real run passes a full

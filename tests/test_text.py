@@ -91,9 +91,15 @@ def test_compose_and_count(spark):
 def test_brand_rating_date(spark):
     assert run(spark, lambda t: tx.std_brand(t, P.BRAND_SYNONYMS), [" Zara ", "HM", "Other ", None]) == ["ZARA", "H&M", "Other", None]
     assert run(spark, tx.parse_rating, ["3", " 2.5 ", "n/a", None]) == [3.0, 2.5, None, None]
-    got = run(spark, lambda t: F.date_format(tx.parse_date(t, P.DATE_FORMATS), "yyyy-MM-dd HH:mm"),
-              ["2021-03-04", "2021-03-04T05:06:07Z", "2021-03-04 05:06:07", "unknown", None, "2021-02-30", "2021-03-04T05:06:07+02:00"])
-    assert got == ["2021-03-04 00:00", "2021-03-04 05:06", "2021-03-04 05:06", None, None, None, "2021-03-04 03:06"]
+    cases = {
+        "2021-03-04": "2021-03-04 00:00:00", "2021-03-04T05:06:07Z": "2021-03-04 05:06:07", "2021-03-04 05:06:07": "2021-03-04 05:06:07",
+        "2021-03-04T05:06:07.123Z": "2021-03-04 05:06:07", "2021-03-04T05:06": "2021-03-04 05:06:00",
+        "2021-03-04T05:06:07+02:00": "2021-03-04 03:06:07", "2021/03/04": "2021-03-04 00:00:00", "3/4/2021": "2021-03-04 00:00:00",
+        "Mar 4, 2021": "2021-03-04 00:00:00", "March 14, 2021": "2021-03-14 00:00:00", "4 March 2021": "2021-03-04 00:00:00",
+        "unknown": None, "2021-02-30": None, "": None, "05:06": None, "2021": None,
+    }
+    got = run(spark, lambda t: F.date_format(tx.parse_date(t, P.DATE_FORMATS), "yyyy-MM-dd HH:mm:ss"), [*cases, None])
+    assert dict(zip([*cases, None], got)) == cases | {None: None}
 
 
 @pytest.mark.parametrize(
