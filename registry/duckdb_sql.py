@@ -506,6 +506,14 @@ FINALS = {
     "keyword_count": f"SELECT row_ix, ({keyword_hits('reviewer_review', [k for ks in P.aspects.values() for k in ks])})::BIGINT AS hits FROM reviews",
     "dict_scores": "SELECT row_ix, " + ", ".join([f"aspect_{c}" for c in P.aspects] + [f"emotion_{c}" for c in P.emotions]) + " FROM coded",
     "dict_top_category": "SELECT row_ix, aspect_top_category, emotion_top_category FROM scored",
+    "lda_doc_topics_hold": f"""SELECT row_ix, {P.lda_topics}::BIGINT AS n_topics, 1.0::DOUBLE AS total, TRUE AS dominant_is_heaviest
+        FROM sample""",
+    "lda_topic_terms_hold": f"""SELECT t AS topic_id, (SELECT string_agg(r::VARCHAR, ',' ORDER BY r) FROM range(1, {P.top_words + 1}) x(r)) AS ranks,
+        TRUE AS weights_fall, TRUE AS label_is_first_three FROM range({P.lda_topics}) y(t)""",
+    "embed_svd_products": f"""WITH weights AS (SELECT row_ix, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_ix)) AS w FROM tfidf_raw),
+        whole AS (SELECT term, sum(w) AS s FROM weights GROUP BY term)
+        SELECT row_ix, {r6('coalesce(sum(w * s), 0)', 'with_all')}, {r6('coalesce(sum(w * w), 0)', 'with_itself')}
+        FROM sample LEFT JOIN (SELECT * FROM weights JOIN whole USING (term)) USING (row_ix) GROUP BY row_ix""",
     "density_clusters": """SELECT vec_id AS row_ix, coalesce(cluster_id, -1)::BIGINT AS cluster_id
         FROM embeddings e LEFT JOIN planted_ids p ON p.label = e.label AND e.vec_id % 10 <> 0""",
     "ctfidf_terms": f"SELECT topic_id, topic_label, rank, term, {r6('weight')} FROM gt_terms",

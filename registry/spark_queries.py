@@ -451,6 +451,58 @@ def embed_svd(spark, sf_dir):
     return vectors.select("row_ix", F.posexplode("vec").alias("axis", "value"))
 
 
+# What must hold for models whose numbers SQL cannot compute, for every review and topic.
+
+
+@query
+def lda_doc_topics_hold(spark, sf_dir):
+    """Every review has weights that sum to 1, and the id of its heaviest topic."""
+    w, best = F.col("topic_weights"), F.col("dominant_topic_id").cast("int")
+    total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
+    return rounded(
+        study(spark, sf_dir).topic_weights.select(
+            "row_ix",
+            F.size(w).cast("long").alias("n_topics"),
+            total.alias("total"),
+            (F.get(w, best) == F.array_max(w)).alias("dominant_is_heaviest"),
+        )
+    )
+
+
+@query
+def lda_topic_terms_hold(spark, sf_dir):
+    """Every topic has its top terms at ranks 1 to n, in order of weight, labelled by the first three."""
+    by_rank = F.sort_array(F.collect_list(F.struct("rank", "weight", "term")))
+    lists = study(spark, sf_dir).topic_terms.groupBy("topic_id", "topic_label").agg(by_rank.alias("t"))
+    ranks, weights = F.transform("t", lambda x: x["rank"]), F.transform("t", lambda x: x["weight"])
+    first = F.array_join(F.slice(F.transform("t", lambda x: x["term"]), 1, 3), " | ")
+    return lists.select(
+        "topic_id",
+        F.array_join(ranks, ",").alias("ranks"),
+        (F.reverse(F.sort_array(weights)) == weights).alias("weights_fall"),
+        (first == F.col("topic_label")).alias("label_is_first_three"),
+    )
+
+
+@query
+def embed_svd_products(spark, sf_dir):
+    """With every axis kept, inner products are those of the TF-IDF rows: each row's product with
+    the sum of all rows, and with itself."""
+    s = study(spark, sf_dir)
+    rows, _ = tc.embed_svd(tc.tfidf_vectors(s.counts, [df for _, df in s.features]), P.max_features)
+    rows = materialise(rows, "all_axes")
+    by_axis = rows.select(F.posexplode("vec").alias("axis", "x")).groupBy("axis").agg(F.sum("x").alias("x"))
+    # one number per axis, at most max_features
+    whole = by_axis.agg(F.transform(F.sort_array(F.collect_list(F.struct("axis", "x"))), lambda a: a["x"])).scalar()
+
+    def product(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    placed = rows.withColumn("whole", whole)
+    vec = F.col("vec")
+    return rounded(placed.select("row_ix", product(vec, F.col("whole")).alias("with_all"), product(vec, vec).alias("with_itself")))
+
+
 @query
 def density_clusters(spark, sf_dir):
     """On vectors with planted clusters: 0.3 * unit embedding, plus 1 in the label's dimension,

@@ -58,8 +58,14 @@ def lda_topic_terms(spark: SparkSession, model: LDAModel, terms: list[str], top_
 
 
 def lda_weights(counts: DataFrame, model: LDAModel) -> DataFrame:
-    """``row_ix, topic_weights``: share of every topic in every row, as an array by topic id."""
-    return model.transform(counts).select("row_ix", vector_to_array("topic_vector").alias("topic_weights"))
+    """``row_ix, topic_weights``: share of every topic in every row, as an array by topic id.
+
+    A row without feature terms has its prior, equal shares; the estimator itself gives zeros.
+    """
+    k = len(model.estimatedDocConcentration())
+    w = F.col("topic_weights")
+    scored = model.transform(counts).select("row_ix", vector_to_array("topic_vector").alias("topic_weights"))
+    return scored.withColumn("topic_weights", F.when(F.array_max(w) == 0, F.array_repeat(F.lit(1.0 / k), k)).otherwise(w))
 
 
 def dominant_topic(weights: DataFrame, topic_terms: DataFrame) -> DataFrame:

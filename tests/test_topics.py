@@ -154,6 +154,9 @@ def test_lda_separates_and_keeps_its_invariants(spark):
     weights = tl.dominant_topic(tl.lda_weights(counts, model), top).collect()
     assert len(weights) == 120 and all(abs(sum(r.topic_weights) - 1) < 1e-9 for r in weights)
     assert len({(r.row_ix % 2, r.dominant_topic_id) for r in weights}) == 2
+    blank = spark.createDataFrame([(1, []), (2, ["unknown"])], "row_ix long, tokens array<string>")
+    even = tl.dominant_topic(tl.lda_weights(tl.count_vectors(blank, terms), model), top).collect()
+    assert [(r.topic_weights, r.dominant_topic_id) for r in even] == [([0.5, 0.5], 0)] * 2
     with pytest.raises(ValueError):
         tl.count_vectors(tokens, [])
 
