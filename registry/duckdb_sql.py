@@ -37,8 +37,8 @@ def case_lookup(expr: str, mapping: dict, otherwise: str = "NULL") -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + f" ELSE {otherwise} END"
 
 
-def r6(expr: str, name: str | None = None) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name or expr}"
+def r6(expr: str, name: str | None = None, places: int = 6) -> str:
+    return f"round({expr}, {places}) + 0.0 AS {name or expr}"
 
 
 # --- text steps ------------------------------------------------------------------------
@@ -380,9 +380,9 @@ CTES |= {
     "review_rank": """SELECT row_ix, row_number() OVER (ORDER BY brand_ord NULLS LAST, review_date NULLS LAST, url NULLS LAST, row_ix) AS place
                   FROM scored""",
     "brand_stats": """SELECT brand, count(*) AS n_reviews, avg(token_count) AS mean_tokens, median(token_count) AS median_tokens,
-                  avg(compound) AS mean_compound FROM scored GROUP BY brand""",
+                  sum(compound::DECIMAL(20, 10))::DOUBLE / count(*) AS mean_compound FROM scored GROUP BY brand""",
     "sentiment_share": share_table("sentiment_label", "scored"),
-    "month_rows": "SELECT brand, review_month, avg(compound) AS mean_compound, count(*) AS n FROM scored WHERE review_date IS NOT NULL GROUP BY ALL",
+    "month_rows": "SELECT brand, review_month, sum(compound::DECIMAL(20, 10))::DOUBLE / count(*) AS mean_compound, count(*) AS n FROM scored WHERE review_date IS NOT NULL GROUP BY ALL",
     "planted": """SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n, min(vec_id) OVER (PARTITION BY label) AS first
                   FROM embeddings WHERE vec_id % 10 <> 0""",
     "planted_ids": "SELECT label, row_number() OVER (ORDER BY n DESC, first) - 1 AS cluster_id FROM (SELECT DISTINCT label, n, first FROM planted)",
@@ -423,7 +423,7 @@ EXPORT = ", ".join(
     f"round({c}, 6) + 0.0 AS {n}" if c in ("reviewer_rating", "compound", "pos", "neg", "neu") else f"{c} AS {n}"
     for c, n in EXPORT_COLUMNS.items()
 )
-MONTHLY = f"""SELECT g.brand, g.review_month, {r6('m.mean_compound', 'mean_compound')}, coalesce(m.n, 0)::BIGINT AS n_reviews
+MONTHLY = f"""SELECT g.brand, g.review_month, {r6('m.mean_compound', 'mean_compound', 12)}, coalesce(m.n, 0)::BIGINT AS n_reviews
     FROM (SELECT brand, review_month FROM brands CROSS JOIN (SELECT DISTINCT review_month FROM month_rows)) g
     LEFT JOIN month_rows m ON m.brand = g.brand AND m.review_month = g.review_month"""
 BRAND_SUMMARY = f"""SELECT brands.brand, coalesce(n_reviews, 0)::BIGINT AS n_reviews, {r6('mean_tokens')}, {r6('median_tokens')}, {r6('mean_compound')}
@@ -445,7 +445,7 @@ DICTIONARY = values(
 FINALS = {
     "src_reviews": "SELECT * FROM reviews",
     "src_csv_tables": " UNION ALL ".join(
-        f"SELECT {q(name)} AS table_name, concat_ws('|', {', '.join(keys)}) AS key, {r6(number, 'value')} FROM ({source})"
+        f"SELECT {q(name)} AS table_name, concat_ws('|', {', '.join(keys)}) AS key, {r6(number, 'value', 12 if number == 'mean_compound' else 6)} FROM ({source})"
         for name, keys, number, source in [
             ("topic_coherence", ["model", "topic_id", "topic_label"], "coherence_cv", coherence_rows("cg", "LDA")),
             (
@@ -568,7 +568,7 @@ FINALS = {
         {r6('100.0 * n_reviews / nullif(sum(n_reviews) OVER (PARTITION BY reviewer_country), 0)', 'pct_reviews')}
         FROM ({share_table('reviewer_country', 'scored')})""",
     "brand_summary_export": """SELECT brand, count(*) AS n_reviews, round_even(avg(reviewer_rating), 3) AS mean_rating,
-        round_even(avg(compound), 3) AS mean_sentiment,
+        round_even(sum(compound::DECIMAL(20, 10))::DOUBLE / count(*), 3) AS mean_sentiment,
         round_even(100.0 * count(*) FILTER (sentiment_label = 'positive') / count(*), 3) AS pct_positive,
         round_even(100.0 * count(*) FILTER (sentiment_label = 'negative') / count(*), 3) AS pct_negative,
         round_even(100.0 * count(*) FILTER (sentiment_label = 'neutral') / count(*), 3) AS pct_neutral

@@ -190,8 +190,9 @@ def src_csv_tables(spark, sf_dir):
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
         value = (F.col(number) if number else F.lit(0.0)).alias("value")
         rows = load_table(spark, folder, name).select(F.lit(name).alias("table_name"), key, value)
+        rows = rounded(rows, 12 if number == "mean_compound" else 6)
         back = rows if back is None else back.unionByName(rows)
-    return rounded(back)
+    return back
 
 
 @query
@@ -620,7 +621,8 @@ def sentiment_summary(spark, sf_dir):
 
 @query
 def monthly_sentiment(spark, sf_dir):
-    return rounded(sm.monthly_sentiment(study(spark, sf_dir).scored, BRANDS))
+    # both sides divide exact sums; six digits would leave decimal ties to the engines' rounding
+    return rounded(sm.monthly_sentiment(study(spark, sf_dir).scored, BRANDS), 12)
 
 
 @query
