@@ -3,7 +3,9 @@
 import pytest
 from oracle_check import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from registry.duckdb_sql import ORACLES
+from registry.spark_queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 ROWS_ONLY = {"lda_fit", "lda_topic_terms", "lda_doc_topics", "embed_svd", "study_tables"}
@@ -15,18 +17,18 @@ def con():
 
 
 def test_only_models_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, con, name):
-    assert compare(spark, con, SF_DIR, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, con, SF_DIR, QUERIES[name], ORACLES[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_query_returns_rows(spark, name):
-    assert queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
 def test_entry(spark):
