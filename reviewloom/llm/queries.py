@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import packing, phrase_index, simhash
+from reviewloom.llm import ball_tree, html_main, language, packing, phrase_index, simhash, surrogates, toxicity, url_rules, warc
 
 #: Folder of the public tokenisers' module and files.
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +19,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (host, path, verdict) of the rules that the registered query judges by (fixed values).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Key of the registered query's surrogates; a deployment passes its own secret.
+SURROGATE_KEY = b"registered-query"
+
+
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), ball_tree.scaled(F.col("embedding")).alias("v"))
+    return ball_tree.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.url_verdicts(_table(spark, sf_dir, "pages"), rules)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
@@ -34,6 +57,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.filter("not held_out"))
+    return language.identify(docs, model, "held_out")
+
+
+def op7_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -43,8 +77,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replace_entities(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return found.select("doc_id", "text", "n_replaced")
+
+
 QUERIES = {
+    "op1_warc_capture_index": op1_warc_capture_index,
+    "op2_html_main_text": op2_html_main_text,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_url_rules": op4_url_rules,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity_severity": op7_toxicity_severity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
