@@ -237,12 +237,19 @@ def fit(docs: DataFrame, sample_rows: int = 4000, epochs: int = 3) -> Model:
 
 
 def temperature(logits: np.ndarray, right: np.ndarray) -> float:
-    """The temperature with the least negative log likelihood, by golden section on its logarithm."""
-    if not len(right):
+    """The temperature with the least cross entropy, by golden section on its logarithm.
+
+    The targets are smoothed by one row in n + 2, as in Platt's scaling, so that a sample without an error does
+    not make the model certain.
+    """
+    if not len(right) or logits.shape[1] < 2:
         return 1.0
+    smooth = 1 / (len(right) + 2)
+    target = np.full(logits.shape, smooth / (logits.shape[1] - 1))
+    target[np.arange(len(right)), right] = 1 - smooth
 
     def loss(t: float) -> float:
-        return -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(right)), right], 1e-300)).mean()
+        return -(target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(axis=1).mean()
 
     low, high, ratio = -3.0, 3.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
@@ -271,8 +278,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             columns = [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(names, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys((*keep, "text")))
     kinds = dict(rows.dtypes)
-    columns = ["doc_id", *keep, "text"] if "text" not in keep else ["doc_id", *keep]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)] + ["lang_pred string", "score double"])
-    return rows.select(*columns).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -79,7 +79,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind.startswith("name"):
             value = " ".join(value.lower().split(" "))
         elif kind in ("card", "phone", "ssn"):
-            value = re.sub(r"\D", "", value)
+            value = "+" * value.startswith("+") + re.sub(r"\D", "", value)
         elif kind == "iban":
             value = value.replace(" ", "")
             if not _iban_holds(value):
@@ -157,8 +157,9 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind == "card" and value:
         new = value[0] + new[1:]
         return new[:-1] + str((int(new[-1]) + _luhn(new)) % 10) if _luhn(value) == 0 else new
-    if kind == "phone":
-        return "".join(str(1 + stream.below(9)) if old != "0" and d == "0" else d for old, d in zip(value, new, strict=True))
+    if kind == "phone":  # no new leading zeros; the start of a country code stays
+        new = "".join(str(1 + stream.below(9)) if old != "0" and d == "0" else d for old, d in zip(value, new, strict=True))
+        return value[:2] + new[2:] if value.startswith("+") else new
     return new
 
 
@@ -176,7 +177,7 @@ def dressed(new: str, mention: str, kind: str) -> str:
         words = [w.upper() if old.isupper() and len(old) > 1 else w.capitalize() for w, old in zip(new.split(" "), mention.split(" "), strict=True)]
         return " ".join(words)
     if kind in ("card", "phone", "ssn", "iban"):
-        signs = iter(new)
+        signs = iter(new.lstrip("+"))
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for n, c in zip(new, mention, strict=True))

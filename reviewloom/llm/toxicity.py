@@ -40,11 +40,13 @@ def word_features(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray,
 
 @dataclass
 class Model:
-    """Features with a weight, in order, their weights, and the rising thresholds."""
+    """Features with a weight, in order, their weights, the rising thresholds, and the P(grade > 0) from which
+    a document counts as toxic."""
 
     features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    toxic_at: float = 0.5
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         out = [np.zeros(0)]
@@ -89,7 +91,19 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
         cuts = np.maximum.accumulate(cuts - 0.1 / np.sqrt(speed_c) * g_cut)
     kept = np.flatnonzero(w)
-    return Model(features[kept], w[kept], cuts)
+    p = sigmoid(np.bincount(doc, w[column], minlength=len(rows)) - cuts[0])
+    return Model(features[kept], w[kept], cuts, best_cut(p, grades > 0, weight))
+
+
+def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
+    """The probability from which calling documents positive has the highest F1 on the sample: midway between
+    the last one taken and the next."""
+    order = np.argsort(-p, kind="stable")
+    hit = np.cumsum((weight * positive)[order])
+    f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * positive).sum())
+    f1[:-1][p[order][:-1] == p[order][1:]] = -1  # equal probabilities go together
+    last = int(np.argmax(f1))
+    return float((p[order[last]] + (p[order[last + 1]] if last + 1 < len(p) else 0)) / 2)
 
 
 def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -139,11 +153,11 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, cuts: tuple[int,
     return np.where(toxic > 0, 1 + (n[:, None] >= np.array(cuts)).sum(axis=1), 0)
 
 
-def grade(docs: DataFrame, model: Model | None, toxic_at: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, severity, grade, toxic) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     severity is the expected grade, grade the number of thresholds more likely exceeded than not, and toxic
-    says that P(grade > 0) is at least ``toxic_at``.  Null and empty texts have no features and get the
+    says that P(grade > 0) is at least the model's ``toxic_at``.  Null and empty texts have no features and get the
     prior.  Without a model (no labels of both kinds) severity is null and nothing is toxic.  Repeated rows
     and null ids are kept.
     """
@@ -156,7 +170,7 @@ def grade(docs: DataFrame, model: Model | None, toxic_at: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             above = shared.value.above(batch.column("text").to_pylist())
-            columns = [above.sum(axis=1), (above >= 0.5).sum(axis=1).astype(np.int32), above[:, 0] >= toxic_at]
+            columns = [above.sum(axis=1), (above >= 0.5).sum(axis=1).astype(np.int32), above[:, 0] >= shared.value.toxic_at]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "severity", "grade", "toxic"])
 
     return texts.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
