@@ -21,7 +21,12 @@ LEAST_SCORE = 0.35
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id is in the written, narrow table ``gone``; ids may be null."""
     gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns as one, so that names of extra columns meet no others."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +36,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without any there is no language to reject by, and only texts without a letter go.
     """
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    kept = language.identify(docs, model, *[c for c in docs.columns if c != "doc_id"])
+    kept = language.identify(_packed(docs), model, "row")
     if model.languages:
         kept = kept.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     else:
-        kept = kept.filter(F.col("text").rlike(r"\p{IsAlphabetic}"))
-    return kept.select(docs.columns)
+        kept = kept.filter(F.col("row.text").rlike(r"\p{IsAlphabetic}"))
+    return kept.select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +68,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in every text; n_chars follows the new text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    new = surrogates.replace_entities(docs, SURROGATE_KEY, *others)
-    if "n_chars" in others:
-        new = new.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(docs.columns)
+    new = surrogates.replace_entities(_packed(docs), SURROGATE_KEY, "row")
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", length)
+    return new.select(row.alias("row")).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

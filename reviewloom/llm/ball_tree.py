@@ -144,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
         keys, own = rows.column("query").to_numpy(), rows.column("vec_id").to_numpy()
         lists = rows.column("v").to_pylist()
         sizes = np.array([len(x) for x in lists], np.int64)
-        matrices = {d: np.array([x for x in lists if len(x) == d], float).reshape(-1, d) for d in set(sizes.tolist())}
+        matrices = {d: np.array([x for x in lists if len(x) == d], float).reshape((sizes == d).sum(), d) for d in set(sizes.tolist())}
         shared = spark.sparkContext.broadcast((keys, own, sizes, matrices, k))
         first = _searched(trees.filter("shard = 0"), shared, None, schema)
         kth = Window.partitionBy("query").orderBy(F.desc("score"))

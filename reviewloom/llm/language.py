@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMS = 1 << 15
 ORDERS = (2, 3)
@@ -279,6 +280,5 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys((*keep, "text")))
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)] + ["lang_pred string", "score double"])
+    schema = T.StructType([rows.schema[c] for c in ("doc_id", *keep)]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return rows.mapInArrow(run, schema)

@@ -231,45 +231,14 @@ def plan(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Slots (length, lo, hi, first sequence, offset), sorted, and the number of sequences.
 
     ``histogram[l]`` counts pieces of l tokens.  Pieces with rank lo <= r < hi among those of their length go
-    to sequence first + r - lo, at ``offset``.  Every piece has exactly one slot.
+    to sequence first + r - lo, at ``offset``.  Every piece has exactly one slot.  Three roundings of the
+    fitted counts are tried, and the one with the fewest sequences is kept: down, then topped up with
+    patterns that the histogram still holds; down only; and to nothing, which leaves all to the best fit.
     """
-    left = histogram.astype(np.int64).copy()
-    bundles: list[tuple[tuple[int, ...], int]] = []  # (lengths, number of sequences)
-
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        if times > 0:
-            bundles.append((pattern, times))
-            for length in pattern:
-                left[length] -= times
-
-    table = patterns(left, capacity) if left.any() else np.zeros((0, 4), np.int64)
-    if len(table):
-        fitted = fit_counts(table, left.astype(float))
-        for floor in (True, False):  # rounded down first, then what the histogram still holds
-            for i in np.argsort(-fitted, kind="stable"):
-                pattern = tuple(int(x) for x in table[i] if x)
-                most = min(left[length] // pattern.count(length) for length in pattern)
-                take(pattern, int(min(most, np.floor(fitted[i]) if floor else most if fitted[i] > 0.05 else 0)))
-    space: dict[int, list[list]] = defaultdict(list)  # room left -> [lengths, number of sequences] of open ones
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            fits = min((room for room in space if room >= length), default=None)
-            if fits is None:
-                each = capacity // length
-                n = max(1, int(left[length]) // each)
-                group = [(length,) * min(each, int(left[length])), n]
-            else:
-                old = space[fits].pop()
-                if not space[fits]:
-                    del space[fits]
-                n = min(int(left[length]), old[1])
-                if n < old[1]:
-                    space[fits].append([old[0], old[1] - n])
-                group = [(*old[0], length), n]
-            added = len(group[0]) if fits is None else 1
-            left[length] -= added * n
-            space[capacity - sum(group[0])].append(group)
-    bundles += [(tuple(lengths), n) for groups in space.values() for lengths, n in groups]
+    table = patterns(histogram, capacity) if histogram.any() else np.zeros((0, 4), np.int64)
+    fitted = fit_counts(table, histogram.astype(float)) if len(table) else np.zeros(0)
+    tried = [_rounded(table, fitted, histogram, capacity, n) for n in ((2, 1, 0) if len(table) else (0,))]
+    bundles = min(tried, key=lambda bundles: sum(n for _, n in bundles))
     slots, used, first = [], np.zeros(capacity + 1, np.int64), 0
     for pattern, times in bundles:
         offset = 0
@@ -281,6 +250,45 @@ def plan(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(slots), np.int64).reshape(-1, 5), first
 
 
+def _rounded(table: np.ndarray, fitted: np.ndarray, histogram: np.ndarray, capacity: int, passes: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences): ``passes`` roundings of the fitted counts, then the residual by best fit."""
+    left = histogram.astype(np.int64).copy()
+    bundles = []
+    for up in range(passes):
+        for i in np.argsort(-fitted, kind="stable"):
+            pattern = tuple(int(x) for x in table[i] if x)
+            most = min(left[length] // pattern.count(length) for length in pattern)
+            times = int(min(most, np.floor(fitted[i]))) if not up else int(most) if fitted[i] > 0.05 else 0
+            if times > 0:
+                bundles.append((pattern, times))
+                for length in pattern:
+                    left[length] -= times
+    return bundles + _best_fit(left, capacity)
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first, of a histogram; equal sequences are handled together."""
+    space: dict[int, list[list]] = defaultdict(list)  # room left -> [lengths, number of sequences] of open ones
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            room = min((r for r in space if r >= length), default=None)
+            if room is None:
+                each = min(capacity // length, int(left[length]))
+                group = [(length,) * each, int(left[length]) // each]
+                left[length] -= each * group[1]
+            else:
+                old = space[room].pop()
+                n = min(int(left[length]), old[1])
+                if n < old[1]:
+                    space[room].append([old[0], old[1] - n])
+                if not space[room]:
+                    del space[room]
+                group = [(*old[0], length), n]
+                left[length] -= n
+            space[capacity - sum(group[0])].append(group)
+    return [(tuple(lengths), n) for groups in space.values() for lengths, n in groups]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``.
 

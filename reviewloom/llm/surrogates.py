@@ -19,9 +19,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.session import materialise
 
+#: Rounds after which a format counts as exhausted.
+MOST_ROUNDS = 64
+
 #: Titles before a person's name, by gender (fixed values).
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа"),
@@ -207,6 +211,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     Of entities with the same surrogate the first by value keeps it, unless it is an entity's value.  Each
     round is written to the shared folder.  Genders share a name space, so that names stay distinct too.
+    A format whose values are nearly all entities of the corpus is an error after ``MOST_ROUNDS``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +225,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     state = entities.select("type", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(run, schema)
     state = materialise(state, "surrogates")
     real = materialise(state.select(space.alias("space"), F.col("value").alias("surrogate")).distinct(), "entities")
-    while True:
+    for _ in range(MOST_ROUNDS):
         rows = state.withColumn("space", space)
         shared = rows.groupBy("space", "surrogate").agg(F.min(F.struct("value", "type")).alias("first"), F.count("*").alias("n"))
         taken = real.withColumn("taken", F.lit(True))
@@ -231,6 +236,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         moves = F.col("taken") | (F.col("first") != F.struct("value", "type"))
         next_ = rows.join(clash, ["space", "surrogate"], "left").select("type", "value", F.when(F.coalesce(moves, F.lit(False)), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
         state = materialise(next_.mapInArrow(run, schema), "surrogates")
+    raise RuntimeError("a format of entities has too few values for a distinct surrogate each")
 
 
 def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
@@ -265,8 +271,8 @@ def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), n, pa.array(spans, kind)], ["doc_id", *keep, "text", "n_replaced", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    schema += ", text string, n_replaced int, spans array<struct<start: int, end: int, type: string>>"
+    place = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("type", T.StringType())
+    schema = T.StructType([rows.schema[c] for c in ("doc_id", *keep)]).add("text", T.StringType())
+    schema = schema.add("n_replaced", T.IntegerType()).add("spans", T.ArrayType(place))
     joined = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("marked_id")), "left").select(*rows.columns, "later")
     return joined.mapInArrow(run, schema)

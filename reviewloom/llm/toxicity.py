@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector is shared by all ordered thresholds.  x marks
-the presence of hashed words.  The model is fitted on a bounded sample of graded documents by proximal
-gradient with an L1 penalty, so that few words keep a weight, and every document's expected grade is the
-sum of its probabilities of exceeding each threshold.
+the presence of hashed words and of the five-byte runs of words framed as <word>.  The model is fitted on a
+bounded sample of graded documents by proximal gradient with an L1 penalty, so that few features keep a
+weight, and every document's expected grade is the sum of its probabilities of exceeding each threshold.
 """
 
 from __future__ import annotations
@@ -22,20 +22,56 @@ from reviewloom.llm.shared import word_codes
 DIMS = 1 << 20
 #: Text handled at once, in bytes; bounds a task's memory.
 BYTES_AT_ONCE = 1 << 22
+WORDS_AT_ONCE = 1 << 18
+#: Share of the penalty in the second fit.
+RELAXED = 0.2
+#: Length of the byte runs.
+GRAM = 5
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def word_features(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each group of texts: (number of texts, text of each word, feature of each word)."""
+def dictionary_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) of all features of the words of a dictionary, in order of words."""
+    framed = [b"<%b>" % w for w in words]
+    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
+    flat = np.frombuffer(b"".join(framed), np.uint8)
+    n = np.maximum(sizes - GRAM + 1, 0)
+    word = np.repeat(np.arange(len(words)), n)
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n)
+    h = np.full(len(at), GRAM, np.uint32)
+    for i in range(GRAM):
+        h = (h ^ flat[at + i]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+    whole = np.fromiter(map(zlib.crc32, framed), np.int64, len(framed))
+    word = np.concatenate([np.arange(len(words)), word])
+    feature = np.concatenate([whole, h.astype(np.int64)]) & (DIMS - 1)
+    order = np.argsort(word, kind="stable")
+    return word[order], feature[order]
+
+
+def text_features(texts: list[bytes | None], wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each group of texts: their number, and the distinct text * DIMS + feature in order; of the features
+    marked in ``wanted``, if given."""
     sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
     groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE)) + 1)
     for group in groups:
         codes, words, n_words = word_codes([texts[i] for i in group])
-        hashed = np.fromiter((zlib.crc32(w) & (DIMS - 1) for w in words.to_pylist()), np.int64, len(words))
-        yield len(group), np.repeat(np.arange(len(group)), n_words), hashed[codes]
+        word, feature = dictionary_features(words.to_pylist())
+        if wanted is not None:
+            word, feature = word[wanted[feature]], feature[wanted[feature]]
+        count = np.bincount(word, minlength=len(words))
+        first = np.cumsum(count) - count
+        text = np.repeat(np.arange(len(group)), n_words)
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(codes), WORDS_AT_ONCE):  # bounds memory
+            some = np.flatnonzero(count[codes[at : at + WORDS_AT_ONCE]]) + at
+            n = count[codes[some]]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[codes[some]], n)
+            found.append(np.unique(np.repeat(text[some], n) * DIMS + feature[place]))
+        yield len(group), np.unique(np.concatenate(found))
 
 
 @dataclass
@@ -52,9 +88,7 @@ class Model:
         out = [np.zeros(0)]
         dense = np.zeros(DIMS)
         dense[self.features] = self.weights
-        for n, text, feature in word_features(texts):
-            some = dense[feature] != 0
-            pairs = np.unique(text[some] * DIMS + feature[some])
+        for n, pairs in text_features(texts, dense != 0):
             out.append(np.bincount(pairs // DIMS, dense[pairs % DIMS], minlength=n))
         return np.concatenate(out)
 
@@ -63,36 +97,56 @@ class Model:
         return sigmoid(self.scores(texts)[:, None] - self.thresholds)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, l1: float = 2e-4, rounds: int = 300) -> Model:
-    """The cumulative-link model of documents given as arrays of features; ``weight`` counts for the prior."""
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, l1: float = 6.0, rounds: int = 400) -> Model:
+    """The cumulative-link model of documents given as arrays of features; ``weight`` counts for the prior.
+
+    A feature's penalty is ``l1`` standard deviations of its gradient under the prior alone, so that features
+    that tell nothing keep no weight whatever the size of the sample.  Those whose gradient under the prior is
+    below their penalty are left out from the start; those that keep a weight are fitted again under a
+    ``RELAXED`` share of their penalty, which takes back most of its shrinkage.
+    """
     features, column = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    doc = np.repeat(np.arange(len(rows)), sizes)
+    doc = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
     weight = weight / weight.sum()
     levels = int(grades.max()) + 1
     share = np.cumsum(np.bincount(grades, weight, levels))[:-1]
     cuts = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
-    w, speed_w, speed_c = np.zeros(len(features)), np.full(len(features), 1e-8), np.full(levels - 1, 1e-8)
+    ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+    alone = weight * (1 - sigmoid(ends[grades + 1]) - sigmoid(ends[grades]))
+    penalty = l1 * np.sqrt(np.bincount(column, (alone**2)[doc], minlength=len(features)))
+    kept = np.flatnonzero(np.abs(np.bincount(column, alone[doc], minlength=len(features))) > penalty)
+    place = np.full(len(features), -1)
+    place[kept] = np.arange(len(kept))
+    inside = place[column] >= 0
+    features, penalty, doc, column = features[kept], penalty[kept], doc[inside], place[column[inside]]
+    w = np.zeros(len(features))
+    for share in (1.0, RELAXED):  # the second time over the features that kept a weight
+        inside = w[column] != 0 if share < 1 else np.ones(len(column), bool)
+        w, cuts = _descend(doc[inside], column[inside], grades, weight, cuts, w, share * penalty, rounds)
+    kept = np.flatnonzero(w)
+    p = sigmoid(np.bincount(doc, w[column], minlength=len(rows)) - cuts[0])
+    return Model(features[kept], w[kept], cuts, best_cut(p, grades > 0, weight))
+
+
+def _descend(doc, column, grades, weight, cuts, w, penalty, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proximal gradient steps, with a rate for each coordinate."""
+    levels = len(cuts) + 1
+    speed_w, speed_c = np.full(len(w), 1e-8), np.full(len(cuts), 1e-8)
     for _ in range(rounds):
-        s = np.bincount(doc, w[column], minlength=len(rows))
-        edges = np.column_stack([np.full(len(rows), -np.inf), np.broadcast_to(cuts, (len(rows), levels - 1)), np.full(len(rows), np.inf)])
-        high = sigmoid(edges[np.arange(len(rows)), grades + 1] - s)
-        low = sigmoid(edges[np.arange(len(rows)), grades] - s)
+        s = np.bincount(doc, w[column], minlength=len(grades))
+        ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+        high, low = sigmoid(ends[grades + 1] - s), sigmoid(ends[grades] - s)
         p = np.maximum(high - low, 1e-12)
-        g = np.bincount(column, (weight * (1 - high - low))[doc], minlength=len(features))
-        g_cut = np.zeros(levels + 1)
-        np.add.at(g_cut, grades + 1, -weight * high * (1 - high) / p)
-        np.add.at(g_cut, grades, weight * low * (1 - low) / p)
+        g = np.bincount(column, (weight * (1 - high - low))[doc], minlength=len(w))
+        g_cut = np.bincount(grades + 1, -weight * high * (1 - high) / p, levels + 1) + np.bincount(grades, weight * low * (1 - low) / p, levels + 1)
         g_cut = g_cut[1:-1]
         speed_w += g * g
         speed_c += g_cut * g_cut
         rate = 0.3 / np.sqrt(speed_w)
         w = w - rate * g
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         cuts = np.maximum.accumulate(cuts - 0.1 / np.sqrt(speed_c) * g_cut)
-    kept = np.flatnonzero(w)
-    p = sigmoid(np.bincount(doc, w[column], minlength=len(rows)) - cuts[0])
-    return Model(features[kept], w[kept], cuts, best_cut(p, grades > 0, weight))
+    return w, cuts
 
 
 def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
@@ -106,15 +160,14 @@ def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
     return float((p[order[last]] + (p[order[last + 1]] if last + 1 < len(p) else 0)) / 2)
 
 
-def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(distinct features, toxic, how many labelled rows it stands for) of labelled documents: at most
     ``sample_rows`` // 2 of each label, those with the smallest hashed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column("text").to_pylist(), []
-            for n, text, feature in word_features(texts):
-                pairs = np.unique(text * DIMS + feature)
+            for n, pairs in text_features(texts):
                 found += np.split(pairs % DIMS, np.searchsorted(pairs, np.arange(1, n) * DIMS))
             columns = [batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "at"])
@@ -135,11 +188,11 @@ def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -
     return features, toxic, np.array([number[t] for t in toxic.tolist()])
 
 
-def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, cuts: tuple[int, ...] = (3, 5), odds: float = 4.0) -> np.ndarray:
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, cuts: tuple[int, ...] = (6, 16), odds: float = 4.0) -> np.ndarray:
     """Ordered grades for documents labelled toxic or not: 0 if not; else 1, and one more for each of ``cuts``
-    that the number of its marker words reaches.
+    that the number of its markers reaches.
 
-    Marker words are those of at least ten toxic documents whose smoothed odds of standing in a toxic document
+    Markers are features of at least ten toxic documents whose smoothed odds of standing in a toxic document
     are ``exp(odds)`` times those of standing in another.
     """
     features, column = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
@@ -176,7 +229,7 @@ def grade(docs: DataFrame, model: Model | None) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Model | None:
     """The model of documents labelled ``toxic`` 0 or 1, by ``severity_grades``; None without both labels."""
     rows, toxic, weight = sample_graded(docs, labels, sample_rows)
     if not len(toxic) or toxic.min() == toxic.max():
