@@ -97,11 +97,11 @@ class Model:
         return sigmoid(self.scores(texts)[:, None] - self.thresholds)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, l1: float = 6.0, rounds: int = 400) -> Model:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, l1: float = 7.0, rounds: int = 400) -> Model:
     """The cumulative-link model of documents given as arrays of features; ``weight`` counts for the prior.
 
-    A feature's penalty is ``l1`` standard deviations of its gradient under the prior alone, so that features
-    that tell nothing keep no weight whatever the size of the sample.  Those whose gradient under the prior is
+    A feature's penalty is ``l1`` standard deviations that its gradient has under the prior alone if it has
+    nothing to do with grades, so that such features keep no weight whatever the size of the sample.  Those whose gradient under the prior is
     below their penalty are left out from the start; those that keep a weight are fitted again under a
     ``RELAXED`` share of their penalty, which takes back most of its shrinkage.
     """
@@ -113,7 +113,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
     cuts = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
     ends = np.concatenate([[-np.inf], cuts, [np.inf]])
     alone = weight * (1 - sigmoid(ends[grades + 1]) - sigmoid(ends[grades]))
-    penalty = l1 * np.sqrt(np.bincount(column, (alone**2)[doc], minlength=len(features)))
+    penalty = l1 * np.sqrt(np.bincount(column, minlength=len(features)) * (alone**2).mean())
     kept = np.flatnonzero(np.abs(np.bincount(column, alone[doc], minlength=len(features))) > penalty)
     place = np.full(len(features), -1)
     place[kept] = np.arange(len(kept))
@@ -149,14 +149,17 @@ def _descend(doc, column, grades, weight, cuts, w, penalty, rounds: int) -> tupl
     return w, cuts
 
 
-def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
-    """The probability from which calling documents positive has the highest F1 on the sample: midway between
-    the last one taken and the next."""
+def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray, precision: float = 0.8) -> float:
+    """The probability from which calling documents positive has the highest F1 on the sample, at a precision of
+    at least ``precision``: midway between the last one taken and the next.  0.5 if nothing is so precise."""
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum((weight * positive)[order])
-    f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * positive).sum())
+    hit, taken = np.cumsum((weight * positive)[order]), np.cumsum(weight[order])
+    f1 = 2 * hit / (taken + (weight * positive).sum())
+    f1[hit < precision * taken] = -1
     f1[:-1][p[order][:-1] == p[order][1:]] = -1  # equal probabilities go together
     last = int(np.argmax(f1))
+    if f1[last] <= 0:
+        return 0.5
     return float((p[order[last]] + (p[order[last + 1]] if last + 1 < len(p) else 0)) / 2)
 
 
