@@ -385,6 +385,8 @@ CTES |= {
     "month_rows": "SELECT brand, review_month, sum(compound::DECIMAL(20, 10))::DOUBLE / count(*) AS mean_compound, count(*) AS n FROM scored WHERE review_date IS NOT NULL GROUP BY ALL",
     "planted": """SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n, min(vec_id) OVER (PARTITION BY label) AS first
                   FROM embeddings WHERE vec_id % 10 <> 0""",
+    "planted_words": """SELECT row_ix, word_group, word_group || ((row_ix * 7 + j * j) % 10)::VARCHAR AS term
+        FROM (SELECT doc_id AS row_ix, substr('abc', (doc_id % 3 + 1)::INTEGER, 1) AS word_group, unnest(range(0, 4 + n_chars % 5)) AS j FROM documents)""",
     "planted_ids": "SELECT label, row_number() OVER (ORDER BY n DESC, first) - 1 AS cluster_id FROM (SELECT DISTINCT label, n, first FROM planted)",
 }
 
@@ -506,6 +508,13 @@ FINALS = {
     "keyword_count": f"SELECT row_ix, ({keyword_hits('reviewer_review', [k for ks in P.aspects.values() for k in ks])})::BIGINT AS hits FROM reviews",
     "dict_scores": "SELECT row_ix, " + ", ".join([f"aspect_{c}" for c in P.aspects] + [f"emotion_{c}" for c in P.emotions]) + " FROM coded",
     "dict_top_category": "SELECT row_ix, aspect_top_category, emotion_top_category FROM scored",
+    "lda_fit": """SELECT word_group, term, count(*) AS n FROM planted_words GROUP BY ALL""",
+    "lda_topic_terms": """SELECT word_group, row_number() OVER (PARTITION BY word_group ORDER BY n DESC, term) AS rank, n,
+        TRUE AS label_is_first_three, TRUE AS of_the_group
+        FROM (SELECT word_group, term, count(*) AS n FROM planted_words GROUP BY ALL) QUALIFY rank <= 8""",
+    "lda_doc_topics": """SELECT row_ix, word_group, round((1.0 / 3 + count(*)) / (1 + count(*)), 3) AS share FROM planted_words GROUP BY ALL""",
+    "embed_svd": f"""WITH rows AS (SELECT doc_id AS row_ix, doc_id % 3 AS g, n_chars % 3 + 1 AS m FROM documents)
+        SELECT row_ix, 3::BIGINT AS n_axes, {r6('4.0 * m * sum(m) OVER (PARTITION BY g)', 'with_all')}, {r6('4.0 * m * m', 'with_itself')} FROM rows""",
     "lda_doc_topics_hold": f"""SELECT row_ix, {P.lda_topics}::BIGINT AS n_topics, 1.0::DOUBLE AS total, TRUE AS dominant_is_heaviest
         FROM sample""",
     "lda_topic_terms_hold": f"""SELECT t AS topic_id, (SELECT string_agg(r::VARCHAR, ',' ORDER BY r) FROM range(1, {P.top_words + 1}) x(r)) AS ranks,

@@ -429,27 +429,77 @@ def dict_top_category(spark, sf_dir):
 # --- topic models ----------------------------------------------------------------------
 
 
+class Planted:
+    """Documents of three word groups, told apart by their first letter, and the topics found in them."""
+
+    def __init__(self, spark, sf_dir):
+        configure(spark)
+        letter = "substring('abc', cast(doc_id % 3 + 1 as int), 1)"
+        words = f"transform(sequence(0, 3 + n_chars % 5), j -> concat({letter}, cast((doc_id * 7 + j * j) % 10 as string)))"
+        self.terms = [f"{g}{i}" for g in "abc" for i in range(10)]
+        tokens = fx.table(spark, sf_dir, "documents").selectExpr("doc_id as row_ix", f"{words} as tokens")
+        self.counts = materialise(tl.count_vectors(tokens, self.terms), "planted_counts")
+        self.params = P.with_(lda_topics=3, lda_iterations=30)
+        self.model = tl.lda_fit(self.counts, self.params)
+        self.topic_terms = materialise(tl.lda_topic_terms(spark, self.model, self.terms, len(self.terms)), "planted_terms")
+        top = self.topic_terms.filter("rank = 1")
+        self.groups = top.select("topic_id", "topic_label", F.substring("term", 1, 1).alias("word_group"))
+        self.prior = 1 / self.params.lda_topics
+
+
 @query
 def lda_fit(spark, sf_dir):
-    """The fitted topic-term matrix, in long form."""
-    s = study(spark, sf_dir)
-    return rounded(tl.lda_topic_terms(spark, s.lda, s.terms, len(s.terms)))
+    """The topic-term matrix of planted topics, less its prior: the words of each group, as often as they occur."""
+    planted = Planted(spark, sf_dir)
+    found = planted.topic_terms.join(planted.groups, "topic_id")
+    n = F.round(F.col("weight") - planted.prior).cast("long")
+    return found.select("word_group", "term", n.alias("n")).filter("n > 0")
 
 
 @query
 def lda_topic_terms(spark, sf_dir):
-    return rounded(study(spark, sf_dir).topic_terms)
+    """The heaviest terms of planted topics: counts fall with the rank, and the first three make the label."""
+    planted = Planted(spark, sf_dir)
+    top = tl.lda_topic_terms(spark, planted.model, planted.terms, 8)
+    first = F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), 1, 3), " | ")
+    labels = top.groupBy("topic_id").agg((first == F.first("topic_label")).alias("label_is_first_three"))
+    found = top.drop("topic_label").join(planted.groups.drop("topic_label"), "topic_id").join(labels, "topic_id")
+    n = F.round(F.col("weight") - planted.prior).cast("long")
+    return found.select("word_group", "rank", n.alias("n"), "label_is_first_three", (F.substring("term", 1, 1) == F.col("word_group")).alias("of_the_group"))
 
 
 @query
 def lda_doc_topics(spark, sf_dir):
-    return rounded(tl.widen_weights(study(spark, sf_dir).topic_weights, P.lda_topics))
+    """The heaviest topic of each document, by the words of that topic, and its share."""
+    planted = Planted(spark, sf_dir)
+    weights = tl.dominant_topic(tl.lda_weights(planted.counts, planted.model), planted.topic_terms)
+    found = weights.join(planted.groups.withColumnRenamed("topic_id", "dominant_topic_id").drop("topic_label"), "dominant_topic_id")
+    return found.select("row_ix", "word_group", F.round(F.array_max("topic_weights"), 3).alias("share"))
 
 
 @query
 def embed_svd(spark, sf_dir):
-    vectors = study(spark, sf_dir).vectors
-    return vectors.select("row_ix", F.posexplode("vec").alias("axis", "value"))
+    """Rows of rank three in twelve dimensions, reduced to three axes, which keep all products: each row's with
+    itself, and with the sum of all rows."""
+    configure(spark)
+    word = "concat(substring('abc', cast(doc_id % 3 + 1 as int), 1), cast(j % 4 as string))"
+    planted = fx.table(spark, sf_dir, "documents").selectExpr("doc_id as row_ix", f"transform(sequence(0, 4 * (n_chars % 3 + 1) - 1), j -> {word}) as tokens")
+    counts = tl.count_vectors(planted, [f"{g}{i}" for g in "abc" for i in range(4)])
+    rows, _ = tc.embed_svd(materialise(counts.withColumnRenamed("counts", "tfidf"), "planted_rows"), 3)
+    return rounded(products(materialise(rows, "three_axes"), F.size("vec").cast("long").alias("n_axes")))
+
+
+def products(rows: DataFrame, *more: Column) -> DataFrame:
+    """``row_ix, with_all, with_itself``: inner products of each vector with the sum of all, and with itself."""
+    by_axis = rows.select(F.posexplode("vec").alias("axis", "x")).groupBy("axis").agg(F.sum("x").alias("x"))
+    # one number per axis, at most max_features
+    whole = by_axis.agg(F.transform(F.sort_array(F.collect_list(F.struct("axis", "x"))), lambda a: a["x"])).scalar()
+
+    def product(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    vec = F.col("vec")
+    return rows.withColumn("whole", whole).select("row_ix", *more, product(vec, F.col("whole")).alias("with_all"), product(vec, vec).alias("with_itself"))
 
 
 # What must hold for models whose numbers SQL cannot compute, for every review and topic.
@@ -491,17 +541,7 @@ def embed_svd_products(spark, sf_dir):
     the sum of all rows, and with itself."""
     s = study(spark, sf_dir)
     rows, _ = tc.embed_svd(tc.tfidf_vectors(s.counts, [df for _, df in s.features]), P.max_features)
-    rows = materialise(rows, "all_axes")
-    by_axis = rows.select(F.posexplode("vec").alias("axis", "x")).groupBy("axis").agg(F.sum("x").alias("x"))
-    # one number per axis, at most max_features
-    whole = by_axis.agg(F.transform(F.sort_array(F.collect_list(F.struct("axis", "x"))), lambda a: a["x"])).scalar()
-
-    def product(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-    placed = rows.withColumn("whole", whole)
-    vec = F.col("vec")
-    return rounded(placed.select("row_ix", product(vec, F.col("whole")).alias("with_all"), product(vec, vec).alias("with_itself")))
+    return rounded(products(materialise(rows, "all_axes")))
 
 
 @query

@@ -28,8 +28,11 @@ def clean_mojibake(text: Column) -> Column:
     Runs only where a tell-tale character occurs; an empty result keeps the old text.  Lossy by
     design: a correct ``château`` loses its ``â``.
     """
-    latin1 = F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", ""), "ISO-8859-1")
-    repaired = F.replace(F.make_valid_utf8(latin1.cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
+    # bytes that are U+FFFD in UTF-8 decode and stay: they pass as U+0000, which is put back as U+FFFD
+    kept = F.replace(F.replace(text, F.lit(chr(0)), F.lit("")), F.lit("\xef\xbf\xbd"), F.lit(chr(0)))
+    latin1 = F.encode(F.regexp_replace(kept, r"[^\x00-\xFF]", ""), "ISO-8859-1")
+    decoded = F.replace(F.make_valid_utf8(latin1.cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
+    repaired = F.replace(decoded, F.lit(chr(0)), F.lit(chr(0xFFFD)))
     marked = reduce(or_, [text.contains(mark) for mark in P.MOJIBAKE_MARKS])
     return F.when(marked, F.coalesce(F.nullif(repaired, F.lit("")), text)).otherwise(text)
 
@@ -70,12 +73,14 @@ def lookup(key: Column, mapping: dict) -> Column:
 
 
 def parse_rating(value: Column) -> Column:
-    return value.try_cast("double")
+    """A number in plain or exponent notation; null for anything else, such as ``1d``."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
 def parse_date(value: Column, formats: list[str]) -> Column:
-    """First format that fits; null if none does.  Session time zone is UTC."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+    """First format that fits the trimmed text; null if none does.  Session time zone is UTC."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(value.cast("string")), F.lit(f)) for f in formats])
 
 
 def derive_month(when: Column) -> Column:

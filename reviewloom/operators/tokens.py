@@ -65,27 +65,22 @@ def _hits(placed: DataFrame) -> DataFrame:
 def token_array(df: DataFrame, params: Params, text_col: str = "review_full_text") -> DataFrame:
     """``row_ix, tokens``: normalised tokens of every row, in order, with repeats.
 
-    The vocabulary is a written table of known size.  Up to ``max_broadcast_words`` rows it is
-    broadcast, and after the one shuffle of compact rows everything stays in its partition.  A
-    larger vocabulary is split: its most frequent words, nearly all occurrences, are broadcast as
-    before; only occurrences of the remaining, rare words are shuffled by token, where no word is
-    hot, and their hits then join the others by row.
+    Raw tokens are written once.  The ``frequent_words`` most frequent words, nearly all occurrences, are
+    looked up by broadcast inside the partitions of the one shuffle of compact rows.  Occurrences of the
+    other, rare words, none of them hot, meet the vocabulary in a join by token, and their hits then join
+    the others by row; without rare words that side is empty.
     """
-    raw = raw_tokens(df, english_stopwords(params), text_col)
+    raw = materialise(raw_tokens(df, english_stopwords(params), text_col), "raw_tokens")
     vocabulary = vocabulary_of(raw, params)
+    by_use = vocabulary.orderBy(F.desc("n"), F.asc("token")).select("token", "term")
+    frequent = materialise(by_use.limit(params.frequent_words), "frequent_words")
+    known = F.broadcast(frequent.withColumn("known", F.lit(True)))  # frequent_words rows: a proven bound
     placed = raw.repartition("row_ix").select("row_ix", F.posexplode_outer("raw").alias("pos", "token"))
-    if vocabulary.count() <= params.max_broadcast_words:
-        hits = _hits(placed.join(F.broadcast(vocabulary.select("token", "term")), "token", "left"))
-    else:
-        by_use = vocabulary.orderBy(F.desc("n"), F.asc("token"))
-        frequent = materialise(by_use.limit(params.max_broadcast_words).select("token", "term"), "frequent_words")
-        rare = vocabulary.select("token", "term").join(frequent, "token", "left_anti")
-        # max_broadcast_words rows
-        here = _hits(placed.join(F.broadcast(frequent), "token", "left"))
-        elsewhere = placed.join(F.broadcast(frequent), "token", "left_anti").join(rare, "token")
-        found = _hits(elsewhere).withColumnRenamed("hits", "more")
-        joined = here.join(found, "row_ix", "left")
-        hits = joined.select("row_ix", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", "more")).alias("hits"))
+    here = _hits(placed.join(known, "token", "left"))
+    rare = materialise(vocabulary.select("token", "term").join(frequent, "token", "left_anti"), "rare_words")
+    open_ = raw.select("row_ix", F.posexplode("raw").alias("pos", "token"))
+    found = _hits(open_.join(known.select("token"), "token", "left_anti").join(rare, "token")).withColumnRenamed("hits", "more")
+    hits = here.join(found, "row_ix", "left").select("row_ix", F.concat("hits", F.coalesce("more", F.array())).alias("hits"))
     return hits.select("row_ix", F.transform(F.sort_array("hits"), lambda h: h["term"]).alias("tokens"))
 
 

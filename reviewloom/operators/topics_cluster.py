@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.graph import components, spanning_forest
 from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
-from reviewloom.session import broadcast_if_small, materialise
+from reviewloom.session import materialise, scratch_path, shared_rows
 
-# The functions below travel to tasks by value: executors need not have this package installed.
-register_pickle_by_value(sys.modules[__name__])
-
-MAX_WEIGHTS = 2_000_000  # topic-term weights that may be broadcast, some 150 MB
-BLOCK = 1024  # rows compared with the candidates at a time inside a task
+BLOCK = 1024  # rows handled at a time inside a task
 
 
 # --- embedding -------------------------------------------------------------------------
@@ -82,104 +76,165 @@ def embed_svd(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
 # --- clustering ------------------------------------------------------------------------
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length 1; a zero or missing vector becomes NaN and is near nothing."""
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, length, out=np.full_like(rows, np.nan), where=length > 0)
+def _distinct(vectors: DataFrame) -> DataFrame:
+    """``id, n, unit``: the distinct directions of ``row_ix, vec``, by their smallest row, with the number of
+    rows; zero vectors and vectors with a null or non-finite component are near nothing and left out."""
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    usable = vectors.select("row_ix", "vec", length.alias("length")).filter((F.col("length") > 0) & (F.col("length") < float("inf")))
+    return usable.groupBy("vec", "length").agg(F.min("row_ix").alias("id"), F.count("*").alias("n")).select(
+        "id", "n", F.transform("vec", lambda x: x / F.col("length")).alias("unit")
+    )
+
 
+def _pivots(distinct: DataFrame, n: int = 256) -> np.ndarray:
+    """A few directions that rows are grouped by; they shape blocks, not results."""
+    some = distinct.select(F.xxhash64("unit").alias("h"), "unit").orderBy("h").limit(n).select("unit").collect()
+    return np.array([r.unit for r in some], dtype=np.float64)
 
-def _blocks(vectors: pd.Series) -> Iterator[np.ndarray]:
-    for start in range(0, len(vectors), BLOCK):
-        yield _unit_rows(vectors.iloc[start : start + BLOCK])
 
+def _point_blocks(points: DataFrame, name: str) -> str:
+    """``points`` (id, n, unit, cell) as a table of blocks of up to BLOCK rows; returns its path.
 
-def _components(points: np.ndarray, min_cos: float) -> np.ndarray:
-    """Component number of every point of a small set, numbered by first member."""
-    near = points @ points.T >= min_cos
-    label = np.full(len(points), -1)
-    for seed in range(len(points)):
-        if label[seed] >= 0:
-            continue
-        frontier = np.zeros(len(points), dtype=bool)
-        frontier[seed] = True
-        while frontier.any():
-            label[frontier] = seed
-            frontier = near[frontier].any(axis=0) & (label < 0)
-    return label
+    Blocks are runs of the rows sorted by cell, so that rows of a block are close to one another.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("id", "n", "unit")), strict=True)
+            while len(held) >= BLOCK:
+                yield block(held[:BLOCK])
+                held = held[BLOCK:]
+        if held:
+            yield block(held)
+
+    def block(rows: list) -> pa.RecordBatch:
+        ids, n, unit = zip(*rows, strict=True)
+        unit = np.array(unit, dtype=np.float64)
+        centre = unit.mean(axis=0)
+        radius = float(np.sqrt(((unit - centre) ** 2).sum(axis=1).max()))
+        columns = [pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(n)], pa.list_(pa.int64()))]
+        columns += [pa.array([unit.tobytes()], pa.binary()), pa.array([centre.tolist()]), pa.array([radius])]
+        return pa.RecordBatch.from_arrays(columns, names=["ids", "n", "unit", "centre", "radius"])
+
+    spark = points.sparkSession
+    path = scratch_path(spark, name)
+    sorted_ = points.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
+    blocks = sorted_.select("id", "n", "unit").mapInArrow(run, "ids array<long>, n array<long>, unit binary, centre array<double>, radius double")
+    blocks.write.parquet(path)
+    return path
+
+
+class _Block:
+    def __init__(self, row: dict):
+        self.ids, self.n = np.array(row["ids"], np.int64), np.array(row["n"], np.int64)
+        self.unit = np.frombuffer(row["unit"], np.float64).reshape(len(self.ids), -1)
+        self.centre, self.radius = np.array(row["centre"]), row["radius"]
+
+    def reaches(self, other: _Block, eps: float) -> bool:
+        return float(np.linalg.norm(self.centre - other.centre)) <= self.radius + other.radius + eps + 1e-9
+
+
+def _over_blocks(spark: SparkSession, path: str, others: str, eps: float, schema: str, visit, finish) -> DataFrame:
+    """Every block of ``path`` against all blocks of ``others`` in reach of ``eps``, read one at a time.
+
+    ``visit(block, other, state)`` returns the block's next state (None at first); ``finish(block, state)`` its rows.
+    """
 
-def candidate_points(vectors: DataFrame, max_candidates: int, seed: int) -> DataFrame:
-    """Up to ``max_candidates`` distinct vectors, chosen by smallest digest: all of them if there
-    are no more.  Copies of a vector count once, whatever their number."""
-    digest = F.xxhash64(F.lit(seed), F.col("vec"))
-    distinct = vectors.select("row_ix", digest.alias("_h")).groupBy("_h").agg(F.min("row_ix").alias("row_ix"))
-    chosen = distinct.orderBy("_h").limit(max_candidates).select("row_ix")
-    # max_candidates rows: a proven bound for the broadcast
-    return vectors.join(F.broadcast(chosen), "row_ix")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = [_Block(row) for row in batch.to_pylist()]
+            states: list = [None] * len(mine)
+            for row in shared_rows(others) if mine else ():
+                other = _Block(row)
+                for i, block in enumerate(mine):
+                    if block.reaches(other, eps):
+                        states[i] = visit(block, other, states[i])
+            for block, state in zip(mine, states, strict=True):
+                yield finish(block, state)
 
+    blocks = spark.read.parquet(path)
+    tasks = max(1, min(blocks.count(), 3 * spark.sparkContext.defaultParallelism))
+    return blocks.repartition(tasks).mapInArrow(run, schema)
 
-def density_clusters(
-    vectors: DataFrame, eps: float, min_pts: int, min_size: int, max_candidates: int = 4096, seed: int = 42
-) -> DataFrame:
+
+def _table_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int) -> DataFrame:
     """``row_ix, cluster_id`` for ``row_ix, vec`` (array): density clusters, outliers -1.
 
-    Vectors are scaled to length 1.  A candidate is core if at least ``min_pts`` rows, itself
-    included, lie within ``eps``; cores within ``eps`` of each other share a cluster; every row
-    joins the cluster of its nearest core within ``eps``.  Clusters under ``min_size`` become -1,
-    the rest are numbered by size, then by smallest row.
+    Density clustering after Ester et al. (1996) of vectors scaled to length 1, over all rows.  A row is core if
+    at least ``min_pts`` rows, itself included, lie within ``eps``; cores within ``eps`` of each other share a
+    cluster; every row joins the cluster of its nearest core within ``eps`` (the smallest row on a tie).
+    Clusters under ``min_size`` become -1, the rest are numbered by size, then by smallest row.
 
-    With up to ``max_candidates`` distinct vectors this is density clustering after Ester et al.
-    (1996).  Beyond that, cores are looked for among a sample of candidates only, as in DBSCAN++
-    (Jang & Jiang 2019), while neighbours are still counted over all rows and all rows are
-    assigned.  Work is linear in rows: no pairs of rows are ever formed, so a dense cluster costs
-    no more than sparse data, and nothing but ids and per-candidate counts is shuffled.
+    Copies of a vector count once, with their number.  Distinct vectors are cut into blocks of near ones, and
+    each block is compared with the blocks in reach, as matrix products inside tasks: three passes count
+    neighbours, link cores and assign rows.  Only counts, spanning forests of links and assignments leave a
+    task.  Blocks out of reach are never compared; where all vectors are far apart, as noise of many
+    dimensions is, the work grows with the square of the distinct vectors.
     """
     spark = vectors.sparkSession
     min_cos = 1 - eps * eps / 2
-    # bounded by max_candidates, like the centres of a k-means model
-    picked = candidate_points(vectors, max_candidates, seed).select("row_ix", "vec").toPandas()
-    picked = picked.sort_values("row_ix", ignore_index=True)
-    candidates = _unit_rows(picked["vec"]) if len(picked) else np.zeros((0, 1))
-    candidates = candidates[~np.isnan(candidates).any(axis=1)]
-    shared = spark.sparkContext.broadcast(candidates)
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(len(shared.value), dtype=np.int64)
+    distinct = materialise(_distinct(vectors), "directions")
+    pivots = spark.sparkContext.broadcast(_pivots(distinct))  # 256 rows
+
+    def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _blocks(batch["vec"]):
-                counts += (rows @ shared.value.T >= min_cos).sum(axis=0)
-        met = np.flatnonzero(counts)
-        yield pd.DataFrame({"candidate": met, "n": counts[met]})
-
-    counted = vectors.select("vec").mapInPandas(neighbours, "candidate long, n long")
-    dense = counted.groupBy("candidate").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pts)
-    core_ix = sorted(r.candidate for r in dense.select("candidate").collect())  # <= max_candidates
-    cores = candidates[core_ix]
-    model = spark.sparkContext.broadcast((cores, _components(cores, min_cos)))
-
-    @F.pandas_udf("long")
-    def nearest_component(batch: pd.Series) -> pd.Series:
-        points, component = model.value
-        out = np.full(len(batch), -1, dtype=np.int64)
-        if len(points) and len(batch):
-            cosine = np.concatenate([rows @ points.T for rows in _blocks(batch)])
-            cosine = np.nan_to_num(cosine, nan=-2.0)
-            best = cosine.argmax(axis=1)
-            close = cosine[np.arange(len(batch)), best] >= min_cos
-            out[close] = component[best[close]]
-        return pd.Series(out)
-
-    assigned = materialise(vectors.select("row_ix", nearest_component("vec").alias("component")), "components")
-    sizes = assigned.filter(F.col("component") >= 0).groupBy("component").agg(
-        F.count("*").alias("n"), F.min("row_ix").alias("first")
-    )
-    by_size = Window.orderBy(F.desc("n"), F.asc("first"))  # one row per component, <= max_candidates
-    ids = sizes.filter(F.col("n") >= min_size).select(
-        "component", (F.row_number().over(by_size) - 1).cast("long").alias("cluster_id")
+            if batch.num_rows:
+                unit = np.array(batch.column("unit").to_pylist(), dtype=np.float64)
+                cell = pa.array((unit @ pivots.value.T).argmax(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=["id", "n", "unit", "cell"])
+
+    placed = distinct.mapInArrow(nearest_pivot, "id long, n long, unit array<double>, cell long")
+    placed = materialise(placed, "placed")
+    blocks = _point_blocks(placed, "blocks")
+
+    def count(block: _Block, other: _Block, n):
+        found = (block.unit @ other.unit.T >= min_cos) @ other.n
+        return found if n is None else n + found
+
+    counted = _over_blocks(
+        spark, blocks, blocks, eps, "id long, neighbours long", count, lambda block, n: _table_of(id=block.ids, neighbours=n)
     )
-    named = assigned.join(F.broadcast(ids), "component", "left")
-    return named.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    core = materialise(counted.filter(F.col("neighbours") >= min_pts).select("id"), "core")
+    cores = _point_blocks(placed.join(core, "id"), "core_blocks")
+
+    def link(block: _Block, other: _Block, forest):
+        a, b = np.nonzero(block.unit @ other.unit.T >= min_cos)
+        a, b = block.ids[a], other.ids[b]
+        if forest is not None:
+            a, b = np.append(a, forest[0]), np.append(b, forest[1])
+        return spanning_forest(a, b)
+
+    forests = _over_blocks(spark, cores, cores, eps, "a long, b long", link, lambda block, f: _table_of(a=f[0], b=f[1]))
+    roots = components(forests, "core_links")
+    roots = materialise(core.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("core"), F.coalesce("root", "id").alias("root")), "roots")
+
+    def nearest(block: _Block, other: _Block, best):
+        cosine = block.unit @ other.unit.T
+        top = cosine.max(axis=1)
+        first = np.where(cosine == top[:, None], other.ids, np.iinfo(np.int64).max).min(axis=1)
+        if best is None:
+            return top, first
+        better = (top > best[0]) | (top == best[0]) & (first < best[1])
+        return np.where(better, top, best[0]), np.where(better, first, best[1])
+
+    def reached(block: _Block, best) -> pa.RecordBatch:
+        near = best[0] >= min_cos if best else np.zeros(len(block.ids), dtype=bool)
+        return _table_of(id=block.ids[near], core=best[1][near] if best else np.zeros(0, np.int64))
+
+    joined = _over_blocks(spark, blocks, cores, eps, "id long, core long", nearest, reached).join(roots, "core")
+    joined = materialise(joined.select("id", "root"), "assigned")
+    sizes = joined.join(distinct.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("size"), F.min("id").alias("first"))
+    by_size = Window.orderBy(F.desc("size"), F.asc("first"))  # one row per cluster
+    ids = sizes.filter(F.col("size") >= min_size).select("root", (F.row_number().over(by_size) - 1).cast("long").alias("cluster_id"))
+    named = materialise(joined.join(ids, "root").select("id", "cluster_id"), "named")
+    members = vectors.select("row_ix", "vec").join(named.withColumnRenamed("id", "row_ix"), "row_ix").drop("row_ix")
+    found = vectors.select("row_ix", "vec").join(members, "vec", "left")
+    return found.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
 # --- description -----------------------------------------------------------------------
@@ -226,7 +281,7 @@ def representative_rows(docs: DataFrame, weights: DataFrame, per_topic: int = 3)
     cosine = F.try_divide(F.sum(mine * F.col("weight")), F.sqrt(F.sum(mine * mine)) * F.max("norm"))
     scored = (
         term_frequencies(docs.select("row_ix", "topic_id", "tokens"))
-        .join(broadcast_if_small(table, MAX_WEIGHTS), ["topic_id", "term"])
+        .join(table, ["topic_id", "term"])
         .groupBy("row_ix", "topic_id")
         .agg(cosine.alias("cosine"))
     )
@@ -243,8 +298,8 @@ def topic_info(
     sizes = docs.groupBy("topic_id").agg(F.count("*").alias("n_reviews"))
     listed = topic_terms.groupBy("topic_id").agg(F.collect_list(F.struct("rank", "term")).alias("ranked"))
     closest = representative_rows(docs, weights, per_topic)
-    # per_topic rows per topic
-    texts = reviews.select("row_ix", text_col).join(F.broadcast(closest), "row_ix")
+    closest = materialise(closest, "closest")
+    texts = reviews.select("row_ix", text_col).join(closest, "row_ix")
     grouped = texts.groupBy("topic_id").agg(F.collect_list(F.struct("doc_rank", text_col)).alias("texts"))
     name = F.concat_ws("_", F.col("topic_id").cast("string"), joined_terms(F.col("ranked"), 4, "_"))
     return (
@@ -267,6 +322,5 @@ def topic_assign(df: DataFrame, assigned: DataFrame, topic_terms: DataFrame) ->
         F.col("topic_id").alias("bertopic_topic_id"), F.col("topic_label").alias("bertopic_topic_label")
     ).distinct()
     ids = assigned.select("row_ix", F.col("cluster_id").alias("bertopic_topic_id"))
-    # one row per topic, at most max_candidates + 1
-    joined = df.join(ids, "row_ix", "left").join(F.broadcast(labels), "bertopic_topic_id", "left")
+    joined = df.join(ids, "row_ix", "left").join(labels, "bertopic_topic_id", "left")
     return joined.withColumn("bertopic_topic_label", F.coalesce("bertopic_topic_label", F.lit("outlier")))

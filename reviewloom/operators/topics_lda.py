@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.params import Params
 
+BLOCK = 4096  # rows updated together inside a task
+INNER_ROUNDS = 100  # most updates of a row's topic shares per pass
+INNER_CHANGE = 1e-3  # mean change at which a row is done
+
 
 def count_vectors(tokens: DataFrame, terms: list[str]) -> DataFrame:
     """``row_ix, counts``: a sparse count vector per row; a row-wise step."""
@@ -19,16 +28,123 @@ def count_vectors(tokens: DataFrame, terms: list[str]) -> DataFrame:
     return counted.select("row_ix", "counts")
 
 
-def lda_fit(counts: DataFrame, params: Params) -> LDAModel:
-    """Fit on ``row_ix, counts`` with symmetric 1/k priors.  Every iteration reads the vectors
-    again, so they should come from a written table."""
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The digamma function of positive numbers: moved beyond 6, then its asymptotic series."""
+    x = np.array(x, dtype=np.float64)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    f = 1 / (x * x)
+    series = f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
+    return out + np.log(x) - 0.5 / x - series
+
+
+def expected_log(dirichlet: np.ndarray) -> np.ndarray:
+    """E[log p] for rows of Dirichlet parameters."""
+    return digamma(dirichlet) - digamma(dirichlet.sum(axis=1))[:, None]
+
+
+@dataclass
+class LdaModel:
+    """Topic-term parameters (topic, term) and the symmetric prior of a row's topics."""
+
+    topics: np.ndarray
+    alpha: float
+
+
+def start_topics(seed: int, k: int, terms: int) -> np.ndarray:
+    """Starting parameters near 1, from a hash of (seed, topic, term): the same wherever rows lie."""
+    normal = NormalDist(1.0, 0.1)
+    out = np.empty((k, terms))
+    for topic in range(k):
+        for term in range(terms):
+            digest = hashlib.blake2b(f"{seed}|{topic}|{term}".encode(), digest_size=8).digest()
+            out[topic, term] = normal.inv_cdf((int.from_bytes(digest, "big") + 0.5) / 2**64)
+    return np.maximum(out, 0.05)
+
+
+def row_topics(bounds: np.ndarray, term: np.ndarray, n: np.ndarray, beta: np.ndarray, alpha: float) -> np.ndarray:
+    """Variational topic parameters of rows given as runs of (term, n); ``beta`` = exp E[log topics].
+
+    Every row starts from equal shares and is updated until it is done, whatever rows lie beside it.
+    """
+    rows, k = len(bounds) - 1, len(beta)
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(rows), size)
+    total = np.bincount(owner, n, rows)
+    gamma = np.repeat((alpha + total / k)[:, None], k, axis=1)
+    active = np.flatnonzero(size)
+    for _ in range(INNER_ROUNDS):
+        if not len(active):
+            break
+        mine = np.zeros(rows, dtype=bool)
+        mine[active] = True
+        inside = mine[owner]
+        words, weights, starts = beta[:, term[inside]], n[inside], np.cumsum(size[active]) - size[active]
+        theta = np.exp(expected_log(gamma[active]))
+        spread = np.repeat(theta.T, size[active], axis=1)
+        share = weights / ((spread * words).sum(axis=0) + 1e-100)
+        new = alpha + theta * np.add.reduceat(words * share, starts, axis=1).T
+        change = np.abs(new - gamma[active]).mean(axis=1)
+        gamma[active] = new
+        active = active[change >= INNER_CHANGE]
+    return gamma
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, bounds, terms, counts) of blocks of a sparse vector column."""
+    indices, values = (column.field(part) for part in ("indices", "values"))
+    bounds = indices.offsets.to_numpy().astype(np.int64)
+    index, value = indices.flatten().to_numpy(), values.flatten().to_numpy()
+    for start in range(0, len(column), BLOCK):
+        stop = min(start + BLOCK, len(column))
+        inside = slice(bounds[start] - bounds[0], bounds[stop] - bounds[0])
+        yield start, stop, bounds[start : stop + 1] - bounds[start], index[inside], value[inside]
+
+
+def lda_fit(counts: DataFrame, params: Params, n_terms: int | None = None) -> LdaModel:
+    """Batch variational Bayes (Hoffman et al. 2010) on ``row_ix, counts`` with symmetric 1/k priors.
+
+    Every pass reads all rows; tasks return topics x terms partial sums, which are added by term.  Starting
+    values and updates do not depend on where rows lie.  The vectors are read once a pass, so they should
+    come from a written table.
+    """
     k = params.lda_topics
-    lda = LDA(
-        k=k, seed=params.seed, maxIter=params.lda_iterations, featuresCol="counts", optimizer="online",
-        subsamplingRate=params.lda_subsampling, learningOffset=1.0,
-        docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, topicDistributionCol="topic_vector",
-    )
-    return lda.fit(counts)
+    alpha = eta = 1.0 / k
+    if n_terms is None:
+        n_terms = counts.select("counts").first().counts.size
+    topics = start_topics(params.seed, k, n_terms)
+    for _ in range(params.lda_iterations):
+        topics = eta + _pass(counts, topics, alpha)
+    return LdaModel(topics, alpha)
+
+
+def _pass(counts: DataFrame, topics: np.ndarray, alpha: float) -> np.ndarray:
+    shared = counts.sparkSession.sparkContext.broadcast(np.exp(expected_log(topics)))  # topics x max_features
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta = shared.value
+        sums = np.zeros_like(beta)
+        for batch in batches:
+            for _, _, bounds, term, n in _runs(batch.column("counts")):
+                theta = np.exp(expected_log(row_topics(bounds, term, n, beta, alpha)))
+                spread = np.repeat(theta.T, np.diff(bounds), axis=1)
+                share = n / ((spread * beta[:, term]).sum(axis=0) + 1e-100)
+                for topic in range(len(beta)):
+                    sums[topic] += np.bincount(term, spread[topic] * share, beta.shape[1])
+        met = np.flatnonzero(sums.sum(axis=0))
+        parts = pa.array((sums * beta).T[met].tolist(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), parts], names=["term", "part"])
+
+    parts = counts.select("counts").mapInArrow(run, "term long, part array<double>")
+    k = len(topics)
+    sums = parts.groupBy("term").agg(*[F.sum(F.get("part", F.lit(i))).alias(f"t{i}") for i in range(k)]).collect()
+    out = np.zeros_like(topics)
+    for row in sums:  # at most max_features rows
+        out[:, row[0]] = row[1:]
+    return out
 
 
 def topk_terms_per_topic(weights: DataFrame, top_n: int) -> DataFrame:
@@ -50,22 +166,28 @@ def joined_terms(ranked: Column, n: int, separator: str) -> Column:
     return F.array_join(F.slice(terms, 1, n), separator)
 
 
-def lda_topic_terms(spark: SparkSession, model: LDAModel, terms: list[str], top_n: int) -> DataFrame:
+def lda_topic_terms(spark: SparkSession, model: LdaModel, terms: list[str], top_n: int) -> DataFrame:
     """Top terms by unnormalised topic weight.  The topic matrix is k x max_features at most."""
-    matrix = model.topicsMatrix().toArray()
-    rows = [(topic, term, float(matrix[i, topic])) for i, term in enumerate(terms) for topic in range(matrix.shape[1])]
+    rows = [(topic, term, float(x)) for topic, weights in enumerate(model.topics) for term, x in zip(terms, weights, strict=True)]
     return topk_terms_per_topic(spark.createDataFrame(rows, "topic_id long, term string, weight double"), top_n)
 
 
-def lda_weights(counts: DataFrame, model: LDAModel) -> DataFrame:
+def lda_weights(counts: DataFrame, model: LdaModel) -> DataFrame:
     """``row_ix, topic_weights``: share of every topic in every row, as an array by topic id.
 
-    A row without feature terms has its prior, equal shares; the estimator itself gives zeros.
+    A row without feature terms has its prior, equal shares.
     """
-    k = len(model.estimatedDocConcentration())
-    w = F.col("topic_weights")
-    scored = model.transform(counts).select("row_ix", vector_to_array("topic_vector").alias("topic_weights"))
-    return scored.withColumn("topic_weights", F.when(F.array_max(w) == 0, F.array_repeat(F.lit(1.0 / k), k)).otherwise(w))
+    shared = counts.sparkSession.sparkContext.broadcast((np.exp(expected_log(model.topics)), model.alpha))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, alpha = shared.value
+        for batch in batches:
+            for start, stop, bounds, term, n in _runs(batch.column("counts")):
+                gamma = row_topics(bounds, term, n, beta, alpha)
+                weights = pa.array((gamma / gamma.sum(axis=1, keepdims=True)).tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("row_ix")[start:stop], weights], names=["row_ix", "topic_weights"])
+
+    return counts.select("row_ix", "counts").mapInArrow(run, "row_ix long, topic_weights array<double>")
 
 
 def dominant_topic(weights: DataFrame, topic_terms: DataFrame) -> DataFrame:
@@ -74,8 +196,7 @@ def dominant_topic(weights: DataFrame, topic_terms: DataFrame) -> DataFrame:
     labels = topic_terms.select(
         F.col("topic_id").alias("dominant_topic_id"), F.col("topic_label").alias("dominant_topic_label")
     ).distinct()
-    # one row per topic: a proven bound for the broadcast
-    return weights.withColumn("dominant_topic_id", best.cast("long")).join(F.broadcast(labels), "dominant_topic_id", "left")
+    return weights.withColumn("dominant_topic_id", best.cast("long")).join(labels, "dominant_topic_id", "left")
 
 
 def widen_weights(df: DataFrame, k: int) -> DataFrame:

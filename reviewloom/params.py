@@ -181,7 +181,10 @@ EXPORT_COLUMNS = {
 # do not fail through a list of formats.
 DATE_FORMATS = [
     "yyyy-MM-dd[['T'][ ]HH:mm[:ss[.SSSSSSSSS]][XXX]]",
-    "yyyy/MM/dd",
+    "yyyy-MM-dd['T'][ ]HH:mm[:ss[.SSSSSSSSS]]xx",
+    "yyyy/MM/dd[ HH:mm[:ss]]",
+    "yyyyMMdd",
+    "d-MMM-yyyy",
     "M/d/yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
@@ -230,7 +233,6 @@ class Params:
     seed: int = 42
     lda_topics: int = 6
     lda_iterations: int = 10
-    lda_subsampling: float = 1.0  # share of the rows read per iteration; 1 = whole-corpus passes
     top_words: int = 10
     cluster_top_words: int = 10
     max_features: int = 2500
@@ -240,8 +242,7 @@ class Params:
     min_topic_size: int = 75
     eps: float = 0.6
     min_pts: int = 5
-    max_candidates: int = 4096
-    max_broadcast_words: int = 5_000_000  # vocabulary rows that may be broadcast, some 300 MB
+    frequent_words: int = 50_000  # looked up by broadcast, some 3 MB; other words by a join
     positive_threshold: float = 0.05
     negative_threshold: float = -0.05
     coherence_window: int = 110

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +76,8 @@ class Study:
         return materialise(tl.count_vectors(self.tokens, self.terms), "counts")
 
     @cached_property
-    def lda(self) -> LDAModel:
-        return tl.lda_fit(self.counts, self.params)
+    def lda(self) -> tl.LdaModel:
+        return tl.lda_fit(self.counts, self.params, len(self.terms))
 
     @cached_property
     def topic_terms(self) -> DataFrame:
@@ -100,7 +99,7 @@ class Study:
     @cached_property
     def clusters(self) -> DataFrame:
         p = self.params
-        found = tc.density_clusters(self.vectors, p.eps, p.min_pts, p.min_topic_size, p.max_candidates, p.seed)
+        found = tc.density_clusters(self.vectors, p.eps, p.min_pts, p.min_topic_size)
         return materialise(found, "clusters")
 
     @cached_property

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings results depend on.  Dates are UTC throughout."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+#: Bytes of a batch handed to Python in a task, unless the cluster sets its own; rows may hold long texts.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in tasks, once an application; Spark hands the archive to executors.
+    Also bounds the batches that tasks hand to Python."""
+    sc = spark.sparkContext
+    if not sc.getConf().contains(ARROW_BATCH[0]):
+        spark.conf.set(*ARROW_BATCH)
+    if sc.applicationId not in _SHIPPED:
+        package = pathlib.Path(__file__).parent
+        archive = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}"
+        sc.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+        _SHIPPED.add(sc.applicationId)
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -47,7 +70,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int) -> DataFrame:
-    """Ask for a broadcast of a written table if it has at most ``max_rows`` rows; counting those
-    reads file footers only.  A larger table is left to a shuffled join."""
-    return F.broadcast(table) if table.count() <= max_rows else table
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a shared folder, and the path in it, for tasks."""
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def shared_rows(uri: str, **scan) -> Iterator[dict]:
+    """The rows of a Parquet table in the shared folder, one at a time: for tables of few, large rows."""
+    fs, path = file_system(uri)
+    for fragment in ds.dataset(path, filesystem=fs, format="parquet").get_fragments():
+        for batch in fragment.to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1, **scan):
+            yield from batch.to_pylist()

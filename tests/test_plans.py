@@ -61,7 +61,7 @@ def test_large_vocabulary_is_split(spark):
     s = study(spark, SF_DIR)
     expected = sorted((r.row_ix, tuple(r.tokens)) for r in s.tokens.collect())
     for bound in (1, 50, 2000):
-        df = tk.token_array(s.sample, fx.PARAMS.with_(max_broadcast_words=bound))
+        df = tk.token_array(s.sample, fx.PARAMS.with_(frequent_words=bound))
         assert sorted((r.row_ix, tuple(r.tokens)) for r in df.collect()) == expected
     text = plan(df)
     assert "LeftAnti" in text and "Join" in text

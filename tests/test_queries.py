@@ -8,7 +8,7 @@ from registry.duckdb_sql import ORACLES
 from registry.spark_queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"lda_fit", "lda_topic_terms", "lda_doc_topics", "embed_svd", "study_tables"}
+ROWS_ONLY = {"study_tables"}
 
 
 @pytest.fixture(scope="module")

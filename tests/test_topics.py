@@ -65,18 +65,32 @@ def test_clusters_match_brute_force(spark, seed):
 def test_clusters_do_not_depend_on_partitions_or_copies(spark):
     rng = np.random.default_rng(7)
     base = np.vstack([rng.normal(size=(1, 5)) + 0.1 * rng.normal(size=(30, 5)) for _ in range(3)])
-    hot = np.repeat(base[:1], 60, axis=0)  # copies of one vector, beyond the number of candidates
+    hot = np.repeat(base[:1], 60, axis=0)  # copies of one vector
     points = np.vstack([base, hot])
     expected = brute_clusters(points, 0.4, 5, 10)
     for parts in (1, 7):
-        assert found(tc.density_clusters(vectors(spark, points, parts), 0.4, 5, 10, max_candidates=90)) == expected
+        assert found(tc.density_clusters(vectors(spark, points, parts), 0.4, 5, 10)) == expected
 
 
-def test_sampled_candidates_still_assign_every_row(spark):
+def test_small_clusters_in_much_noise(spark):
+    """Twenty clusters of 80 rows among 30,000 rows of noise, each direction different."""
     rng = np.random.default_rng(8)
-    points = np.vstack([c + 0.05 * rng.normal(size=(200, 5)) for c in np.eye(5)[:3]])
-    got = found(tc.density_clusters(vectors(spark, points), 0.4, 5, 10, max_candidates=60))
-    assert got == brute_clusters(points, 0.4, 5, 10) and Counter(got) == {0: 200, 1: 200, 2: 200}
+    centres = rng.normal(size=(20, 12))
+    points = np.vstack([c / np.linalg.norm(c) + 0.02 * rng.normal(size=(80, 12)) for c in centres] + [rng.normal(size=(30_000, 12))])
+    order = rng.permutation(len(points))
+    got = np.array(found(tc.density_clusters(vectors(spark, points[order], 6), 0.2, 5, 75)))
+    label = np.empty(len(points), dtype=int)
+    label[order] = got
+    assert got.max() == 19 and all(len(set(label[80 * i : 80 * i + 80])) == 1 and label[80 * i] >= 0 for i in range(20))
+    assert (got >= 0).sum() >= 1600
+
+
+def test_clusters_over_many_blocks_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = np.vstack([rng.normal(size=(1, 4)) + 0.2 * rng.normal(size=(90, 4)) for _ in range(6)] + [rng.normal(size=(200, 4))])
+    monkeypatch.setattr(tc, "BLOCK", 50)
+    for parts in (2, 5):
+        assert found(tc.density_clusters(vectors(spark, points, parts), 0.15, 4, 8)) == brute_clusters(points, 0.15, 4, 8)
 
 
 def test_zero_vectors_and_no_cores(spark):
@@ -161,6 +175,57 @@ def test_lda_separates_and_keeps_its_invariants(spark):
         tl.count_vectors(tokens, [])
 
 
+def plain_lda(matrix, k, seed, passes):
+    """Batch variational Bayes on a dense matrix, one row after the other."""
+    from math import exp
+
+    psi = lambda x: np.vectorize(lambda v: float(tl.digamma(np.array([v]))[0]))(x)
+    topics, alpha = tl.start_topics(seed, k, matrix.shape[1]), 1 / k
+    for _ in range(passes):
+        beta = np.exp(psi(topics) - psi(topics.sum(axis=1))[:, None])
+        sums = np.zeros_like(topics)
+        for row in matrix:
+            gamma = np.full(k, alpha + row.sum() / k)
+            for _ in range(tl.INNER_ROUNDS):
+                theta = np.exp(psi(gamma) - psi(gamma.sum()))
+                new = alpha + theta * (beta @ (row / (theta @ beta + exp(-230))))
+                change = np.abs(new - gamma).mean()
+                gamma = new
+                if change < tl.INNER_CHANGE:
+                    break
+            theta = np.exp(psi(gamma) - psi(gamma.sum()))
+            sums += np.outer(theta, row / (theta @ beta + exp(-230)))
+        topics = 1 / k + sums * beta
+    return topics
+
+
+def test_lda_equals_a_plain_fit_whatever_the_partitions(spark):
+    rng = np.random.default_rng(4)
+    matrix = rng.poisson(0.6, size=(60, 15)) * (rng.random((60, 15)) < 0.5)
+    terms = [f"w{i:02d}" for i in range(15)]
+    rows = [(i, [t for t, n in zip(terms, row) for _ in range(n)]) for i, row in enumerate(matrix.tolist())]
+    tokens = spark.createDataFrame(rows, "row_ix long, tokens array<string>")
+    params = Params(lda_topics=3, lda_iterations=4)
+    fits = [tl.lda_fit(tl.count_vectors(tokens.repartition(n), terms), params).topics for n in (2, 7)]
+    np.testing.assert_allclose(fits[0], fits[1], rtol=1e-9)
+    np.testing.assert_allclose(fits[0], plain_lda(matrix, 3, params.seed, 4), rtol=1e-6)
+
+
+def test_lda_reads_every_row_in_a_pass(spark):
+    tokens = spark.createDataFrame([(i, [f"t{i:03d}", "all"]) for i in range(300)], "row_ix long, tokens array<string>")
+    terms = sorted({*(f"t{i:03d}" for i in range(300)), "all"})
+    model = tl.lda_fit(tl.count_vectors(tokens, terms), Params(lda_iterations=1))
+    assert (model.topics.sum(axis=0) > 6 * (1 / 6) + 0.5).all()  # each private term has the mass of its one row
+
+
+def test_digamma():
+    from math import lgamma
+
+    x = np.array([0.05, 0.3, 1.0, 2.5, 7.0, 100.0])
+    h = 1e-6
+    np.testing.assert_allclose(tl.digamma(x), [(lgamma(v * (1 + h)) - lgamma(v * (1 - h))) / (2 * h * v) for v in x], rtol=1e-5)
+
+
 def test_dominant_topic_takes_the_first_of_a_tie(spark):
     w = spark.createDataFrame([(1, [0.4, 0.4, 0.2])], "row_ix long, topic_weights array<double>")
     terms = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "topic_id long, topic_label string")
