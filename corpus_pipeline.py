@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import language, packing, phrase_index, simhash, surrogates
 from reviewloom.llm.queries import SURROGATE_KEY, tokenizer_file
-from reviewloom.session import materialise
+from reviewloom.session import materialise, ship_package
 
 #: Language predictions less probable than this are rejected, as is text without a language.
 LEAST_SCORE = 0.35
@@ -25,8 +25,13 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all columns as one, so that names of extra columns meet no others."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    """doc_id, text, and the other columns as one, so that names of extra columns meet no others."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0)]).alias("row"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str]) -> DataFrame:
+    return packed.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is fitted on the labelled documents that arrive, with the learning rows of the registered query;
     without any there is no language to reject by, and only texts without a letter go.
     """
+    ship_package(spark)
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    kept = language.identify(_packed(docs), model, "row")
+    kept = language.identify(_packed(docs), model, "row", "text")
     if model.languages:
         kept = kept.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     else:
-        kept = kept.filter(F.col("row.text").rlike(r"\p{IsAlphabetic}"))
-    return kept.select("row.*")
+        kept = kept.filter(F.col("text").rlike(r"\p{IsAlphabetic}"))
+    return _unpacked(kept, docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +55,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Of rows that repeat an id one stays.  Rows without an id cannot be named, and stay.
     """
+    ship_package(spark)
     found = materialise(simhash.near_duplicates(docs), "near_duplicates").filter("doc_id is not null")
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     lost = found.filter("doc_id <> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
@@ -61,6 +68,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    ship_package(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = materialise(phrase_index.contamination(docs, items).filter("n_hit > 0").select("doc_id"), "contaminated")
     return _without(docs, hit)
@@ -68,16 +76,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in every text; n_chars follows the new text."""
+    ship_package(spark)
     new = surrogates.replace_entities(_packed(docs), SURROGATE_KEY, "row")
-    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
-        row = row.withField("n_chars", length)
-    return new.select(row.alias("row")).select("row.*")
+        new = new.withColumn("row", F.col("row").withField("n_chars", length))
+    return _unpacked(new, docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in training sequences."""
+    ship_package(spark)
     return packing.pack(docs, tokenizer_file())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm import ball_tree, html_main, language, packing, phrase_index, simhash, surrogates, toxicity, url_rules, warc
+from reviewloom.session import ship_package
 
 #: Folder of the public tokenisers' module and files.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +17,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) ->
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,17 +1,9 @@
-"""Helpers of the subpackage: Arrow columns as bytes, word codes, and files in the shared folder.
-
-Tasks read and write side files only under ``spark.checkpoint.dir``, through ``pyarrow.fs``, so the
-folder may be on any store that pyarrow opens (a mounted disk, HDFS, S3, GCS).
-"""
+"""Words of UTF-8 texts as codes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-import pyarrow.fs as pafs
 
 #: Bytes of UTF-8 text to lower-cased word bytes: digits, a-z and everything beyond ASCII stay, the rest is a space.
 WORD_BYTES = bytes(
@@ -19,21 +11,6 @@ WORD_BYTES = bytes(
 )
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared folder, and the path in it."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def shared_rows(uri: str) -> Iterator[dict]:
-    """The rows of a Parquet table in the shared folder, one at a time: for tables of few, large rows."""
-    fs, path = file_system(uri)
-    for fragment in ds.dataset(path, filesystem=fs, format="parquet").get_fragments():
-        for batch in fragment.to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1):
-            yield from batch.to_pylist()
-
-
 def word_codes(texts: list[bytes | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words of UTF-8 texts as codes: (code of each word in order, dictionary of word bytes, words of each text)."""
     sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import file_system
-from reviewloom.session import materialise, scratch_path
+from reviewloom.session import file_system, materialise, scratch_path
 
 #: Entries of an index block, and bytes after which a task starts a new archive.
 BLOCK_ENTRIES = 2048

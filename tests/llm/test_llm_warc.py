@@ -7,7 +7,7 @@ import pyarrow.fs as pafs
 import pytest
 
 from reviewloom.llm import warc
-from reviewloom.llm.shared import file_system
+from reviewloom.session import file_system
 
 ROWS = [
     (5, "http://a.example.com/x?y", "<p>same</p>"), (3, "http://A.example.com/x?y", "<p>same</p>"), (9, "http://b.org", "<p>same</p>"),
