@@ -62,13 +62,16 @@ def key_digest(keys: list[str]) -> Column:
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: str = "row_ix", digest: Column | None = None) -> DataFrame:
     """First row, by ``order``, of each distinct key; nulls count as equal.
 
-    The winners are found by a partial-then-final ``min`` over a digest of the keys, so a group of
-    copies of any size shrinks to one row per task before the shuffle, and long texts are not part
-    of that shuffle.  The rows themselves then move once, by their unique ``order`` value.
+    Groups with copies are found by a partial-then-final aggregate over a digest of the keys, so a group of
+    any size shrinks to one row per task before the shuffle, and long texts are not part of it.  Only the ids
+    of later copies are then written, and rows with such an id left out: where copies are few, that table is
+    small enough for Catalyst to broadcast, and the rows themselves do not move.
     """
     digest = key_digest(keys) if digest is None else digest
-    first = df.select(digest.alias("_d"), F.col(order)).groupBy("_d").agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    narrow = df.select(digest.alias("_d"), F.col(order).alias("_o"))
+    groups = narrow.groupBy("_d").agg(F.min("_o").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = materialise(narrow.join(groups, "_d").filter("_o <> _first").select("_o"), "later_copies")
+    return df if copies.isEmpty() else df.join(copies, F.col(order) == F.col("_o"), "left_anti")
 
 
 def drop_contact_columns(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,17 +44,36 @@ CSV_READ = {
 }
 
 
-def load_reviews(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REVIEW_SCHEMA) -> DataFrame:
+def load_reviews(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REVIEW_SCHEMA, line_breaks: bool = True
+) -> DataFrame:
     """Raw reviews from parquet, CSV or JSON; a missing path raises.
 
-    ``row_ix`` is the input order and must be a column of parquet and JSON sources.  A CSV file
-    may lack it: rows are then numbered by position, in the order Spark reads the file.
+    ``row_ix`` is the input order and must be a column of parquet and JSON sources.  CSV columns are found by
+    their name in the header, which all files share; others are ignored, missing ones null.  Without a
+    ``row_ix`` rows are numbered by file name and position.  With ``line_breaks`` False no field may hold a
+    line break, and large CSV files are read in splits.
     """
     if fmt != "csv":
         return spread_small_input(spark.read.schema(schema).format(fmt).load(path))
-    plain = T.StructType([f for f in schema if f.name != "row_ix"])
-    numbered = spark.read.options(**CSV_READ).schema(plain).csv(path).withColumn("row_ix", F.monotonically_increasing_id())
-    return spread_small_input(numbered)
+    options = CSV_READ | {"multiLine": line_breaks}
+    names = spark.read.options(**options).csv(path).columns
+    rows = spark.read.options(**options).schema(T.StructType([T.StructField(n, _S) for n in names])).csv(path)
+    columns = [(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema]
+    if "row_ix" in names:
+        return spread_small_input(rows.select(*columns))
+    return spread_small_input(_numbered(rows.select(*columns, "_metadata.file_path", "_metadata.file_block_start")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``row_ix`` by file, split of the file, and position in the split; a count of each split is all that moves."""
+    where = ["file_path", "file_block_start"]
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())  # rising within a split
+    splits = placed.groupBy(*where).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy(*where).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.select(*where, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    numbered = placed.join(splits, where).withColumn("row_ix", F.col("_base") + F.col("_at") - F.col("_first"))
+    return numbered.select(rows.drop(*where).columns)
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:

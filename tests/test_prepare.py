@@ -80,6 +80,36 @@ def test_csv_reviews_and_lexicon(spark):
     assert read_lexicon(spark, path) == {"good": 1.9, "bad": -2.5}
 
 
+def csv_file(folder, name, rows, header="name,reviewer_review,extra"):
+    import pathlib
+
+    pathlib.Path(folder).mkdir(parents=True, exist_ok=True)
+    pathlib.Path(folder, name).write_text("\n".join([header, *rows]) + "\n")
+
+
+def test_csv_rows_are_numbered_by_file_name_and_position(spark, tmp_path):
+    csv_file(tmp_path, "part-0.csv", [f"HM,a{i},x" for i in range(3)])
+    csv_file(tmp_path, "part-1.csv", [f"HM,b{i:05d},x" for i in range(3000)])
+    csv_file(tmp_path, "part-2.csv", ["HM,c0,x"])
+    want = [f"a{i}" for i in range(3)] + [f"b{i:05d}" for i in range(3000)] + ["c0"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for line_breaks in (True, False):
+            df = load_reviews(spark, str(tmp_path), "csv", line_breaks=line_breaks)
+            rows = df.orderBy("row_ix").collect()
+            assert [r.reviewer_review for r in rows] == want and [r.row_ix for r in rows] == list(range(len(want)))
+        one = spark.read.option("header", True).csv(str(tmp_path / "part-1.csv"))
+        assert one.rdd.getNumPartitions() > 5  # as a file without line breaks in fields is read
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    csv_file(tmp_path, "r.csv", ["9,x,great,HM", "4,y,poor,Zara"], "row_ix,extra,reviewer_review,name")
+    rows = load_reviews(spark, str(tmp_path), "csv").orderBy("row_ix").collect()
+    assert [(r.row_ix, r.reviewer_review, r.name, r.url) for r in rows] == [(4, "poor", "Zara", None), (9, "great", "HM", None)]
+
+
 def test_missing_input_raises(spark):
     import pytest
     from pyspark.errors import AnalysisException

@@ -19,6 +19,10 @@ def test_newlines(spark):
     assert run(spark, tx.clean_newlines, ["a\r\nb\nc", None]) == ["a  b c", ""]
 
 
+def test_mojibake_keeps_a_decoded_replacement_character(spark):
+    assert run(spark, tx.clean_mojibake, ["caf\u00c3\u00a9 \u00ef\u00bf\u00bd end", "\u00c3\u00a9 \u00ff"]) == ["caf\u00e9 \ufffd end", "\u00e9 "]
+
+
 def test_mojibake_is_lossy_as_specified(spark):
     got = run(spark, tx.clean_mojibake, ["cafÃ©", "château", "didnâ€™t", "plain é", "â", "日本 Ã©", ""])
     assert got == ["café", "chteau", "didnt", "plain é", "â", " é", ""]
@@ -91,11 +95,14 @@ def test_compose_and_count(spark):
 def test_brand_rating_date(spark):
     assert run(spark, lambda t: tx.std_brand(t, P.BRAND_SYNONYMS), [" Zara ", "HM", "Other ", None]) == ["ZARA", "H&M", "Other", None]
     assert run(spark, tx.parse_rating, ["3", " 2.5 ", "n/a", None]) == [3.0, 2.5, None, None]
+    assert run(spark, tx.parse_rating, ["1d", "2f", "1e0", "-.5", "3.", "0x1", ""]) == [None, None, 1.0, -0.5, 3.0, None, None]
     cases = {
         "2021-03-04": "2021-03-04 00:00:00", "2021-03-04T05:06:07Z": "2021-03-04 05:06:07", "2021-03-04 05:06:07": "2021-03-04 05:06:07",
         "2021-03-04T05:06:07.123Z": "2021-03-04 05:06:07", "2021-03-04T05:06": "2021-03-04 05:06:00",
         "2021-03-04T05:06:07+02:00": "2021-03-04 03:06:07", "2021/03/04": "2021-03-04 00:00:00", "3/4/2021": "2021-03-04 00:00:00",
         "Mar 4, 2021": "2021-03-04 00:00:00", "March 14, 2021": "2021-03-14 00:00:00", "4 March 2021": "2021-03-04 00:00:00",
+        " 2021-03-04 ": "2021-03-04 00:00:00", "20210304": "2021-03-04 00:00:00", "04-Mar-2021": "2021-03-04 00:00:00",
+        "2021-03-04T10:11:12+0000": "2021-03-04 10:11:12", "2021-03-04T10:11:12-0130": "2021-03-04 11:41:12", "2021/03/04 10:00": "2021-03-04 10:00:00",
         "unknown": None, "2021-02-30": None, "": None, "05:06": None, "2021": None,
     }
     got = run(spark, lambda t: F.date_format(tx.parse_date(t, P.DATE_FORMATS), "yyyy-MM-dd HH:mm:ss"), [*cases, None])
