@@ -9,14 +9,27 @@ import re
 
 from registry import fixture as fx
 from registry.spark_queries import CLUSTER_RULES, EMOTIONS, LANGUAGE_CONSTRUCTS
-from reviewloom.functions import porter, sentiment
-from reviewloom.functions.text import WHITESPACE
 from reviewloom.operators import report as rp
 from reviewloom.params import EXPORT_COLUMNS, LDA_CONSTRUCTS, MOJIBAKE_MARKS, PUBLIC_COLUMNS
 
 P = fx.PARAMS
 
 
+# Written out here, and not taken from the code under test: Unicode white space with the separators
+# U+001C..U+001F, the constants of the sentiment rules, and Porter's suffix tables (fixed values).
+WHITESPACE = (
+    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+CAPS_BOOST, NEGATION, EXCLAMATION, QUESTION, QUESTION_MAX = 0.733, -0.74, 0.292, 0.18, 0.96
+PORTER_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent",
+    "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+PORTER_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+PORTER_4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -160,7 +173,7 @@ def cut(n: int) -> str:
     return f"left(w, length(w) - {n})"
 
 
-C, V = porter.C, porter.V
+C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"  # a run of consonants, a run of vowels
 M0, M1, MM, VOW, CVC = (
     f"^({C})?{V}{C}", f"^({C})?{V}{C}({V})?$", f"^({C})?{V}{C}{V}{C}", f"^({C})?[aeiouy]", f"^{C}[aeiouy][^aeiouwxy]$",
 )
@@ -186,11 +199,11 @@ PORTER = {
                  THEN CASE WHEN contains('lsz', w[-1]) THEN w ELSE {cut(1)} END
                WHEN {has('w', CVC)} THEN w || 'e' ELSE w END AS w FROM p1c""",
     "p1e": f"SELECT token, CASE WHEN ends_with(w, 'y') AND {has(cut(1), VOW)} THEN {cut(1)} || 'i' ELSE w END AS w FROM p1d",
-    "p2": f"SELECT token, {suffix_case(porter.STEP_2, M0)} AS w FROM p1e",
-    "p3": f"SELECT token, {suffix_case(porter.STEP_3, M0)} AS w FROM p2",
+    "p2": f"SELECT token, {suffix_case(PORTER_2, M0)} AS w FROM p1e",
+    "p3": f"SELECT token, {suffix_case(PORTER_3, M0)} AS w FROM p2",
     "p4": f"""SELECT token, CASE WHEN ends_with(w, 'ion') THEN
                 CASE WHEN {has(cut(3), MM)} AND {has(cut(3), '[st]$')} THEN {cut(3)} ELSE w END
-              ELSE {suffix_case({s: '' for s in porter.STEP_4}, MM)} END AS w FROM p3""",
+              ELSE {suffix_case({s: '' for s in PORTER_4}, MM)} END AS w FROM p3""",
     "p5": f"""SELECT token, CASE WHEN ends_with(w, 'e') AND ({has(cut(1), MM)} OR ({has(cut(1), M1)} AND NOT {has(cut(1), CVC)}))
               THEN {cut(1)} ELSE w END AS w FROM p4""",
     "p6": f"SELECT token, CASE WHEN ends_with(w, 'll') AND {has('w', MM)} THEN {cut(1)} ELSE w END AS stem FROM p5",
@@ -234,17 +247,17 @@ CTES = {
                   min(CASE WHEN is_but THEN pos END) OVER (PARTITION BY row_ix) AS but_pos
                   FROM marked WINDOW w AS (PARTITION BY row_ix ORDER BY pos)""",
     "valences": f"""SELECT row_ix, pos, CASE WHEN base = 0 THEN 0.0 ELSE
-                  (base + CASE WHEN tok = upper(tok) AND regexp_matches(txt, '[a-z]') THEN sign(base) * {sentiment.CAPS_BOOST} ELSE 0 END
+                  (base + CASE WHEN tok = upper(tok) AND regexp_matches(txt, '[a-z]') THEN sign(base) * {CAPS_BOOST} ELSE 0 END
                    + sign(base) * (d1 * 1.0 + d2 * 0.95 + d3 * 0.9))
-                  * CASE WHEN negated THEN {sentiment.NEGATION} ELSE 1.0 END
+                  * CASE WHEN negated THEN {NEGATION} ELSE 1.0 END
                   * CASE WHEN pos < but_pos THEN 0.5 WHEN pos > but_pos THEN 1.5 ELSE 1.0 END END AS v FROM looked_back""",
     "sums": """SELECT row_ix, count(*) AS n, sum(v ORDER BY pos) AS s, coalesce(sum(v + 1 ORDER BY pos) FILTER (v > 0), 0) AS p,
                abs(coalesce(sum(v - 1 ORDER BY pos) FILTER (v < 0), 0)) AS m, count(*) FILTER (v = 0) AS z
                FROM valences GROUP BY row_ix""",
     "marks": r"""SELECT row_ix, length(review_full_text) - length(replace(review_full_text, '!', '')) AS ex,
                length(review_full_text) - length(replace(review_full_text, '?', '')) AS qu FROM sample""",
-    "emphasis": f"""SELECT row_ix, {sentiment.EXCLAMATION} * least(ex, 4)
-                + CASE WHEN qu < 2 THEN 0 WHEN qu <= 3 THEN {sentiment.QUESTION} * qu ELSE {sentiment.QUESTION_MAX} END AS e FROM marks""",
+    "emphasis": f"""SELECT row_ix, {EXCLAMATION} * least(ex, 4)
+                + CASE WHEN qu < 2 THEN 0 WHEN qu <= 3 THEN {QUESTION} * qu ELSE {QUESTION_MAX} END AS e FROM marks""",
     "parts": """SELECT sample.row_ix, coalesce(n, 0) AS n, s + sign(s) * e AS s, CASE WHEN p > m THEN p + e ELSE p END AS p,
                 CASE WHEN p < m THEN m + e ELSE m END AS m, z
                 FROM sample JOIN emphasis USING (row_ix) LEFT JOIN sums USING (row_ix)""",

@@ -598,7 +598,7 @@ def coherence_cv(spark, sf_dir):
 @query
 def coherence_compare(spark, sf_dir):
     s = study(spark, sf_dir)
-    return rounded(co.coherence_compare(s.tokens, s.given_terms, s.given_clustered, s.given_cluster_terms, P.coherence_window))
+    return rounded(co.coherence_compare(s.given_terms, s.given_clustered, s.given_cluster_terms, P.coherence_window))
 
 
 # --- labels and constructs -------------------------------------------------------------

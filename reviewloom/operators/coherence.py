@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.session import materialise
+
 EPSILON = 1e-12
 
 
@@ -24,7 +26,14 @@ def word_sets(topic_terms: DataFrame) -> DataFrame:
 
 
 def window_counts(tokens: DataFrame, sets: DataFrame, window: int) -> DataFrame:
-    """``a, b, n``: number of sliding windows that hold a word of the set.
+    """``a, b, n``: number of sliding windows that hold a word of the set."""
+    sets = materialise(sets.withColumn("model", F.lit("")), "word_sets")  # written, so that its size is known
+    counted = model_window_counts(tokens.withColumn("models", F.array(F.lit(""))), sets, window)
+    return counted.drop("model")
+
+
+def model_window_counts(tokens: DataFrame, sets: DataFrame, window: int) -> DataFrame:
+    """``model, a, b, n`` for the sets of several models at once; ``models`` of a row are those it counts for.
 
     An occurrence at position p lies in the windows that start at ``lo..hi``, a run of numbers;
     successive occurrences add only the starts that the one before has not covered.  So a window
@@ -35,18 +44,17 @@ def window_counts(tokens: DataFrame, sets: DataFrame, window: int) -> DataFrame:
     marked = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
     found = F.filter(marked, lambda x: x["term"].isin(words))
     # only topic words are shuffled, still packed by row, and exploded after that
-    placed = tokens.select("row_ix", F.size("tokens").alias("len"), found.alias("found")).filter(F.size("found") > 0)
-    placed = placed.repartition("row_ix").select("row_ix", "len", F.inline("found"))
-    # sets has tens of rows per topic, fixed by the number of top words
-    hits = placed.join(F.broadcast(sets), "term").select(
-        "row_ix", "a", "b", "pos",
+    placed = tokens.select("row_ix", "models", F.size("tokens").alias("len"), found.alias("found")).filter(F.size("found") > 0)
+    placed = placed.repartition("row_ix").select("row_ix", "models", "len", F.inline("found"))
+    hits = placed.join(sets, "term").filter(F.array_contains("models", F.col("model"))).select(
+        "row_ix", "model", "a", "b", "pos",
         F.greatest(F.lit(0), F.col("pos") - (window - 1)).alias("lo"),
         F.least(F.col("pos"), F.greatest(F.lit(0), F.col("len") - window)).alias("hi"),
     )
-    in_text = Window.partitionBy("row_ix", "a", "b").orderBy("pos")
+    in_text = Window.partitionBy("row_ix", "model", "a", "b").orderBy("pos")
     before = F.coalesce(F.lag("hi").over(in_text), F.lit(-1))
     fresh = F.col("hi") - F.greatest(F.col("lo"), before + 1) + 1
-    return hits.select("a", "b", fresh.alias("fresh")).groupBy("a", "b").agg(F.sum("fresh").alias("n"))
+    return hits.select("model", "a", "b", fresh.alias("fresh")).groupBy("a", "b", "model").agg(F.sum("fresh").alias("n"))
 
 
 def window_total(tokens: DataFrame, window: int) -> DataFrame:
@@ -64,7 +72,11 @@ def coherence_cv(
     vector is its NPMI with all words of its topic; its score is the cosine with the sum of them.
     """
     total = window_total(tokens, window).scalar()
-    counts = window_counts(tokens, word_sets(topic_terms), window)
+    return coherence_scores(window_counts(tokens, word_sets(topic_terms), window), total, topic_terms, model_name, eps)
+
+
+def coherence_scores(counts: DataFrame, total: int, topic_terms: DataFrame, model_name: str, eps: float = EPSILON) -> DataFrame:
+    """The rows of ``coherence_cv`` from ``window_counts`` and the number of windows."""
     single = counts.filter(F.col("a") == F.col("b")).select(F.col("a").alias("word"), F.col("n").alias("n_word"))
     words = topic_terms.select("topic_id", "topic_label", "term")
     grid = words.select("topic_id", "topic_label", F.col("term").alias("w")).join(
@@ -104,14 +116,24 @@ def coherence_cv(
 
 
 def coherence_compare(
-    tokens: DataFrame, lda_terms: DataFrame, clustered: DataFrame, cluster_terms: DataFrame, window: int = 110
+    lda_terms: DataFrame, clustered: DataFrame, cluster_terms: DataFrame, window: int = 110
 ) -> DataFrame:
-    """Both models; the cluster model on ``row_ix, topic_id, tokens`` of reviews that are in a
-    cluster, with all its topics scored."""
-    inside = clustered.filter(F.col("topic_id") != -1)
-    return coherence_cv(tokens, lda_terms, "LDA", window).unionByName(
-        coherence_cv(inside, cluster_terms, "BERTopic", window)
-    )
+    """Both models in one pass over ``row_ix, topic_id, tokens``: all reviews count for the LDA topics, those in a
+    cluster for the clusters, with all topics scored."""
+    names = {"LDA": lda_terms, "BERTopic": cluster_terms}
+    inside = F.col("topic_id") != -1
+    models = F.when(inside, F.array(*map(F.lit, names))).otherwise(F.array(F.lit("LDA")))
+    sets = [word_sets(terms).withColumn("model", F.lit(name)) for name, terms in names.items()]
+    sets = materialise(sets[0].unionByName(sets[1]), "word_sets")  # written, so that its size is known
+    counts = model_window_counts(clustered.select("row_ix", "tokens", models.alias("models")), sets, window)
+    counts = materialise(counts, "window_counts")
+    n = F.size("tokens")
+    windows = F.when(n > 0, F.greatest(F.lit(1), n - window + 1))
+    totals = clustered.agg(F.sum(windows).alias("LDA"), F.sum(F.when(inside, windows)).alias("BERTopic")).first()
+    scored = [
+        coherence_scores(counts.filter(F.col("model") == name).drop("model"), totals[name], terms, name) for name, terms in names.items()
+    ]
+    return scored[0].unionByName(scored[1])
 
 
 def coherence_plot_rows(coherence: DataFrame) -> DataFrame:

@@ -192,6 +192,7 @@ DATE_FORMATS = [
     "d MMMM yyyy",
 ]
 
+# Word valences, negators and boosters follow the published list of Hutto & Gilbert (2014), in part.
 # A starter lexicon only, so that a study runs out of the box; a real run passes a full
 # published valence lexicon (see sources.reviews.read_lexicon).
 STARTER_LEXICON = {

@@ -138,7 +138,7 @@ class Study:
     @cached_property
     def coherence(self) -> DataFrame:
         scores = co.coherence_compare(
-            self.tokens, self.topic_terms, self.clustered, self.cluster_terms, self.params.coherence_window
+            self.topic_terms, self.clustered, self.cluster_terms, self.params.coherence_window
         )
         return materialise(scores, "coherence")
 
