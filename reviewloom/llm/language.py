@@ -209,20 +209,21 @@ def fit(docs: DataFrame, sample_rows: int = 4000, epochs: int = 3) -> Model:
 
     Document frequencies cover all rows with a text and a language.  Weights and temperature are fitted on at
     most ``sample_rows`` rows: an equal number of each language (20 at least), those with the smallest
-    hashed ids.  A fifth of them, likewise by hash, is kept for the temperature.
+    hashed ids (of rows that share an id and language, the first text).  A fifth of them,
+    drawn with a fixed seed, is kept for the temperature.
     """
     known = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    named = known.select("doc_id", "lang").distinct()
+    sizes = dict(tuple(r) for r in named.groupBy("lang").count().collect())  # a row for each language
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, DIMS)), np.zeros(0), 1.0)
     df = document_frequencies(known)
     idf = np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1
-    mixed = F.xxhash64("doc_id")
-    place = Window.partitionBy("lang").orderBy(mixed, "doc_id")
-    each = max(20, sample_rows // len(languages))
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= each)
-    picked = F.broadcast(chosen.select("doc_id", "lang").distinct())  # at most sample_rows, or 20 a language
-    rows = _sample_features(known.join(picked, ["doc_id", "lang"], "left_semi"))
+    chosen = smallest_hashes(named, "doc_id", "lang", sizes, max(20, sample_rows // len(languages)))
+    picked = F.broadcast(chosen)  # at most sample_rows, or 20 a language
+    texts = known.join(picked, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = _sample_features(texts)
     number = {name: i for i, name in enumerate(languages)}
     examples = [(np.append(at, DIMS), np.append(UNIT * x * idf[at], 1.0), number[lang]) for _, lang, at, x in rows]
     order = np.random.default_rng(7).permutation(len(examples))
@@ -237,6 +238,20 @@ def fit(docs: DataFrame, sample_rows: int = 4000, epochs: int = 3) -> Model:
     return Model(languages, w[:, :DIMS] * idf, w[:, DIMS], temperature(logits, right))
 
 
+def smallest_hashes(rows: DataFrame, key: str, kind: str, sizes: dict, each: int) -> DataFrame:
+    """(key, kind) of ``rows``, which are distinct: of each kind the ``each`` rows with the smallest hash of ``key``.
+
+    Only hashes below a cut, under which four times as many are expected, meet in a task; a kind whose
+    hashes leave fewer than ``each`` there gives those.
+    """
+    span = 1 << 40
+    hashed = F.pmod(F.xxhash64(key), F.lit(span))
+    cuts = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(span * min(1.0, 4 * each / n)))])
+    near = rows.withColumn("h", hashed).filter(F.col("h") < F.element_at(cuts, F.col(kind)))
+    place = Window.partitionBy(kind).orderBy("h", key)
+    return near.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= each).select(key, kind)
+
+
 def temperature(logits: np.ndarray, right: np.ndarray) -> float:
     """The temperature with the least cross entropy, by golden section on its logarithm.
 

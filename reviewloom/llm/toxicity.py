@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.language import smallest_hashes
 from reviewloom.llm.shared import word_codes
 
 DIMS = 1 << 20
@@ -165,7 +166,8 @@ def best_cut(p: np.ndarray, positive: np.ndarray, weight: np.ndarray, precision:
 
 def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(distinct features, toxic, how many labelled rows it stands for) of labelled documents: at most
-    ``sample_rows`` // 2 of each label, those with the smallest hashed ids."""
+    ``sample_rows`` // 2 of each label, those with the smallest hashed ids; of documents that share an id, the
+    first text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +180,10 @@ def sample_graded(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -
     known = labels.filter("doc_id is not null and toxic is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     total = dict(tuple(r) for r in known.groupBy("toxic").count().collect())  # a row for each label
-    place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= sample_rows // 2).select("doc_id", "toxic")
+    picked = smallest_hashes(known, "doc_id", "toxic", total, sample_rows // 2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id")  # at most sample_rows // 2 a label
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at array<int>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     at = found.column("at").combine_chunks()
