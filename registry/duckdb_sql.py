@@ -640,4 +640,6 @@ FINALS = {
     "sample_reviews": """SELECT row_ix, brand, brand_ord, reviewer_rating, review_month, token_count, review_full_text FROM sample""",
 }
 
+FINALS["publication_tables"] = FINALS["manuscript_table"]
+
 ORACLES = {name: statement(sql) for name, sql in FINALS.items()}

@@ -28,6 +28,7 @@ from reviewloom.operators import tokens as tk
 from reviewloom.operators import topics_cluster as tc
 from reviewloom.operators import topics_lda as tl
 from reviewloom.params import english_stopwords
+from reviewloom.plans.publication import export_publication
 from reviewloom.plans.study import Study
 from reviewloom.session import configure, materialise, scratch_path
 from reviewloom.sources import writers as wr
@@ -774,6 +775,27 @@ def manuscript_table(spark, sf_dir):
     return rounded(rp.manuscript_table(s.given_summary, s.given_distribution, aspects, BRANDS))
 
 
+@query
+def publication_tables(spark, sf_dir):
+    """The publication step from the written tables of a study: its manuscript table, read back."""
+    s = study(spark, sf_dir)
+    aspects = sm.aspect_prevalence(s.scored, BRANDS)
+    tables = {
+        "topic_coherence": s.given_coherence,
+        "construct_mapping": lb.construct_union(s.given_constructs, constructs_by_label(spark, sf_dir)),
+        "topic_terms": s.given_terms,
+        "bertopic_terms": s.given_cluster_terms.withColumn("publication_label", F.lit(None).cast("string")),
+        "topic_distribution_by_brand": s.given_distribution,
+        "aspect_distribution_by_brand": aspects,
+    }
+    folder, out = scratch_path(spark, "tables"), scratch_path(spark, "publication")
+    wr.save_bundle(tables, folder)
+    scored = s.given_reviews.withColumn("topic_weights", F.array_repeat("membership", P.lda_topics))
+    export_publication(spark, folder, out, P, scored)
+    schema = rp.manuscript_table(s.given_summary, s.given_distribution, aspects, BRANDS).schema
+    return rounded(load_table(spark, out, "Study1 Manuscript Table", schema))
+
+
 @query
 def heatmap_terms(spark, sf_dir):
     labels = [P.lda_labels[i] for i in range(4)]
