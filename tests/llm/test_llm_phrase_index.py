@@ -50,8 +50,8 @@ def test_many_segments_and_blocks_find_the_same(spark):
     docs, items = tables()
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    index = phrase_index.build_index(d, segment_words=50)
-    assert index.count() > 20
+    index = phrase_index.build_index(d, segment_words=30)
+    assert index.count() > 5
     got = {tuple(r) for r in phrase_index.phrase_matches(index, b).collect()}
     want = set()
     for doc, text in docs:
