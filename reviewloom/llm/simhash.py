@@ -109,7 +109,7 @@ class Anchors:
     def of(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, anchor, whether it is the row's home) in pieces, over all rows."""
         value = (fp >> self.low) & self.mask
-        syndrome = self.parity[(value & np.uint64(self.coded)).astype(np.int64)].astype(np.int64)
+        syndrome = self.parity[(value & np.uint64(len(self.parity) - 1)).astype(np.int64)].astype(np.int64)
         home = value ^ np.where(syndrome > 0, np.uint64(1) << (np.maximum(syndrome, 1) - 1).astype(np.uint64), np.uint64(0))
         rows = np.arange(len(fp))
         yield rows, home, np.ones(len(fp), bool)
