@@ -5,14 +5,17 @@ normalised value alone, so mentions of one entity agree wherever they stand, wit
 digits, letters letters of the same script and case, separators stay, names keep their title's gender, and
 checksums that held still hold.  All distinct entities are then checked against one another: where two of
 a type share a surrogate, or a surrogate is itself an entity of the corpus, all but one take their next
-surrogate, in rounds, until none is left.  Only documents that hold such an entity meet its round number
-in a join; texts are not shuffled otherwise.
+surrogate, in rounds, until none is left.  Names, addresses and secrets grow longer with the rounds, so
+that there is always room.  Numbers keep their format; where a format has too few values for that, a keyed
+permutation of the format gives all its entities their surrogates.  Only documents that hold an entity of a
+later round meet its number in a join; texts are not shuffled otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,8 +26,14 @@ from pyspark.sql import types as T
 
 from reviewloom.session import materialise
 
-#: Rounds after which a format counts as exhausted.
+#: Rounds after which a format of numbers counts as exhausted.
 MOST_ROUNDS = 64
+#: Round number of entities whose format is permuted.
+PERMUTED = -1
+#: Rounds in which addresses and secrets keep their length.
+SAME_LENGTH = 3
+#: Rounds of the Feistel network that permutes a format.
+FEISTEL = 8
 
 #: Titles before a person's name, by gender (fixed values).
 TITLES = {
@@ -83,15 +92,23 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind.startswith("name"):
             value = " ".join(value.lower().split(" "))
         elif kind in ("card", "phone", "ssn"):
-            value = "+" * value.startswith("+") + re.sub(r"\D", "", value)
+            value = "+" * value.startswith("+") + _ascii(re.sub(r"\D", "", value))
+        elif kind == "ip":
+            value = ".".join(str(int(n)) for n in value.split("."))
         elif kind == "iban":
-            value = value.replace(" ", "")
+            value = _ascii(value.replace(" ", ""))
             if not _iban_holds(value):
                 continue
+        elif kind == "secret" and not any(map(str.isalnum, value)):
+            continue  # a masked value: nothing to replace
         out.append((a, b, kind, value))
     return out
 
 
+def _ascii(value: str) -> str:
+    return "".join(str(int(c)) if c.isdecimal() else c for c in value)
+
+
 def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
@@ -140,37 +157,129 @@ def _like(c: str, stream: _Stream) -> str:
 
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """The surrogate of a normalised value in round ``attempt``, itself normalised."""
+    if attempt == PERMUTED:
+        return permuted(kind, value, key)
     stream = _Stream(key, kind, value, attempt)
     if kind.startswith("name"):
-        return " ".join(_name(word, kind[-1], stream) for word in value.split(" "))
+        return " ".join(_name(word, kind[-1], stream, attempt) for word in value.split(" "))
     if kind == "email":
         local, _, host = value.rpartition("@")
         *labels, last = host.split(".")
         mixed = [_Stream(key, "host", label, attempt) for label in labels]
-        return "".join(_like(c, stream) for c in local) + "@" + ".".join(["".join(_like(c, s) for c in x) for x, s in zip(labels, mixed, strict=True)] + [last])
+        new = "".join(_like(c, stream) for c in local) + _longer(attempt, stream)
+        return new + "@" + ".".join(["".join(_like(c, s) for c in x) for x, s in zip(labels, mixed, strict=True)] + [last])
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "key":
         return value[:4] + "".join(_like(c, stream) for c in value[4:])
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
-        return "".join("0123456789abcdef"[stream.below(16)] for _ in value)
+        return "".join("0123456789abcdef"[stream.below(16)] for _ in value) + _longer(attempt, stream, "0123456789abcdef")
     new = "".join(_like(c, stream) for c in value)
+    if kind == "secret":
+        return new + _longer(attempt, stream)
     if kind == "iban":
-        new = value[:2] + "00" + new[4:]
-        return value[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97:02d}" + new[4:]
+        return _iban(value[:2], new[4:])
     if kind == "card" and value:
         new = value[0] + new[1:]
         return new[:-1] + str((int(new[-1]) + _luhn(new)) % 10) if _luhn(value) == 0 else new
     if kind == "phone":  # no new leading zeros; the start of a country code stays
         new = "".join(str(1 + stream.below(9)) if old != "0" and d == "0" else d for old, d in zip(value, new, strict=True))
-        return value[:2] + new[2:] if value.startswith("+") else new
+        kept = _kept(kind, value)
+        return value[:kept] + new[kept:]
     return new
 
 
-def _name(word: str, gender: str, stream: _Stream) -> str:
+def _iban(country: str, rest: str) -> str:
+    checked = rest + country + "00"
+    return country + f"{98 - int(''.join(str(int(c, 36)) for c in checked)) % 97:02d}" + rest
+
+
+def _longer(attempt: int, stream: _Stream, signs: str = _LOWER["latin"]) -> str:
+    return "".join(signs[stream.below(len(signs))] for _ in range(attempt - SAME_LENGTH))
+
+
+def _kept(kind: str, value: str) -> int:
+    """Signs at the start of a number that its format fixes: country codes' first digit, a leading zero, a card's issuer."""
+    return {"phone": 2 if value.startswith("+") else int(value.startswith("0")), "card": 1, "iban": 4, "key": 4}.get(kind, 0)
+
+
+def _cells(kind: str, value: str) -> list[tuple[int, int]]:
+    """(digit, radix) of the free signs of a number, in order; empty for types that have no fixed format."""
+    if kind == "ip":
+        return [(int(n), 256) for n in value.split(".")]
+    if kind not in ("phone", "ssn", "card", "iban", "key"):
+        return []
+    free = value[_kept(kind, value) : len(value) - (kind == "card")]
+    cells = [(int(c), 10) if c.isdigit() else (ord(c) - 65, 26) for c in free]
+    if kind == "phone" and cells and len(free) == len(value):  # no new leading zero
+        cells[0] = (cells[0][0] - 1, 9)
+    return cells
+
+
+def format_of(kind: str, value: str) -> tuple[str | None, float]:
+    """(format, values that every round can choose from) of a number; other types grow and have no format."""
+    cells = _cells(kind, value)
+    if not cells and kind != "phone":
+        return None, float("inf")
+    kept = value[: _kept(kind, value)]
+    if kind == "iban":
+        kept = value[:2]
+    shape = "".join("A" if radix == 26 else "9" for _, radix in cells)
+    size = 1.0
+    for _, radix in cells:
+        size *= {"phone": 9, "ip": 254}.get(kind, radix)
+    return f"{kind} {kept} {shape}", size
+
+
+def permuted(kind: str, value: str, key: bytes) -> str:
+    """Another value of the same format, by a keyed permutation of all of them that leaves none in its place."""
+    cells = _cells(kind, value)
+    size = 1
+    for _, radix in cells:
+        size *= radix
+    at = 0
+    for digit, radix in cells:
+        at = at * radix + digit
+    label = format_of(kind, value)[0]
+    step = 1 + _Stream(key, "step", label).below(min(size - 1, 1 << 31))
+    at = _feistel((_feistel(at, size, key, label, back=True) + step) % size, size, key, label)
+    digits = []
+    for _, radix in reversed(cells):
+        at, digit = divmod(at, radix)
+        digits.append((digit, radix))
+    digits.reverse()
+    if kind == "ip":
+        return ".".join(str(d) for d, _ in digits)
+    new = "".join(chr(65 + d) if radix == 26 else str(d + (radix == 9)) for d, radix in digits)
+    if kind == "iban":
+        return _iban(value[:2], new)
+    new = value[: _kept(kind, value)] + new
+    if kind == "card":  # a checksum that held holds, one that did not is as far off
+        return new + str((_luhn(new + "0") - _luhn(value[:-1] + "0") + int(value[-1])) % 10)
+    return new
+
+
+def _feistel(at: int, size: int, key: bytes, label: str, back: bool = False) -> int:
+    """A keyed permutation of the numbers below ``size``, or its inverse: a Feistel network, repeated until below ``size``."""
+    side = math.isqrt(size - 1) + 1
+    rounds = range(FEISTEL)
+
+    def mixed(i: int, n: int) -> int:
+        return int.from_bytes(hmac.new(key, f"{label}\x1f{i}\x1f{n}".encode(), hashlib.sha256).digest(), "big") % side
+
+    while True:
+        a, b = divmod(at, side)
+        for i in reversed(rounds) if back else rounds:
+            a, b = ((b - mixed(i, a)) % side, a) if back else (b, (a + mixed(i, b)) % side)
+        at = a * side + b
+        if at < size:
+            return at
+
+
+def _name(word: str, gender: str, stream: _Stream, attempt: int) -> str:
     script = "cyrillic" if _script(word[:1]) == "cyrillic" else "latin"
     parts = SYLLABLES[script]
-    n = max(2, min(4, len(word) // 2))
+    n = max(2, min(4, len(word) // 2)) + attempt
     ends = ENDINGS[script][gender]
     return "".join(parts[stream.below(len(parts))] for _ in range(n)) + ends[stream.below(len(ends))]
 
@@ -184,6 +293,8 @@ def dressed(new: str, mention: str, kind: str) -> str:
         signs = iter(new.lstrip("+"))
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     if kind == "email":
+        at = mention.rindex("@")
+        mention = mention[:at] + "a" * (len(new) - len(mention)) + mention[at:]
         return "".join(n.upper() if c.isupper() else n for n, c in zip(new, mention, strict=True))
     return new
 
@@ -211,32 +322,59 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     Of entities with the same surrogate the first by value keeps it, unless it is an entity's value.  Each
     round is written to the shared folder.  Genders share a name space, so that names stay distinct too.
-    A format whose values are nearly all entities of the corpus is an error after ``MOST_ROUNDS``.
+    Where over half of a format's values are entities, or ``MOST_ROUNDS`` leave clashes in it, the format is
+    permuted: its surrogates are distinct and never an entity's own value, but may be other entities' values,
+    which no choice could avoid.  Only a number without any free digit, which no pattern finds, is an error.
     """
 
+    def formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("type", "value")]
+            found = [format_of(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+            names, sizes = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(sizes, pa.float64())], ["type", "value", "format", "size"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("type", "value", "attempt")]
-            new = [surrogate(*row, key) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(new, pa.string())], ["type", "value", "attempt", "surrogate"])
+            columns = [batch.column(c) for c in ("type", "value", "format", "attempt")]
+            new = [surrogate(kind, value, attempt, key) for kind, value, _, attempt in zip(*(c.to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(new, pa.string())], ["type", "value", "format", "attempt", "surrogate"])
 
-    schema = "type string, value string, attempt int, surrogate string"
+    schema = "type string, value string, format string, attempt int, surrogate string"
     space = F.regexp_replace("type", "_.*", "")
-    state = entities.select("type", "value").distinct().withColumn("attempt", F.lit(0)).mapInArrow(run, schema)
-    state = materialise(state, "surrogates")
+
+    def permute(rows: DataFrame, full: DataFrame) -> DataFrame:
+        """``rows`` with the formats in the narrow table ``full`` permuted."""
+        full = full.select("format", F.lit(True).alias("full"))
+        attempt = F.when(F.col("full"), F.lit(PERMUTED)).otherwise(F.col("attempt")).cast("int")
+        return rows.join(full, "format", "left").select("type", "value", "format", attempt.alias("attempt"))
+
+    rows = entities.select("type", "value").distinct().mapInArrow(formats, "type string, value string, format string, size double")
+    rows = materialise(rows, "entities")
+    full = rows.filter("format is not null").groupBy("format").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    full = materialise(full.filter(2 * F.col("n") > F.col("size")), "full_formats")
+    if not full.filter("size < 2").isEmpty():  # no pattern finds such numbers
+        raise RuntimeError("a number without free digits has no surrogates")
+    state = materialise(permute(rows.withColumn("attempt", F.lit(0)), full).mapInArrow(run, schema), "surrogates")
     real = materialise(state.select(space.alias("space"), F.col("value").alias("surrogate")).distinct(), "entities")
-    for _ in range(MOST_ROUNDS):
-        rows = state.withColumn("space", space)
+    taken = real.withColumn("taken", F.lit(True))
+    done = ("type", "value", "attempt", "surrogate")
+    for last in range(MOST_ROUNDS, -1, -1):
+        rows = state.filter(F.col("attempt") != PERMUTED).withColumn("space", space)
         shared = rows.groupBy("space", "surrogate").agg(F.min(F.struct("value", "type")).alias("first"), F.count("*").alias("n"))
-        taken = real.withColumn("taken", F.lit(True))
         shared = shared.join(taken, ["space", "surrogate"], "left").filter("n > 1 or taken")
         clash = materialise(shared.select("space", "surrogate", "first", F.coalesce("taken", F.lit(False)).alias("taken")), "clashes")
         if clash.isEmpty():
-            return state
-        moves = F.col("taken") | (F.col("first") != F.struct("value", "type"))
-        next_ = rows.join(clash, ["space", "surrogate"], "left").select("type", "value", F.when(F.coalesce(moves, F.lit(False)), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+            break
+        moves = F.coalesce(F.col("taken") | (F.col("first") != F.struct("value", "type")), F.lit(False))
+        met = state.withColumn("space", space).join(clash, ["space", "surrogate"], "left")
+        moves &= F.col("attempt") != PERMUTED
+        if last:
+            next_ = met.select("type", "value", "format", F.when(moves, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+        else:
+            next_ = permute(state, met.filter(moves).select("format").distinct())
         state = materialise(next_.mapInArrow(run, schema), "surrogates")
-    raise RuntimeError("a format of entities has too few values for a distinct surrogate each")
+    return state.select(*done)
 
 
 def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
@@ -247,7 +385,7 @@ def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
     null ids are kept, with the same replacements.
     """
     found = materialise(find_entities(docs), "mentions")
-    later = materialise(assign(found, key).filter("attempt > 0").select("type", "value", "attempt"), "later_rounds")
+    later = materialise(assign(found, key).filter("attempt <> 0").select("type", "value", "attempt"), "later_rounds")
     marked = found.join(later, ["type", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "attempt")).alias("later"))
     marked = materialise(marked.select(F.col("doc_id").alias("marked_id"), "later"), "marked")
 
