@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host.
 
 A first pass hashes the subtrees of container elements, leaves to root; Spark counts on how many pages of
-a host each subtree stands.  Subtrees on many pages of their host are template and are deleted in a
+a host with different main texts each subtree stands.  Subtrees on many pages of their host are template and are deleted in a
 second pass, along with elements that by their tag, role, class or id are no article text.  Only pages on
 which a recurring subtree would otherwise stay meet its hash in a join.
 """
@@ -216,6 +216,10 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         gone = {i for i, (value, live) in found.items() if live and value in template}
     else:
         roots, gone = main_roots(parse(page))[0], set()
+    return _text(roots, gone)
+
+
+def _text(roots: list[Node], gone: set[int]) -> str:
     blocks: list[list[str]] = [[]]
     for root in roots:
         _blocks(root, blocks, gone)
@@ -242,33 +246,39 @@ def _blocks(root: Node, blocks: list[list[str]], gone: set[int]) -> None:
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, hash, live): the distinct candidate subtrees of each row of ``pages`` (page_id, url, html)."""
+    """(page_id, host, main, hash, live): the distinct candidate subtrees of each row of ``pages`` (page_id, url, html).
+
+    main is the hash of the row's main text before templates are deleted: copies share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found: dict[int, bool] = {}
-                for value, live in candidates(page)[1].values():
+                roots, subtrees = candidates(page)
+                for value, live in subtrees.values():
                     found[value] = found.get(value, False) or live
-                rows += [(page_id, host, value - (1 << 63), live) for value, live in sorted(found.items())]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "host", "hash", "live"])
+                main = xxhash.xxh64_intdigest(_text(roots, set())) - (1 << 63)
+                rows += [(page_id, host, main, value - (1 << 63), live) for value, live in sorted(found.items())]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "host", "main", "hash", "live"])
 
     rows = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id"), url_host(F.coalesce("url", F.lit(""))).alias("host"), "html")
-    return rows.mapInArrow(run, "page_id long, host string, hash long, live boolean")
+    return rows.mapInArrow(run, "page_id long, host string, main long, hash long, live boolean")
 
 
 def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     A null or empty html, or one without article text, has an empty text.  A null URL counts as a host of its
-    own.  Repeated rows and null ids are kept, and count as pages.
+    own.  Repeated rows and null ids are kept.  Rows of a host with the same main text count as one page.
     """
     found = materialise(subtree_hashes(pages), "subtrees")
     hosts = pages.groupBy(url_host(F.coalesce("url", F.lit(""))).alias("host")).agg(F.count("*").alias("pages"))
-    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("live").alias("live"))
+    once = found.groupBy("host", "hash", "main").agg(F.max("live").alias("live"))
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("live").alias("live"))
     recurring = counts.filter((F.col("n") >= many_pages) & F.col("live")).join(hosts, "host")
     recurring = materialise(recurring.filter(F.col("n") >= many_share * F.col("pages")).select("host", "hash"), "template")
     marked = found.filter("live").join(recurring, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))

@@ -65,6 +65,13 @@ def test_copies_of_an_article_are_not_template(spark):
     assert {r.text for r in html_main.extract(frame(spark, rows)).collect()} == {"One and the same story.\n\nIt goes on."}
 
 
+def test_copies_of_an_article_in_parts_are_not_template(spark):
+    parts = "<h1>T</h1><div><p>One and the same story.</p></div><div><p>It goes on and on.</p></div><ul><li>a list</ul>"
+    rows = [(i, "http://a.org/x", f"<nav>menu {i}</nav><article>{parts}<form>{i}</form></article>") for i in range(30)]
+    rows += [(100 + i, "http://b.org/x", f"<body>{parts}</body>") for i in range(30)]
+    assert {r.text for r in html_main.extract(frame(spark, rows)).collect()} == {"T\n\nOne and the same story.\n\nIt goes on and on.\n\na list"}
+
+
 def test_empty_table(spark):
     assert html_main.extract(frame(spark, [])).collect() == []
 
