@@ -2,7 +2,7 @@
 
 A first pass hashes the subtrees of container elements, leaves to root; Spark counts on how many pages of
 a host with different main texts each subtree stands.  Subtrees on many pages of their host are template and are deleted in a
-second pass, along with elements that by their tag, role, class or id are no article text.  Only pages on
+second pass, whatever the host's size, along with elements that by their tag, role, class or id are no article text.  Only pages on
 which a recurring subtree would otherwise stay meet its hash in a join.
 """
 
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from reviewloom.llm.url_rules import url_host
 from reviewloom.session import materialise
 
-#: A subtree is template if it stands on at least so many pages, and so large a share of the pages, of its host.
+#: A subtree is template if it stands on pages of its host with at least so many different main texts.
 MANY_PAGES = 5
-MANY_SHARE = 0.2
 
 # Element names of the HTML standard, and words in class, id or role that mark what is no article text (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,12 +173,12 @@ def hash_subtrees(root: Node) -> dict[int, tuple[int, bool, int]]:
     return out
 
 
-def candidates(page: str) -> tuple[list[Node], dict[int, tuple[int, bool]]]:
+def candidates(page: str) -> tuple[list[Node], dict[int, tuple[int, bool, bool]]]:
     """A page's roots of main text, and the subtrees that may be template: id -> (hash, whether
-    the rules leave it).
+    the rules leave it, whether it holds over half of the main text).
 
     Inside an article or main element prose is content however often it recurs: there only containers are
-    candidates, and only with at most half of its text.  Elsewhere any block is.
+    candidates.  Elsewhere any block is.
     """
     root = parse(page)
     roots, said = main_roots(root)
@@ -194,8 +193,8 @@ def candidates(page: str) -> tuple[list[Node], dict[int, tuple[int, bool]]]:
         if not size or id(node) in roots_ids or node.tag in ("html", "body", "article", "main"):
             continue
         could = own or not said  # only text inside the roots can be deleted; the rest is just counted
-        if node.tag in (CONTAINER if said else BLOCK) and (2 * size <= whole or not could):
-            out[id(node)] = (value, live and could)
+        if node.tag in (CONTAINER if said else BLOCK):
+            out[id(node)] = (value, live and could, 2 * size > whole)
     return roots, out
 
 
@@ -208,15 +207,17 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks in page order, white space inside a block as one space, joined by two line feeds."""
+    """The main text: blocks in page order, white space inside a block as one space, joined by two line feeds.
+
+    Where the templates are all there is, those with over half of the text stay, or else all of them.
+    """
     if not page:
         return ""
-    if template:
-        roots, found = candidates(page)
-        gone = {i for i, (value, live) in found.items() if live and value in template}
-    else:
-        roots, gone = main_roots(parse(page))[0], set()
-    return _text(roots, gone)
+    if not template:
+        return _text(main_roots(parse(page))[0], set())
+    roots, found = candidates(page)
+    gone = {i: large for i, (value, live, large) in found.items() if live and value in template}
+    return _text(roots, set(gone)) or _text(roots, {i for i, large in gone.items() if not large}) or _text(roots, set())
 
 
 def _text(roots: list[Node], gone: set[int]) -> str:
@@ -257,7 +258,7 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
             for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found: dict[int, bool] = {}
                 roots, subtrees = candidates(page)
-                for value, live in subtrees.values():
+                for value, live, _ in subtrees.values():
                     found[value] = found.get(value, False) or live
                 main = xxhash.xxh64_intdigest(_text(roots, set())) - (1 << 63)
                 rows += [(page_id, host, main, value - (1 << 63), live) for value, live in sorted(found.items())]
@@ -269,18 +270,16 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, host string, main long, hash long, live boolean")
 
 
-def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     A null or empty html, or one without article text, has an empty text.  A null URL counts as a host of its
     own.  Repeated rows and null ids are kept.  Rows of a host with the same main text count as one page.
     """
     found = materialise(subtree_hashes(pages), "subtrees")
-    hosts = pages.groupBy(url_host(F.coalesce("url", F.lit(""))).alias("host")).agg(F.count("*").alias("pages"))
     once = found.groupBy("host", "hash", "main").agg(F.max("live").alias("live"))
     counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("live").alias("live"))
-    recurring = counts.filter((F.col("n") >= many_pages) & F.col("live")).join(hosts, "host")
-    recurring = materialise(recurring.filter(F.col("n") >= many_share * F.col("pages")).select("host", "hash"), "template")
+    recurring = materialise(counts.filter((F.col("n") >= many_pages) & F.col("live")).select("host", "hash"), "template")
     marked = found.filter("live").join(recurring, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))
     marked = materialise(marked.select(F.col("page_id").alias("t_page"), F.col("host").alias("t_host"), "template"), "marked")
 

@@ -72,6 +72,18 @@ def test_copies_of_an_article_in_parts_are_not_template(spark):
     assert {r.text for r in html_main.extract(frame(spark, rows)).collect()} == {"T\n\nOne and the same story.\n\nIt goes on and on.\n\na list"}
 
 
+def test_templates_of_large_hosts_and_short_articles(spark):
+    """A menu on 6 of 100 pages, and one that is longer than the articles around it."""
+    menu = "<div><p>A section's own menu, and rather a long one at that</p></div>"
+    rows = [(i, "http://a.org/x", f"<article><p>Story {i}, told at some length on this page.</p>{menu if i < 6 else ''}<p>The end.</p></article>") for i in range(100)]
+    rows += [(200 + i, "http://b.org/x", f"<article><p>Short {i}.</p>{menu}</article>") for i in range(10)]
+    rows += [(300 + i, "http://c.org/x", f"<article><nav>{i}</nav>{menu}</article>") for i in range(10)]
+    text = {r.page_id: r.text for r in html_main.extract(frame(spark, rows)).collect()}
+    assert text[3] == "Story 3, told at some length on this page.\n\nThe end." and text[204] == "Short 4."
+    assert text[305] == "A section's own menu, and rather a long one at that"
+    assert main_text(f"<article>{menu}<section>x</section></article>", frozenset(v for v, _, _ in html_main.candidates(f"<article>{menu}<section>x</section></article>")[1].values())) == "A section's own menu, and rather a long one at that"
+
+
 def test_empty_table(spark):
     assert html_main.extract(frame(spark, [])).collect() == []
 
