@@ -37,6 +37,9 @@ NO_WORD = frozenset(
     "newsletter subscribe subscription signup login popup modal share sharing social related comment comments disqus "
     "replies masthead toolbar widget pagination pager".split()
 )
+#: Elements and roles that the rules drop whatever they hold.
+NEVER_TEXT = NO_TEXT - frozenset("form header dialog".split())
+NEVER_ROLE = frozenset("navigation contentinfo complementary menu menubar toolbar".split())
 COMMENT_WORD = frozenset("comment comments disqus reply replies".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form "
@@ -80,6 +83,10 @@ class Node:
             return bool(self.words & COMMENT_WORD)
         return self.tag in NO_TEXT or self.role in NO_ROLE or bool(self.words & NO_WORD)
 
+    def never(self) -> bool:
+        """Whether it is dropped whatever it holds."""
+        return self.tag in NEVER_TEXT or self.tag == "article" or self.role in NEVER_ROLE or bool(self.words & COMMENT_WORD)
+
 
 def parse(page: str) -> Node:
     """A forgiving parse: end tags may be missing, stray ones are ignored."""
@@ -119,9 +126,35 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             stack.append(node)
     stack[-1].children.append(page[at:])
+    _spare_wrappers(root)
     return root
 
 
+def _spare_wrappers(root: Node) -> None:
+    """Forms, headers and elements marked by class, id or role are not dropped if they hold the page's main part.
+
+    That is a main or h1 element, or an article where none stands elsewhere on the page; comments are no part of it.
+    """
+    order = list(_walk(root))
+    if not any(n.dropped and not n.never() for n in order):
+        return
+    state = {id(root): 0}  # 0: live, 1: below a wrapper that the rules drop, 2: below what they always drop
+    for node in order:
+        here = state[id(node)]
+        for child in node.children:
+            if isinstance(child, Node):
+                state[id(child)] = max(here, child.dropped and (2 if child.never() else 1))
+    elsewhere = any(n.tag == "article" and state[id(n)] == 0 for n in order)
+    holds: set[int] = set()
+    for node in reversed(order):
+        if state[id(node)] == 2:
+            continue
+        main = node.tag == "main" or node.role == "main" or node.tag == "h1" and not node.dropped or node.tag == "article" and not elsewhere
+        if main or any(id(c) in holds for c in node.children if isinstance(c, Node)):
+            holds.add(id(node))
+            node.dropped = False
+
+
 def _close(stack: list[Node], tags: tuple[str, ...], edge) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in edge:

@@ -31,6 +31,23 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnetForm"><input><nav>menu</nav><article><p>x</p><form>y</form></article></form>', "x"),
+        ('<div class="content has-sidebar"><article>x</article><div class="sidebar">y</div></div>', "x"),
+        ('<div class="page no-banner"><form><main><p>x</p></main></form></div>', "x"),
+        ('<div class="page no-banner"><h1>T</h1><p>x</p><div class="banner">y</div></div>', "T\n\nx"),
+        ("<article><header><h1>T</h1><nav>menu</nav></header><p>x</p></article>", "T\n\nx"),
+        ('<article><h1>T</h1>x</article><div class="sidebar"><article>teaser</article></div>', "T\n\nx"),
+        ('<nav><h1>menu</h1></nav><div id="comments"><h1>C</h1><article>hi</article></div><p>x</p>', "x"),
+        ('<form><nav><article>menu</article></nav><p>y</p></form><p>x</p>', "x"),
+    ],
+)
+def test_wrappers_of_the_main_part_stay(page, text):
+    assert main_text(page) == text
+
+
 def test_deep_and_long_pages():
     deep = "top" + "<div>" * 20_000 + "x" + "<b>" * 20_000
     assert main_text(deep) == "top\n\nx"
