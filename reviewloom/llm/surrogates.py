@@ -2,7 +2,7 @@
 
 Entities are found by patterns, row by row.  An entity's surrogate follows from a keyed hash of its type and
 normalised value alone, so mentions of one entity agree wherever they stand, without a join: digits become
-digits, letters letters of the same script and case, separators stay, names keep their title's gender, and
+digits, letters letters of the same script and case, separators stay, names are replaced word by word with their title's gender in given names, and
 checksums that held still hold.  All distinct entities are then checked against one another: where two of
 a type share a surrogate, or a surrogate is itself an entity of the corpus, all but one take their next
 surrogate, in rounds, until none is left.  Names, addresses and secrets grow longer with the rounds, so
@@ -66,13 +66,16 @@ PATTERNS = {
 FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 #: What a text without any entity lacks: a digit, an at sign, an equals sign or colon, and a title.
 MAYBE = re.compile(rf"[0-9@]|(?i:password|passwd|secret|token|key)\b|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b")
+_WORD = re.compile(rf"(?<![\w'’-]){_NAME}")
+_TAIL = re.compile(r"['’]s$|['’-]+$", re.IGNORECASE)
 GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normalised value) of every entity of a text, in order; names have their gender in the type.
 
-    Values are compared without case (e-mail addresses, names) or separators (numbers).
+    Values are compared without case (e-mail addresses, names) or separators (numbers).  Capitalised words of two
+    letters and more that stand in a name of the text are mentions of it also where they have no title.
     """
     out = []
     if not text or not MAYBE.search(text):
@@ -102,9 +105,48 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind == "secret" and not any(map(str.isalnum, value)):
             continue  # a masked value: nothing to replace
         out.append((a, b, kind, value))
+    names: dict[str, str] = {}
+    for a, b, kind, _ in out:
+        if kind.startswith("name"):
+            for word in text[a:b].split(" "):
+                names.setdefault(_core(word).lower(), kind)
+    if names:
+        ends = iter([*out, (len(text), len(text) + 1, "", "")])
+        a, b, *_ = next(ends)
+        more = []
+        for m in _WORD.finditer(text):
+            while b <= m.start():
+                a, b, *_ = next(ends)
+            core = _core(m[0])
+            if m.end() <= a and len(core) > 1 and core.lower() in names:
+                more.append((m.start(), m.start() + len(core), names[core.lower()], core.lower()))
+        out = sorted([*out, *more])
     return out
 
 
+def _core(word: str) -> str:
+    """A word of a name without a possessive ending or trailing signs."""
+    return _TAIL.sub("", word) or word
+
+
+def _roles(found: list[tuple[int, int, str, str]]) -> dict[str, str]:
+    """Gender of each given name (all words of a mention but its last) among the mentions of a text; f and m beat n."""
+    out: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith("name"):
+            for word in map(_core, value.split(" ")[:-1]):
+                if out.get(word, "n") == "n":
+                    out[word] = kind[-1]
+    return out
+
+
+def entity_of(kind: str, value: str) -> list[tuple[str, str]]:
+    """(type, value) of what a mention's surrogate follows from: each word of a name, else the mention."""
+    if kind.startswith("name"):
+        return [("name", _core(word)) for word in value.split(" ")]
+    return [(kind, value)]
+
+
 def _ascii(value: str) -> str:
     return "".join(str(int(c)) if c.isdecimal() else c for c in value)
 
@@ -161,7 +203,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         return permuted(kind, value, key)
     stream = _Stream(key, kind, value, attempt)
     if kind.startswith("name"):
-        return " ".join(_name(word, kind[-1], stream, attempt) for word in value.split(" "))
+        gender = kind[-1] if "_" in kind else "n"
+        return " ".join(_name(word, gender, _Stream(key, "name", word, attempt), attempt) for word in value.split(" "))
     if kind == "email":
         local, _, host = value.rpartition("@")
         *labels, last = host.split(".")
@@ -284,6 +327,16 @@ def _name(word: str, gender: str, stream: _Stream, attempt: int) -> str:
     return "".join(parts[stream.below(len(parts))] for _ in range(n)) + ends[stream.below(len(ends))]
 
 
+def _mark(kind: str, value: str) -> str:
+    """What must differ between entities: of a name its stem, which is the same in all genders, else the value.
+
+    A name equals a surrogate only if their stems are equal: endings are a consonant run, or two signs with a vowel last.
+    """
+    if not kind.startswith("name") or " " in value:
+        return value
+    return value[:-2] if value.endswith(tuple("aeioаеияо")) else re.sub("[^aeioаеияо]+$", "", value)
+
+
 def dressed(new: str, mention: str, kind: str) -> str:
     """A normalised surrogate in the format of the mention it replaces."""
     if kind.startswith("name"):
@@ -300,14 +353,14 @@ def dressed(new: str, mention: str, kind: str) -> str:
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, type, value): the distinct entities of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, type, value): the distinct entities of each row of ``docs`` (doc_id, text); names by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (doc, kind, value)
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                for kind, value in sorted({m[2:] for m in mentions(text)})
+                for kind, value in sorted({e for m in mentions(text) for e in entity_of(*m[2:])})
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 3
             types = (pa.int64(), pa.string(), pa.string())
@@ -321,7 +374,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(type, value, attempt, surrogate): a distinct surrogate for each distinct entity, none of them an entity.
 
     Of entities with the same surrogate the first by value keeps it, unless it is an entity's value.  Each
-    round is written to the shared folder.  Genders share a name space, so that names stay distinct too.
+    round is written to the shared folder.  The stems of names are distinct, and thus names of all genders.
     Where over half of a format's values are entities, or ``MOST_ROUNDS`` leave clashes in it, the format is
     permuted: its surrogates are distinct and never an entity's own value, but may be other entities' values,
     which no choice could avoid.  Only a number without any free digit, which no pattern finds, is an error.
@@ -332,15 +385,18 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             columns = [batch.column(c) for c in ("type", "value")]
             found = [format_of(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
             names, sizes = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(sizes, pa.float64())], ["type", "value", "format", "size"])
+            marks = [_mark(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+            arrays = [*columns, pa.array(names, pa.string()), pa.array(sizes, pa.float64()), pa.array(marks, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["type", "value", "format", "size", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in ("type", "value", "format", "attempt")]
             new = [surrogate(kind, value, attempt, key) for kind, value, _, attempt in zip(*(c.to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(new, pa.string())], ["type", "value", "format", "attempt", "surrogate"])
+            marks = [_mark(kind, value) for kind, value in zip(batch.column("type").to_pylist(), new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(new, pa.string()), pa.array(marks, pa.string())], ["type", "value", "format", "attempt", "surrogate", "mark"])
 
-    schema = "type string, value string, format string, attempt int, surrogate string"
+    schema = "type string, value string, format string, attempt int, surrogate string, mark string"
     space = F.regexp_replace("type", "_.*", "")
 
     def permute(rows: DataFrame, full: DataFrame) -> DataFrame:
@@ -349,25 +405,25 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         attempt = F.when(F.col("full"), F.lit(PERMUTED)).otherwise(F.col("attempt")).cast("int")
         return rows.join(full, "format", "left").select("type", "value", "format", attempt.alias("attempt"))
 
-    rows = entities.select("type", "value").distinct().mapInArrow(formats, "type string, value string, format string, size double")
+    rows = entities.select("type", "value").distinct().mapInArrow(formats, "type string, value string, format string, size double, mark string")
     rows = materialise(rows, "entities")
     full = rows.filter("format is not null").groupBy("format").agg(F.count("*").alias("n"), F.min("size").alias("size"))
     full = materialise(full.filter(2 * F.col("n") > F.col("size")), "full_formats")
     if not full.filter("size < 2").isEmpty():  # no pattern finds such numbers
         raise RuntimeError("a number without free digits has no surrogates")
     state = materialise(permute(rows.withColumn("attempt", F.lit(0)), full).mapInArrow(run, schema), "surrogates")
-    real = materialise(state.select(space.alias("space"), F.col("value").alias("surrogate")).distinct(), "entities")
+    real = materialise(rows.select(space.alias("space"), "mark").distinct(), "marks")
     taken = real.withColumn("taken", F.lit(True))
     done = ("type", "value", "attempt", "surrogate")
     for last in range(MOST_ROUNDS, -1, -1):
         rows = state.filter(F.col("attempt") != PERMUTED).withColumn("space", space)
-        shared = rows.groupBy("space", "surrogate").agg(F.min(F.struct("value", "type")).alias("first"), F.count("*").alias("n"))
-        shared = shared.join(taken, ["space", "surrogate"], "left").filter("n > 1 or taken")
-        clash = materialise(shared.select("space", "surrogate", "first", F.coalesce("taken", F.lit(False)).alias("taken")), "clashes")
+        shared = rows.groupBy("space", "mark").agg(F.min(F.struct("value", "type")).alias("first"), F.count("*").alias("n"))
+        shared = shared.join(taken, ["space", "mark"], "left").filter("n > 1 or taken")
+        clash = materialise(shared.select("space", "mark", "first", F.coalesce("taken", F.lit(False)).alias("taken")), "clashes")
         if clash.isEmpty():
             break
         moves = F.coalesce(F.col("taken") | (F.col("first") != F.struct("value", "type")), F.lit(False))
-        met = state.withColumn("space", space).join(clash, ["space", "surrogate"], "left")
+        met = state.withColumn("space", space).join(clash, ["space", "mark"], "left")
         moves &= F.col("attempt") != PERMUTED
         if last:
             next_ = met.select("type", "value", "format", F.when(moves, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
@@ -389,14 +445,25 @@ def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
     marked = found.join(later, ["type", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "attempt")).alias("later"))
     marked = materialise(marked.select(F.col("doc_id").alias("marked_id"), "later"), "marked")
 
+    def named(word: str, roles: dict[str, str], attempts: dict[tuple[str, str], int]) -> str:
+        core = _core(word)
+        value = core.lower()
+        kind = f"name_{roles[value]}" if value in roles else "name"
+        return dressed(surrogate(kind, value, attempts.get(("name", value), 0), key), core, kind) + word[len(core) :]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = [], []
             for text, later in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
                 attempts = {(e["type"], e["value"]): e["attempt"] for e in later or ()}
                 parts, places, at, size = [], [], 0, 0
-                for a, b, kind, value in mentions(text):
-                    new = dressed(surrogate(kind, value, attempts.get((kind, value), 0), key), text[a:b], kind)
+                found = mentions(text)
+                roles = _roles(found)
+                for a, b, kind, value in found:
+                    if kind.startswith("name"):
+                        new = " ".join(named(word, roles, attempts) for word in text[a:b].split(" "))
+                    else:
+                        new = dressed(surrogate(kind, value, attempts.get((kind, value), 0), key), text[a:b], kind)
                     parts += [text[at:a], new]
                     size += a - at
                     places.append({"start": size, "end": size + len(new), "type": kind})
