@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import pathlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +85,24 @@ def shared_rows(uri: str, **scan) -> Iterator[dict]:
     for fragment in ds.dataset(path, filesystem=fs, format="parquet").get_fragments():
         for batch in fragment.to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1, **scan):
             yield from batch.to_pylist()
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *clear: Callable[[], None]) -> Callable:
+    """``run`` for ``mapInArrow``, calling ``clear`` and handing freed memory back to the system when a task ends.
+
+    Spark keeps Python workers for later tasks and stages; what the allocators of an idle worker hold is lost to
+    the executor.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in clear:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
