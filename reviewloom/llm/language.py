@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewloom.session import giving_back
+
 DIMS = 1 << 15
 ORDERS = (2, 3)
 #: Characters handled at once; a longer text is cut into framed pieces of this length, whose n-grams add up.
@@ -177,7 +179,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], ["feature", "n"])
 
     out = np.zeros(DIMS + 1, np.int64)
-    for feature, n in docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
+    for feature, n in docs.select("text").mapInArrow(giving_back(run), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
         out[feature] = n  # at most DIMS + 1 rows
     return out
 
@@ -296,4 +298,4 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys((*keep, "text")))
     schema = T.StructType([rows.schema[c] for c in ("doc_id", *keep)]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)

@@ -13,6 +13,8 @@ pieces, and the counts of (task, length) are summed up to running totals.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,12 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.session import materialise
+from reviewloom.session import giving_back, materialise
 
-#: Distinct pre-tokens whose ids a worker keeps.
-KEPT_WORDS = 500_000
+#: Bytes that the pre-tokens kept by a worker and their ids may take.
+KEPT_BYTES = 16 << 20
+#: Bytes that an entry of the kept pre-tokens takes besides its contents.
+ENTRY_BYTES = 160
 #: Text encoded at once, in bytes; bounds a task's memory.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
+#: (share of the fitted counts, whether to top up) of the roundings tried, and the least count that is topped up.
+ROUNDINGS = ((1.0, True), (1.0, False), (0.5, False), (0.25, False))
+LEAST_FITTED = 0.05
 #: The pre-tokeniser of the public byte-level BPE (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,8 +62,6 @@ def byte_alphabet() -> dict[str, int]:
 
 def load_encoding(path: str):
     """The byte-level BPE of a tokenizer file.  Its ids rank the merges, which is checked."""
-    import json
-
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
@@ -69,6 +74,15 @@ def load_encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The added tokens of a tokenizer file by their strings, longest first.  They must be plain strings."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    if any(t[how] for t in added for how in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens of this tokenizer take more than their strings")
+    return {t["content"].encode(): t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+
+
 def pre_token_edges(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where pre-tokens start in UTF-8 bytes of ASCII and Latin-1 letters, with the length as last entry.
 
@@ -101,20 +115,30 @@ class WordEncoder:
     """Token ids of whole texts, by way of the distinct pre-tokens of a group of texts.
 
     Byte-level BPE never merges over the edge of a pre-token, so a distinct one is encoded once, and the ids
-    of the first ``KEPT_WORDS`` are kept.  Texts with other characters than ASCII and Latin-1 letters are
-    encoded whole, to the same ids.
+    of the first ones, up to ``KEPT_BYTES``, are kept.  Texts with other characters than ASCII and Latin-1 letters
+    are encoded whole, to the same ids.  Strings of the file's added tokens become those tokens, as in the library,
+    unless ``added`` is False.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
         self.model = load_encoding(path)
-        self.kept: dict[bytes, list[int]] = {}
-
-    def word(self, word: bytes) -> list[int]:
-        ids = self.model.encode_ordinary(word.decode())
-        if len(self.kept) < KEPT_WORDS:
+        self.added = added_tokens(path) if added else {}
+        self.any_added = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")") if self.added else None
+        self.kept: dict[bytes, bytes] = {}
+        self.kept_bytes = 0
+
+    def word(self, word: bytes) -> bytes:
+        ids = np.array(self.model.encode_ordinary(word.decode()), np.uint32).tobytes()
+        if self.kept_bytes < KEPT_BYTES:
             self.kept[word] = ids
+            self.kept_bytes += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
+    def whole(self, text: bytes) -> np.ndarray:
+        parts = self.any_added.split(text) if self.any_added else [text]
+        ids = [[self.added[p]] if p in self.added else self.model.encode_ordinary(p.decode()) for p in parts]
+        return np.fromiter(chain.from_iterable(ids), np.uint32)
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -123,6 +147,8 @@ class WordEncoder:
         odd[:-1] |= (flat[:-1] == 0xC3) & ((flat[1:] == 0x97) | (flat[1:] == 0xB7))  # the signs among the letters
         strange = np.zeros(len(texts), bool)
         strange[np.searchsorted(ends, np.flatnonzero(odd), "right")] = True
+        if self.any_added:
+            strange |= np.fromiter((self.any_added.search(t) is not None for t in texts), bool, len(texts))
         edges = pre_token_edges(flat, ends) if len(flat) else np.zeros(1, np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(flat)])
         if strange.any():
@@ -130,8 +156,8 @@ class WordEncoder:
             words = pc.if_else(pa.array(strange[text_of]), pa.scalar(b"", pa.large_binary()), words)
         coded = words.dictionary_encode()
         ids = [self.kept.get(w) or self.word(w) for w in coded.dictionary.to_pylist()]
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.uint32, n_ids.sum())
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(n_ids) - n_ids
         codes = coded.indices.to_numpy()
         n = n_ids[codes]
@@ -140,7 +166,7 @@ class WordEncoder:
         upto = np.append(0, upto)[np.searchsorted(edges, np.append(0, ends))]
         found = [out[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
         for i in np.flatnonzero(strange):
-            found[i] = np.array(self.model.encode_ordinary(texts[i].decode()), np.uint32)
+            found[i] = self.whole(texts[i])
         return found
 
 
@@ -172,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return rows.mapInArrow(giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def patterns(histogram: np.ndarray, capacity: int, popular: int = 48) -> np.ndarray:
@@ -231,13 +257,14 @@ def plan(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Slots (length, lo, hi, first sequence, offset), sorted, and the number of sequences.
 
     ``histogram[l]`` counts pieces of l tokens.  Pieces with rank lo <= r < hi among those of their length go
-    to sequence first + r - lo, at ``offset``.  Every piece has exactly one slot.  Three roundings of the
-    fitted counts are tried, and the one with the fewest sequences is kept: down, then topped up with
-    patterns that the histogram still holds; down only; and to nothing, which leaves all to the best fit.
+    to sequence first + r - lo, at ``offset``.  Every piece has exactly one slot.  Roundings of the fitted
+    counts are tried, and the one with the fewest sequences is kept: down, then topped up with patterns that the
+    histogram still holds; and down from the whole, half and a quarter of them, which leaves more short pieces
+    to fill the sequences of the best fit.
     """
     table = patterns(histogram, capacity) if histogram.any() else np.zeros((0, 4), np.int64)
     fitted = fit_counts(table, histogram.astype(float)) if len(table) else np.zeros(0)
-    tried = [_rounded(table, fitted, histogram, capacity, n) for n in ((2, 1, 0) if len(table) else (0,))]
+    tried = [_rounded(table, fitted * share, histogram, capacity, top_up) for share, top_up in ROUNDINGS]
     bundles = min(tried, key=lambda bundles: sum(n for _, n in bundles))
     slots, used, first = [], np.zeros(capacity + 1, np.int64), 0
     for pattern, times in bundles:
@@ -250,15 +277,16 @@ def plan(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(slots), np.int64).reshape(-1, 5), first
 
 
-def _rounded(table: np.ndarray, fitted: np.ndarray, histogram: np.ndarray, capacity: int, passes: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences): ``passes`` roundings of the fitted counts, then the residual by best fit."""
+def _rounded(table: np.ndarray, fitted: np.ndarray, histogram: np.ndarray, capacity: int, top_up: bool) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences): the fitted counts rounded down, topped up if asked for, then the residual by best fit."""
     left = histogram.astype(np.int64).copy()
     bundles = []
-    for up in range(passes):
-        for i in np.argsort(-fitted, kind="stable"):
+    used = np.argsort(-fitted, kind="stable")[: np.count_nonzero(fitted > LEAST_FITTED)]
+    for up in range(1 + top_up):
+        for i in used:
             pattern = tuple(int(x) for x in table[i] if x)
             most = min(left[length] // pattern.count(length) for length in pattern)
-            times = int(min(most, np.floor(fitted[i]))) if not up else int(most) if fitted[i] > 0.05 else 0
+            times = int(min(most, np.floor(fitted[i]))) if not up else int(most)
             if times > 0:
                 bundles.append((pattern, times))
                 for length in pattern:

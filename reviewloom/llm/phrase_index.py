@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.shared import word_codes
-from reviewloom.session import materialise, scratch_path, shared_rows
+from reviewloom.session import giving_back, materialise, scratch_path, shared_rows
 
 #: A segment is closed at this many words; a longer document is a segment of its own.
 SEGMENT_WORDS = 1 << 18
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             yield _segment(ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return materialise(rows.mapInArrow(run, _SEGMENT), "positional_index")
+    return materialise(rows.mapInArrow(giving_back(run), _SEGMENT), "positional_index")
 
 
 def write_phrases(items: DataFrame, window: int | None = 10, block_phrases: int = BLOCK_PHRASES) -> str:
@@ -215,14 +215,18 @@ def _over_segments(index: DataFrame, schema: str, make: Callable[[_Postings], pa
                 seg = _Postings(batch.slice(row, 1).to_pylist()[0])
                 yield make(seg)
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(giving_back(run, _BlockCache.clear), schema)
 
 
 class _BlockCache:
-    """The blocks of a phrase table, decoded once in a worker if there is one, else read anew for each segment."""
+    """The blocks of a phrase table, decoded once in a task if there is one, else read anew for each segment."""
 
     kept: dict[str, list[_Phrases]] = {}
 
+    @classmethod
+    def clear(cls) -> None:
+        cls.kept.clear()
+
     @classmethod
     def blocks(cls, path: str) -> Iterator[_Phrases]:
         if path in cls.kept:
@@ -236,7 +240,8 @@ class _BlockCache:
             first = block if n == 1 else None
             yield block
         if n <= 1:
-            cls.kept = {path: [first] if first else []}
+            cls.kept.clear()
+            cls.kept[path] = [first] if first else []
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import components, spanning_forest
-from reviewloom.session import materialise
+from reviewloom.session import giving_back, materialise
 
 #: Homes and visitors of one anchor beyond this many rows are dealt out as tiles of about this size.
 TILE_ROWS = 20_000
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 class Anchors:
@@ -193,7 +193,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 3, tile_rows: int = T
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(F.when(F.col("tiles") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", pair)).alias("key"), "fp", "home")
     )
-    return tiled.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return tiled.repartition("key").sortWithinPartitions("key").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

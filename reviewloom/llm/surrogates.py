@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewloom.session import materialise
+from reviewloom.session import giving_back, materialise
 
 #: Rounds after which a format of numbers counts as exhausted.
 MOST_ROUNDS = 64
@@ -367,7 +367,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "type", "value"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, type string, value string")
+    return rows.mapInArrow(giving_back(run), "doc_id long, type string, value string")
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -480,4 +480,4 @@ def replace_entities(docs: DataFrame, key: bytes, *keep: str) -> DataFrame:
     schema = T.StructType([rows.schema[c] for c in ("doc_id", *keep)]).add("text", T.StringType())
     schema = schema.add("n_replaced", T.IntegerType()).add("spans", T.ArrayType(place))
     joined = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("marked_id")), "left").select(*rows.columns, "later")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(giving_back(run), schema)

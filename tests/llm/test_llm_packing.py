@@ -13,9 +13,7 @@ DATA = "/root/testdata/sf0.01/documents.parquet"
 
 @pytest.fixture(scope="module")
 def model():
-    made = Tokenizer.from_file(tokenizer_file())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def test_ids_are_those_of_the_library(model):
@@ -27,6 +25,20 @@ def test_ids_are_those_of_the_library(model):
     got = packing.WordEncoder(tokenizer_file())([t.encode() for t in texts])
     want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
     assert [g.tolist() for g in got] == want
+    plain = Tokenizer.from_file(tokenizer_file())
+    plain.encode_special_tokens = True  # strings of special tokens as ordinary text
+    got = packing.WordEncoder(tokenizer_file(), added=False)([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens_and_a_full_cache(model, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 400)
+    encode = packing.WordEncoder(tokenizer_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 50 + "<|endoftext|>é漢", *map(str, range(300))]
+    assert encode([t.encode() for t in texts])[0].tolist() == [64, 220, 50256, 275]
+    for _ in range(2):
+        assert [g.tolist() for g in encode([t.encode() for t in texts])] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert encode.kept_bytes < 400 + packing.ENTRY_BYTES + 100
 
 
 def check_packing(rows, texts, model, capacity):
@@ -61,7 +73,7 @@ def test_whole_table_round_trip(spark, model):
 
 
 def test_odd_rows(spark, model):
-    texts = [(1, None), (2, ""), (3, "a"), (4, "word " * 500), (5, "x y " * 4000), (6, "日本 " * 300)]
+    texts = [(1, None), (2, ""), (3, "a"), (4, "word " * 500), (5, "x y " * 4000), (6, "日本 " * 300), (7, "a <|endoftext|> b")]
     docs = spark.createDataFrame([(*t, 7, 8) for t in texts], "doc_id long, text string, length int, task string")
     check_packing(packing.pack(docs, tokenizer_file(), 64).collect(), texts, model, 64)
     twice = packing.pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string"), tokenizer_file()).collect()
