@@ -9,8 +9,8 @@ number of documents of a chunk that hold them: a chunk is some thousand document
 chunk and no hot key.  The counts come back to the chunks, whose documents are held as arrays, and are summed
 there by document.
 
-Neither tokenizer merges over a place where a space follows another sign, so texts are cut there and each
-distinct cut is encoded and aligned once.
+Neither tokenizer merges over a place where a space follows another sign, so texts are cut there, and each
+distinct cut of about a megabyte of texts is encoded and aligned once.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,8 +33,6 @@ from reviewloom.session import giving_back, materialise
 
 #: Text encoded at once, in bytes, and text of a chunk; a longer text is one by itself.
 BYTES_AT_ONCE, CHUNK_BYTES = 1 << 20, 1 << 23
-#: Bytes that the aligned cuts kept by a task may take, and what an entry takes besides its contents.
-KEPT_BYTES, ENTRY_BYTES = 16 << 20, 400
 #: Ids of B are below this.
 B_IDS = 1 << 20
 
@@ -83,64 +81,51 @@ class Aligner:
         by_bytes |= {x: i for i, x in enumerate(self.b_bytes) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
         #: For each id of A the id of B with the same bytes, -1 without one.
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
-        self.kept: dict[bytes, tuple] = {}
-        self.kept_bytes = 0
-
-    def aligned(self, cut: bytes) -> tuple[int, int, int, int, bytes, bytes]:
-        """(n_a, n_b, n_groups, n_links, groups as text, links as A id * B_IDS + B id) of a cut, which starts with a
-        space; n_groups is -1 if the tokens' bytes are not those of the cut."""
-        found = self.kept.get(cut)
-        if found is None:
-            found = self._align(cut)
-            if self.kept_bytes < KEPT_BYTES:
-                self.kept[cut] = found
-                self.kept_bytes += len(cut) + len(found[4]) + len(found[5]) + ENTRY_BYTES
-        return found
-
-    def _align(self, cut: bytes) -> tuple[int, int, int, int, bytes, bytes]:
-        text = cut.decode("utf-8", "replace")
-        a = self.a.encode_ordinary(text)
-        b = self.b.encode(text[1:]) if len(cut) > 1 else [self.space]
-        if b"".join(self.a_bytes[i] for i in a) != cut or b"".join(self.b_bytes[i] for i in b) != cut:
-            return 0, 0, -1, 0, b"", b""
-        links, parts = [], []
-        i = j = from_a = from_b = 0
-        a_end, b_end = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] * B_IDS + b[j])
-            if a_end == b_end:
-                parts.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                if a_end == len(cut):
-                    break
-                from_a, from_b = i + 1, j + 1
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a:
-                i += 1
-                a_end += len(self.a_bytes[a[i]])
-            if step_b:
-                j += 1
-                b_end += len(self.b_bytes[b[j]])
-        return len(a), len(b), len(parts), len(links), ";".join(parts).encode(), np.array(links, np.int64).tobytes()
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # "id," and "id|" for ids of A, "id," and "id;" for ids of B
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.signed = pa.array([f"{i}{sign}".encode() for i in range(most) for sign in ",|;"], pa.binary())
+
+    def encoded(self, cuts: list[bytes]) -> tuple[list, list]:
+        """Ids of A and of B for cuts, which start with a space; both empty where the tokens' bytes are not the cut's."""
+        texts = [cut.decode("utf-8", "replace") for cut in cuts]
+        a = [self.a.encode_ordinary(text) for text in texts]
+        b = self.b.encode([text[1:] for text in texts], num_threads=1) if texts else []
+        for i, (cut, text) in enumerate(zip(cuts, texts, strict=True)):
+            if len(cut) == 1:
+                b[i] = [self.space]
+            if b"".join([self.b_bytes[x] for x in b[i]]) != cut or "\ufffd" in text and text.encode() != cut:
+                a[i], b[i] = [], []
+        return a, b
 
     def texts(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """([n_a, n_b, n_groups, n_links], digests, (text, link, occurrences)) of non-empty texts."""
+        """([n_a, n_b, n_groups, n_links], digests, (text, link, occurrences)) of non-empty texts; a link is
+        A's id * B_IDS + B's id."""
         flat = np.frombuffer(b"".join(b" " + t for t in texts), np.uint8)
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        edges = cut_places(flat, ends)
+        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        edges = cut_places(flat, text_ends)
         cuts = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(flat)])
         coded = cuts.dictionary_encode()
-        found = [self.aligned(cut) for cut in coded.dictionary.to_pylist()]
-        codes = coded.indices.to_numpy()
-        bounds = np.searchsorted(edges, np.append(0, ends))
-        bad = np.maximum.reduceat(np.array([f[2] < 0 for f in found])[codes], bounds[:-1])
-        counts = [np.where(bad, 0, np.add.reduceat(np.array([f[k] for f in found])[codes], bounds[:-1])) for k in range(4)]
-        parts = [f[4] for f in found]
+        codes, cuts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        a_ids, b_ids = self.encoded(cuts)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+
+        # the tokens of both cover the same bytes, cut after cut: places are those in all of them
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends, shared = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+        links = a[np.searchsorted(a_ends, ends)] * B_IDS + b[np.searchsorted(b_ends, ends)]
+        cut_ends = np.append(0, a_ends)[np.cumsum(n_a)]
+        n_groups, n_links = (np.diff(np.searchsorted(x, cut_ends, "right"), prepend=0) for x in (shared, ends))
+        parts = self._groups(a, b, a_ends, b_ends, shared, np.cumsum(n_a + n_b))
+
+        bounds = np.searchsorted(edges, np.append(0, text_ends))
+        bad = np.maximum.reduceat((n_a == 0)[codes], bounds[:-1])
+        counts = [np.where(bad, 0, np.add.reduceat(x[codes], bounds[:-1])) for x in (n_a, n_b, n_groups, n_links)]
         digests = []
-        for a, b, wrong in zip(bounds[:-1].tolist(), bounds[1:].tolist(), bad.tolist(), strict=True):
-            digests.append("" if wrong else hashlib.sha256(b";".join([parts[c] for c in codes[a:b].tolist()])).hexdigest())
-        n_links = np.array([f[3] for f in found])
-        pool = np.frombuffer(b"".join(f[5] for f in found), np.int64)
-        known, local = np.unique(pool, return_inverse=True)
+        for x, y, wrong in zip(bounds[:-1].tolist(), bounds[1:].tolist(), bad.tolist(), strict=True):
+            digests.append("" if wrong else hashlib.sha256(b"".join([parts[c] for c in codes[x:y].tolist()])[:-1]).hexdigest())
+        known, local = np.unique(links, return_inverse=True)
         text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         mine = ~bad[text]
         codes, text = codes[mine], text[mine]
@@ -149,6 +134,19 @@ class Aligner:
         keys, times = np.unique(np.repeat(text, n) * max(1, len(known)) + local[at], return_counts=True)
         return counts, digests, (keys // max(1, len(known)), known[keys % max(1, len(known))], times)
 
+    def _groups(self, a, b, a_ends, b_ends, shared, upto) -> list[bytes]:
+        """The groups of each cut as text, each group with its closing sign; ``upto`` counts the tokens of both."""
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        signed = np.empty(len(a) + len(b), np.int64)
+        b_before = np.append(0, np.searchsorted(b_ends, shared, "right"))[a_group]
+        signed[np.arange(len(a)) + b_before] = a * 3 + (a_ends == shared[a_group])
+        signed[np.arange(len(b)) + np.searchsorted(a_ends, shared, "right")[b_group]] = b * 3 + 2 * (b_ends == shared[b_group])
+        joined = self.signed.take(pa.array(signed))
+        offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1]
+        data = joined.buffers()[2].to_pybytes() if len(joined) else b""
+        bounds = offsets[np.append(0, upto)].tolist()
+        return [data[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
 def _pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, np.int32).tobytes())
@@ -223,7 +221,8 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_B
                     number, chunk = number + 1, _Chunk()
         if chunk.ids:
             yield chunk.row(number, aligner.same, same_docs)
-        yield _chunk_row(-1, [], [[]] * 4, [], [], [], None, same_docs.tobytes())
+        if number & 0xFFFFFFFF or chunk.ids:
+            yield _chunk_row(-1, [], [[]] * 4, [], [], [], None, same_docs.tobytes())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(giving_back(run), _CHUNK)
