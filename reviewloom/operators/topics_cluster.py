@@ -10,13 +10,14 @@ from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import components, spanning_forest
 from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
-from reviewloom.session import materialise, scratch_path, shared_rows
+from reviewloom.operators.vector_blocks import Rows, build_index, over_reach
+from reviewloom.session import materialise
 
 BLOCK = 1024  # rows handled at a time inside a task
 
@@ -76,86 +77,15 @@ def embed_svd(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
 # --- clustering ------------------------------------------------------------------------
 
 
-def _distinct(vectors: DataFrame) -> DataFrame:
-    """``id, n, unit``: the distinct directions of ``row_ix, vec``, by their smallest row, with the number of
-    rows; zero vectors and vectors with a null or non-finite component are near nothing and left out."""
+def _directions(vectors: DataFrame) -> DataFrame:
+    """``row_ix, unit, h1, h2`` of ``row_ix, vec``: vectors scaled to length 1, and hashes that stand for them in narrow
+    joins.  All are null for zero vectors and vectors with a null or non-finite component, which are near nothing."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    usable = vectors.select("row_ix", "vec", length.alias("length")).filter((F.col("length") > 0) & (F.col("length") < float("inf")))
-    return usable.groupBy("vec", "length").agg(F.min("row_ix").alias("id"), F.count("*").alias("n")).select(
-        "id", "n", F.transform("vec", lambda x: x / F.col("length")).alias("unit")
-    )
-
-
-def _pivots(distinct: DataFrame, n: int = 256) -> np.ndarray:
-    """A few directions that rows are grouped by; they shape blocks, not results."""
-    some = distinct.select(F.xxhash64("unit").alias("h"), "unit").orderBy("h").limit(n).select("unit").collect()
-    return np.array([r.unit for r in some], dtype=np.float64)
-
-
-def _point_blocks(points: DataFrame, name: str) -> str:
-    """``points`` (id, n, unit, cell) as a table of blocks of up to BLOCK rows; returns its path.
-
-    Blocks are runs of the rows sorted by cell, so that rows of a block are close to one another.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("id", "n", "unit")), strict=True)
-            while len(held) >= BLOCK:
-                yield block(held[:BLOCK])
-                held = held[BLOCK:]
-        if held:
-            yield block(held)
-
-    def block(rows: list) -> pa.RecordBatch:
-        ids, n, unit = zip(*rows, strict=True)
-        unit = np.array(unit, dtype=np.float64)
-        centre = unit.mean(axis=0)
-        radius = float(np.sqrt(((unit - centre) ** 2).sum(axis=1).max()))
-        columns = [pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(n)], pa.list_(pa.int64()))]
-        columns += [pa.array([unit.tobytes()], pa.binary()), pa.array([centre.tolist()]), pa.array([radius])]
-        return pa.RecordBatch.from_arrays(columns, names=["ids", "n", "unit", "centre", "radius"])
-
-    spark = points.sparkSession
-    path = scratch_path(spark, name)
-    sorted_ = points.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
-    blocks = sorted_.select("id", "n", "unit").mapInArrow(run, "ids array<long>, n array<long>, unit binary, centre array<double>, radius double")
-    blocks.write.parquet(path)
-    return path
-
-
-class _Block:
-    def __init__(self, row: dict):
-        self.ids, self.n = np.array(row["ids"], np.int64), np.array(row["n"], np.int64)
-        self.unit = np.frombuffer(row["unit"], np.float64).reshape(len(self.ids), -1)
-        self.centre, self.radius = np.array(row["centre"]), row["radius"]
-
-    def reaches(self, other: _Block, eps: float) -> bool:
-        return float(np.linalg.norm(self.centre - other.centre)) <= self.radius + other.radius + eps + 1e-9
-
-
-def _over_blocks(spark: SparkSession, path: str, others: str, eps: float, schema: str, visit, finish) -> DataFrame:
-    """Every block of ``path`` against all blocks of ``others`` in reach of ``eps``, read one at a time.
-
-    ``visit(block, other, state)`` returns the block's next state (None at first); ``finish(block, state)`` its rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mine = [_Block(row) for row in batch.to_pylist()]
-            states: list = [None] * len(mine)
-            for row in shared_rows(others) if mine else ():
-                other = _Block(row)
-                for i, block in enumerate(mine):
-                    if block.reaches(other, eps):
-                        states[i] = visit(block, other, states[i])
-            for block, state in zip(mine, states, strict=True):
-                yield finish(block, state)
-
-    blocks = spark.read.parquet(path)
-    tasks = max(1, min(blocks.count(), 3 * spark.sparkContext.defaultParallelism))
-    return blocks.repartition(tasks).mapInArrow(run, schema)
+    rows = vectors.select("row_ix", "vec", length.alias("length"))
+    usable = (F.col("length") > 0) & (F.col("length") < float("inf"))
+    rows = rows.select("row_ix", F.when(usable, F.transform("vec", lambda x: x / F.col("length"))).alias("unit"))
+    hashes = [F.when(F.col("unit").isNotNull(), F.xxhash64(F.lit(i), "unit")).alias(f"h{i}") for i in (1, 2)]
+    return rows.select("row_ix", "unit", *hashes)
 
 
 def _table_of(**columns) -> pa.RecordBatch:
@@ -170,71 +100,73 @@ def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int
     cluster; every row joins the cluster of its nearest core within ``eps`` (the smallest row on a tie).
     Clusters under ``min_size`` become -1, the rest are numbered by size, then by smallest row.
 
-    Copies of a vector count once, with their number.  Distinct vectors are cut into blocks of near ones, and
-    each block is compared with the blocks in reach, as matrix products inside tasks: three passes count
-    neighbours, link cores and assign rows.  Only counts, spanning forests of links and assignments leave a
-    task.  Blocks out of reach are never compared; where all vectors are far apart, as noise of many
-    dimensions is, the work grows with the square of the distinct vectors.
+    Copies of a vector count once, with their number.  Distinct vectors are held in an index of balls
+    (``vector_blocks``), and two joins with the vectors in reach, as matrix products inside tasks, count neighbours,
+    then link cores and assign rows.  Only core marks, spanning forests of links and assignments leave a task.
+    Vectors out of reach are not shipped; where all vectors are far apart, as noise of many dimensions is, the
+    work grows with the square of the distinct vectors.
     """
-    spark = vectors.sparkSession
     min_cos = 1 - eps * eps / 2
-    distinct = materialise(_distinct(vectors), "directions")
-    pivots = spark.sparkContext.broadcast(_pivots(distinct))  # 256 rows
-
-    def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                unit = np.array(batch.column("unit").to_pylist(), dtype=np.float64)
-                cell = pa.array((unit @ pivots.value.T).argmax(axis=1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=["id", "n", "unit", "cell"])
-
-    placed = distinct.mapInArrow(nearest_pivot, "id long, n long, unit array<double>, cell long")
-    placed = materialise(placed, "placed")
-    blocks = _point_blocks(placed, "blocks")
-
-    def count(block: _Block, other: _Block, n):
-        found = (block.unit @ other.unit.T >= min_cos) @ other.n
-        return found if n is None else n + found
-
-    counted = _over_blocks(
-        spark, blocks, blocks, eps, "id long, neighbours long", count, lambda block, n: _table_of(id=block.ids, neighbours=n)
-    )
-    core = materialise(counted.filter(F.col("neighbours") >= min_pts).select("id"), "core")
-    cores = _point_blocks(placed.join(core, "id"), "core_blocks")
-
-    def link(block: _Block, other: _Block, forest):
-        a, b = np.nonzero(block.unit @ other.unit.T >= min_cos)
-        a, b = block.ids[a], other.ids[b]
-        if forest is not None:
-            a, b = np.append(a, forest[0]), np.append(b, forest[1])
-        return spanning_forest(a, b)
-
-    forests = _over_blocks(spark, cores, cores, eps, "a long, b long", link, lambda block, f: _table_of(a=f[0], b=f[1]))
-    roots = components(forests, "core_links")
-    roots = materialise(core.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("core"), F.coalesce("root", "id").alias("root")), "roots")
-
-    def nearest(block: _Block, other: _Block, best):
-        cosine = block.unit @ other.unit.T
+    keyed = _directions(vectors)
+    distinct = keyed.filter("unit is not null").groupBy("unit", "h1", "h2").agg(F.min("row_ix").alias("id"), F.count("*").alias("n"))
+    distinct = materialise(distinct, "directions")
+    found = vectors.select("row_ix", F.lit(-1).cast("long").alias("cluster_id"))
+    n_points = distinct.count()
+    if not n_points:
+        return found
+    index = build_index(distinct.select("id", "n", "unit"), n_points, BLOCK, eps)
+
+    def count(counts: np.ndarray, at: int, strip: Rows, others: Rows) -> None:
+        counts[at : at + len(strip.ids)] += (strip.unit @ others.unit.T >= min_cos) @ others.n
+
+    def marked(counts: np.ndarray, own: Rows) -> pa.RecordBatch:
+        core = counts >= min_pts
+        parts = [core[a:b] for a, b in zip(own.bounds[:-1], own.bounds[1:], strict=True)]
+        return _table_of(block=[b["block"] for b in own.blocks], core=[p.tobytes() for p in parts], cores=[int(p.sum()) for p in parts])
+
+    cores = over_reach(index, eps, "block long, core binary, cores long", lambda own: np.zeros(len(own.ids), np.int64), count, marked)
+    cores = materialise(cores, "core")
+
+    def start(own: Rows) -> dict:
+        core = own.per_row("core", "?")
+        return {"core": core, "cosine": np.full(len(core), -2.0), "nearest": np.full(len(core), -1), "links": (np.zeros(0, np.int64),) * 2}
+
+    def link(state: dict, at: int, strip: Rows, others: Rows) -> None:
+        here, there = slice(at, at + len(strip.ids)), others.per_row("core", "?")
+        if not there.any():
+            return
+        ids, cosine = others.ids[there], strip.unit @ others.unit[there].T
         top = cosine.max(axis=1)
-        first = np.where(cosine == top[:, None], other.ids, np.iinfo(np.int64).max).min(axis=1)
-        if best is None:
-            return top, first
-        better = (top > best[0]) | (top == best[0]) & (first < best[1])
-        return np.where(better, top, best[0]), np.where(better, first, best[1])
-
-    def reached(block: _Block, best) -> pa.RecordBatch:
-        near = best[0] >= min_cos if best else np.zeros(len(block.ids), dtype=bool)
-        return _table_of(id=block.ids[near], core=best[1][near] if best else np.zeros(0, np.int64))
-
-    joined = _over_blocks(spark, blocks, cores, eps, "id long, core long", nearest, reached).join(roots, "core")
-    joined = materialise(joined.select("id", "root"), "assigned")
-    sizes = joined.join(distinct.select("id", "n"), "id").groupBy("root").agg(F.sum("n").alias("size"), F.min("id").alias("first"))
+        first = np.where(cosine == top[:, None], ids, np.iinfo(np.int64).max).min(axis=1)
+        better = (top > state["cosine"][here]) | (top == state["cosine"][here]) & (first < state["nearest"][here])
+        state["cosine"][here] = np.where(better, top, state["cosine"][here])
+        state["nearest"][here] = np.where(better, first, state["nearest"][here])
+        # the group of smaller number takes the links between two groups
+        linked = (cosine >= min_cos) & state["core"][here, None] & (others.home[there] >= strip.home[0])
+        for part in range(0, len(ids), BLOCK):
+            a, b = np.nonzero(linked[:, part : part + BLOCK])
+            if len(a):
+                old = state["links"]
+                state["links"] = spanning_forest(np.append(strip.ids[a], old[0]), np.append(ids[part + b], old[1]))
+
+    def ended(state: dict, own: Rows) -> pa.RecordBatch:
+        near = state["cosine"] >= min_cos
+        a, b = state["links"]
+        pairs = np.append(own.ids[near], a), np.append(state["nearest"][near], b)
+        return _table_of(a=pairs[0], b=pairs[1], link=np.arange(len(pairs[0])) >= near.sum())
+
+    found = over_reach(index, eps, "a long, b long, link boolean", start, link, ended, cores, "cores > 0")
+    found = materialise(found, "links_and_nearest")
+    roots = components(found.filter("link").select("a", "b"), "core_links")
+    joined = found.filter("not link").select(F.col("a").alias("id"), F.col("b").alias("core")).join(roots, F.col("core") == F.col("node"), "left")
+    joined = joined.select("id", F.coalesce("root", "core").alias("root")).join(distinct.select("id", "n", "h1", "h2"), "id")
+    joined = materialise(joined, "assigned")
+    sizes = joined.groupBy("root").agg(F.sum("n").alias("size"), F.min("id").alias("first")).filter(F.col("size") >= min_size)
     by_size = Window.orderBy(F.desc("size"), F.asc("first"))  # one row per cluster
-    ids = sizes.filter(F.col("size") >= min_size).select("root", (F.row_number().over(by_size) - 1).cast("long").alias("cluster_id"))
-    named = materialise(joined.join(ids, "root").select("id", "cluster_id"), "named")
-    members = vectors.select("row_ix", "vec").join(named.withColumnRenamed("id", "row_ix"), "row_ix").drop("row_ix")
-    found = vectors.select("row_ix", "vec").join(members, "vec", "left")
-    return found.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
+    ids = sizes.select("root", (F.row_number().over(by_size) - 1).cast("long").alias("cluster_id"))
+    named = materialise(joined.join(ids, "root").select("h1", "h2", "cluster_id"), "named")
+    members = keyed.select("row_ix", "h1", "h2").join(named, ["h1", "h2"], "left")
+    return members.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
 # --- description -----------------------------------------------------------------------

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from reviewloom.operators import coherence as co
 from reviewloom.operators import labels as lb
 from reviewloom.operators import report as rp
 from reviewloom.operators import topics_cluster as tc
+from reviewloom.operators import vector_blocks as vb
 from reviewloom.operators import topics_lda as tl
 from reviewloom.params import LABEL_CONSTRUCTS, LDA_CONSTRUCTS, LDA_LABELS, Params
 
@@ -329,3 +331,45 @@ def test_report_texts(spark):
     got = {r.brand: r.top_aspects for r in rp.topk_aspects_per_brand(aspects).collect()}
     assert got == {"A": "x (50.0%); y (25.0%)", "B": "x (100.0%)"}
     assert rp.overall_top_aspects(aspects).first()[0] == "x (60.0%); y (20.0%); z (20.0%)"
+
+
+def planted_clusters(n, dims, size, seed, noise=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n, dims))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    near = np.repeat(centres, size, axis=0) + rng.normal(size=(n * size, dims)) * 0.02
+    return np.concatenate([near, rng.normal(size=(noise, dims))])
+
+
+def shipped_rows(spark, points, eps):
+    rows = tc._directions(vectors(spark, points)).select(F.col("row_ix").alias("id"), F.lit(1).cast("long").alias("n"), "unit")
+    index = vb.build_index(rows, len(points), 64, eps, group_rows=512)
+    sizes = index.blocks.groupBy("cell").agg(F.sum(F.length("ids") / 8).alias("size"))
+    return vb.asked_cells(index, eps).join(sizes, "cell").agg(F.sum("size")).first()[0]
+
+
+def test_what_the_index_ships_grows_with_the_vectors(spark):
+    """Clusters of 80 vectors, twice as many: twice the rows shipped, and hardly more than there are."""
+    few, many = (planted_clusters(n, 24, 80, 5) for n in (40, 80))
+    a, b = shipped_rows(spark, few, 0.25), shipped_rows(spark, many, 0.25)
+    assert len(few) <= a < 1.5 * len(few) and len(many) <= b < 1.5 * len(many)
+
+
+def test_every_vector_in_reach_is_shipped(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([planted_clusters(12, 4, 20, 6, 100), rng.normal(size=(60, 4))])
+    rows = tc._directions(vectors(spark, points, 4)).select(F.col("row_ix").alias("id"), F.lit(1).cast("long").alias("n"), "unit")
+    for eps, block in ((0.1, 7), (0.4, 30), (1.5, 64)):
+        index = vb.build_index(rows, len(points), block, eps, group_rows=40)
+        met = []
+
+        def meet(state, at, strip, others):
+            near = np.sqrt(((strip.unit[:, None] - others.unit) ** 2).sum(axis=2)) <= state["eps"]
+            state["n"][at : at + len(strip.ids)] += near.sum(axis=1)
+
+        begin = lambda own, eps=eps: {"eps": eps, "n": np.zeros(len(own.ids), np.int64)}
+        end = lambda state, own: pa.RecordBatch.from_arrays([pa.array(own.ids), pa.array(state["n"])], ["id", "n"])
+        met = {r.id: r.n for r in vb.over_reach(index, eps, "id long, n long", begin, meet, end).collect()}
+        unit = points / np.linalg.norm(points, axis=1)[:, None]
+        gaps = np.sqrt(((unit[:, None] - unit) ** 2).sum(axis=2))
+        assert [met[i] for i in range(len(points))] == (gaps <= eps).sum(axis=1).tolist()
