@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from reviewloom.functions.sentiment import MAX_LEXICON
 from reviewloom.params import Params
+from reviewloom.sources.split_csv import read_split_csv
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
@@ -42,24 +43,33 @@ CSV_READ = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False,
     "nullValue": chr(0), "emptyValue": "",
 }
+CSV_PARSE = {k: v for k, v in CSV_READ.items() if k in ("quote", "escape", "nullValue", "emptyValue")}
 
 
 def load_reviews(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REVIEW_SCHEMA, line_breaks: bool = True
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REVIEW_SCHEMA, line_breaks: bool = True,
+    strict_quotes: bool = True,
 ) -> DataFrame:
     """Raw reviews from parquet, CSV or JSON; a missing path raises.
 
     ``row_ix`` is the input order and must be a column of parquet and JSON sources.  CSV columns are found by
     their name in the header, which all files share; others are ignored, missing ones null.  Without a
-    ``row_ix`` rows are numbered by file name and position.  With ``line_breaks`` False no field may hold a
-    line break, and large CSV files are read in splits.
+    ``row_ix`` rows are numbered by file name and position.  Fields may hold line breaks, and large files are read in
+    splits all the same (``split_csv``, which passes over the files twice and writes the records once).  With
+    ``line_breaks`` False no field may hold one, and no pass is needed.  With ``strict_quotes`` False quotes may stand
+    inside unquoted fields; a file is then read in one task.
     """
     if fmt != "csv":
         return spread_small_input(spark.read.schema(schema).format(fmt).load(path))
     options = CSV_READ | {"multiLine": line_breaks}
     names = spark.read.options(**options).csv(path).columns
+    column = lambda prefix, f: (F.col(f"{prefix}`{f.name}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name)
+    if line_breaks and strict_quotes:
+        rows = read_split_csv(spark, path, names, CSV_PARSE)
+        number = [] if "row_ix" in names else [F.col("row_ix")]
+        return spread_small_input(rows.select(*number, *[column("row.", f) for f in schema if not number or f.name != "row_ix"]).select([f.name for f in schema]))
     rows = spark.read.options(**options).schema(T.StructType([T.StructField(n, _S) for n in names])).csv(path)
-    columns = [(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema]
+    columns = [column("", f) for f in schema]
     if "row_ix" in names:
         return spread_small_input(rows.select(*columns))
     return spread_small_input(_numbered(rows.select(*columns, "_metadata.file_path", "_metadata.file_block_start")))
@@ -98,7 +108,8 @@ def load_scored(spark: SparkSession, folder: str, params: Params) -> DataFrame:
     types |= {name: _D for name in ("neg", "neu", "pos", "compound")}
     types |= {f"topic_{i}": _D for i in range(params.lda_topics)}
     types |= {f"aspect_{c}": _L for c in params.aspects} | {f"emotion_{c}": _L for c in params.emotions}
-    df = spark.read.options(**CSV_READ).csv(f"{folder}/scored_reviews")
+    path = f"{folder}/scored_reviews"
+    df = read_split_csv(spark, path, spark.read.options(**CSV_READ).csv(path).columns, CSV_PARSE).select("row.*")
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
 
 
