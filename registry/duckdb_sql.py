@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from registry import fixture as fx
 from registry.spark_queries import CLUSTER_RULES, EMOTIONS, LANGUAGE_CONSTRUCTS
@@ -457,6 +459,16 @@ DICTIONARY = values(
     "group_name, category, category_ord, keyword",
 )
 
+def poisson_weight(h: str) -> str:
+    """SQL of a Poisson(1) number for a hash below 2**31 - 1, by its cumulative probabilities."""
+    steps, term, total = [], Fraction(1), Fraction(0)
+    for k in range(10):
+        term = term / max(k, 1)
+        total += term
+        steps.append(int(2147483647 * float(total) / math.e))
+    return "(" + " + ".join(f"({h} >= {step})::INTEGER" for step in steps) + ")"
+
+
 FINALS = {
     "src_reviews": "SELECT * FROM reviews",
     "src_csv_tables": " UNION ALL ".join(
@@ -634,6 +646,24 @@ FINALS = {
     "rating_corr": f"SELECT brand, {r6('corr(compound, reviewer_rating)', 'r')} FROM scored WHERE brand IS NOT NULL GROUP BY brand",
     "rating_regression": f"""SELECT brand, {r6('regr_slope(reviewer_rating, compound)', 'slope')},
         {r6('regr_intercept(reviewer_rating, compound)', 'intercept')} FROM scored WHERE brand IS NOT NULL GROUP BY brand""",
+    "rating_regression_band": f"""SELECT brand, point, {r6('x')}, {r6('y')}, {r6('y_low')}, {r6('y_high')} FROM (
+        WITH d AS (SELECT brand, row_ix, compound AS x, reviewer_rating AS y FROM scored
+            WHERE brand IS NOT NULL AND compound IS NOT NULL AND reviewer_rating IS NOT NULL),
+        h0 AS (SELECT d.*, r.range AS rep, (row_ix % 2147483647 * 16807) % 2147483647 AS a, ((r.range + 1) * 69621) % 2147483647 AS b
+            FROM d, range(200) r),
+        h1 AS (SELECT *, ((a + b) % 2147483647) AS h FROM h0),
+        h2 AS (SELECT * REPLACE ((h * h + 12345) % 2147483647 AS h) FROM h1),
+        h3 AS (SELECT * REPLACE ((h * 48271 + b) % 2147483647 AS h) FROM h2),
+        h4 AS (SELECT * REPLACE ((h * h + a) % 2147483647 AS h) FROM h3),
+        weighted AS (SELECT brand, rep, x, y, {poisson_weight('h * 16807 % 2147483647')} AS w FROM h4),
+        sums AS (SELECT brand, rep, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+            FROM weighted GROUP BY brand, rep),
+        slopes AS (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM sums WHERE s * sxx - sx * sx > 1e-9 * s * s),
+        ends AS (SELECT brand, min(x) AS low, max(x) AS high, regr_slope(y, x) AS m, regr_intercept(y, x) AS c FROM d GROUP BY brand),
+        grid AS (SELECT brand, g.range::INTEGER AS point, low + (high - low) * g.range / 99 AS x, m, c FROM ends, range(100) g)
+        SELECT brand, point, x, c + m * x AS y, quantile_cont((sy - b * sx) / s + b * x, 0.025) AS y_low,
+            quantile_cont((sy - b * sx) / s + b * x, 0.975) AS y_high
+        FROM grid JOIN slopes USING (brand) GROUP BY brand, point, x, m, c)""",
     "topic_dist_totals": f"""SELECT brand, dominant_topic_label, n_reviews, {r6('pct_reviews')}, publication_label,
         sum(n_reviews) OVER (PARTITION BY brand)::BIGINT AS total_n FROM topic_dist""",
     "coherence_plot_rows": f"SELECT 'LDA' AS model, topic_id::VARCHAR AS topic_id, topic_label, {r6('score', 'coherence_cv')} FROM cg_topic",

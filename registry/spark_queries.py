@@ -828,6 +828,12 @@ def rating_regression(spark, sf_dir):
     return rounded(ch.rating_regression(study(spark, sf_dir).scored))
 
 
+@query
+def rating_regression_band(spark, sf_dir):
+    """The band that is drawn around each brand's line."""
+    return rounded(ch.regression_band(study(spark, sf_dir).scored))
+
+
 @query
 def topic_dist_totals(spark, sf_dir):
     return rounded(ch.topic_dist_totals(study(spark, sf_dir).given_distribution))

@@ -1,3 +1,4 @@
+import numpy as np
 import datetime
 
 from pyspark.sql import functions as F
@@ -106,3 +107,28 @@ def test_chart_data(spark):
     assert abs(line.slope - slope) < 1e-9 and abs(line.intercept - intercept) < 1e-9
     r = {r.brand: r.r for r in ch.rating_corr(df).collect()}["A"]
     assert abs(r - np.corrcoef(x, y)[0, 1]) < 1e-9
+
+
+def test_poisson_weights():
+    w = ch.poisson_weights(np.arange(20_000) * 7 + 3, 60)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.003
+    together = np.corrcoef(w.T) - np.eye(60)
+    assert np.abs(together).max() < 0.04 and np.abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+
+
+def test_regression_band(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, 400).round(3)
+    y = (2 + 0.5 * x + rng.normal(size=400)).round(3)
+    rows = [("AB"[i % 2], i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("C", 900, 0.5, 1.0), (None, 901, 0.1, 1.0), ("A", 902, None, 1.0)]
+    df = spark.createDataFrame(rows, "brand string, row_ix long, compound double, reviewer_rating double")
+    got = {(r.brand, r.point): r for r in ch.regression_band(df.repartition(5), 100, 11).collect()}
+    assert sorted({b for b, _ in got}) == ["A", "B"] and len(got) == 22  # one value of compound makes no line
+    for k, brand in enumerate("AB"):
+        a, b, weights = x[k::2], y[k::2], ch.poisson_weights(np.arange(k, 400, 2), 100)
+        lines = [np.polyfit(a, b, 1, w=np.sqrt(w)) for w in weights.T]
+        for i, at in enumerate(np.linspace(a.min(), a.max(), 11)):
+            r = got[brand, i]
+            drawn = [m * at + c for m, c in lines]
+            np.testing.assert_allclose([r.x, r.y, r.y_low, r.y_high], [at, np.polyval(np.polyfit(a, b, 1), at), *np.quantile(drawn, [0.025, 0.975])], rtol=1e-7)
+            assert r.y_low < r.y < r.y_high
