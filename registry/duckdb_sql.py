@@ -491,9 +491,6 @@ FINALS = {
         count(*) FILTER (contains(' ' || lower(r.reviewer_review) || ' ', d.keyword)) AS n_reviews
         FROM ({DICTIONARY}) d CROSS JOIN reviews r GROUP BY ALL""",
     "sink_table": label_counts("aspect_top_category", "aspect_share"),
-    "sink_bundle": f"""SELECT 'brand_summary' AS table_name, brand, n_reviews FROM ({BRAND_SUMMARY})
-        UNION ALL SELECT 'rating_counts', brand, n_reviews FROM ({RATING_COUNTS})
-        UNION ALL SELECT 'sentiment_summary', brand, n_reviews FROM sentiment_share""",
     "sink_public": f"SELECT {PUBLIC} FROM given_reviews",
     "sink_compressed": f"SELECT {PUBLIC} FROM given_reviews",
     "export_scored": f"SELECT {EXPORT} FROM given_reviews",
@@ -670,6 +667,19 @@ FINALS = {
     "sample_reviews": """SELECT row_ix, brand, brand_ord, reviewer_rating, review_month, token_count, review_full_text FROM sample""",
 }
 
-FINALS["publication_tables"] = FINALS["manuscript_table"]
+
+def cells(tables: dict[str, tuple[str, list[str], list[str]]]) -> str:
+    """Every value of ``tables`` in long form, from the SQL of the queries with the same rows."""
+    parts = []
+    for name, (source, text, numbers) in tables.items():
+        key = ", ".join(f"{c}::VARCHAR" for c in text)
+        values_ = [(c, f"{c}::VARCHAR", "NULL::DOUBLE") for c in text] + [(c, "NULL::VARCHAR", f"{c}::DOUBLE") for c in numbers]
+        rows = ", ".join(f"{{'column_name': {q(c)}, 'text_value': {t}, 'number_value': {n}}}" for c, t, n in values_)
+        parts.append(f"SELECT {q(name)} AS table_name, concat_ws('|', {key}) AS row_key, unnest([{rows}], recursive := true) FROM ({FINALS[source]})")
+    return " UNION ALL ".join(parts)
+
+
+FINALS["sink_bundle"] = cells(fx.BUNDLE_TABLES)
+FINALS["publication_tables"] = cells(fx.PUBLICATION_TABLES)
 
 ORACLES = {name: statement(sql) for name, sql in FINALS.items()}

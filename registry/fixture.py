@@ -65,3 +65,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small_input(table(spark, sf_dir, "documents")).selectExpr(*REVIEW_COLUMNS)
+
+
+#: Tables whose every value is compared after a round trip: name -> (registered query with the same rows, text columns,
+#: number columns).  Text columns identify a row.
+BUNDLE_TABLES = {
+    "brand_summary": ("brand_summary", ["brand"], ["n_reviews", "mean_tokens", "median_tokens", "mean_compound"]),
+    "rating_counts": ("rating_counts", ["brand", "reviewer_rating"], ["n_reviews"]),
+    "sentiment_summary": ("sentiment_summary", ["brand", "sentiment_label"], ["n_reviews", "pct_reviews"]),
+    "aspect_distribution_by_brand": ("aspect_prevalence", ["brand", "aspect_top_category"], ["n_reviews", "pct_reviews"]),
+    "emotion_prevalence_by_brand": ("emotion_prevalence", ["brand", "emotion"], ["n_reviews", "pct_reviews"]),
+    "monthly_sentiment_by_brand": ("monthly_sentiment", ["brand", "review_month"], ["mean_compound", "n_reviews"]),
+    "top_terms_by_brand": ("top_terms", ["brand", "term"], ["rank", "count"]),
+    "topic_distribution_by_brand": ("topic_distribution", ["brand", "dominant_topic_label", "publication_label"], ["n_reviews", "pct_reviews"]),
+    "bertopic_distribution_by_brand": ("cluster_distribution", ["brand", "bertopic_topic_label"], ["n_reviews", "pct_reviews"]),
+    "topic_terms": ("ctfidf_terms", ["topic_label", "term"], ["topic_id", "rank", "weight"]),
+    "topic_coherence": ("coherence_compare", ["model", "topic_id", "topic_label"], ["coherence_cv"]),
+    "construct_mapping": ("construct_union", ["model", "topic_id", "publication_label", "primary_construct", "interpretation"], []),
+}
+PUBLICATION_TABLES = {
+    "Brand Summary": ("brand_summary_export", ["brand"], ["n_reviews", "mean_rating", "mean_sentiment", "pct_positive", "pct_negative", "pct_neutral"]),
+    "LDA Topic Summary": ("topic_summary", ["publication_label", "top_words", "primary_construct", "interpretation"], ["topic_id", "coherence_cv_score"]),
+    "LDA Representative Quotes": (
+        "representative_quotes", ["publication_label", "brand", "quote_excerpt"],
+        ["topic_id", "quote_rank", "reviewer_rating", "membership_score", "compound_sentiment"],
+    ),
+    "Study1 Manuscript Table": (
+        "manuscript_table", ["lda_theme", "linked_construct", "top_words", "top_brands", "overall_top_aspects", "interpretation"],
+        ["topic_id", "coherence_cv"],
+    ),
+    "Construct Mapping": ("construct_union", ["model", "topic_id", "publication_label", "primary_construct", "interpretation"], []),
+}

@@ -7,7 +7,7 @@ operators whose models have no SQL answer are checked on given topics: the revie
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from reviewloom.operators import tokens as tk
 from reviewloom.operators import topics_cluster as tc
 from reviewloom.operators import topics_lda as tl
 from reviewloom.params import english_stopwords
+from reviewloom.plans import publication as pb
 from reviewloom.plans.publication import export_publication
 from reviewloom.plans.study import Study
 from reviewloom.session import configure, materialise, scratch_path
@@ -215,18 +216,23 @@ def sink_table(spark, sf_dir):
     return rounded(load_table(spark, folder, name))
 
 
+def cells(name: str, df: DataFrame, text: list[str], numbers: list[str]) -> DataFrame:
+    """Every value of a table in long form: table_name, row_key, column_name, text_value, number_value."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in text])
+    none = F.lit(None)
+    rows = [(c, F.col(c).cast("string"), none.cast("double")) for c in text] + [(c, none.cast("string"), F.col(c).cast("double")) for c in numbers]
+    rows = [F.struct(F.lit(c).alias("column_name"), t.alias("text_value"), n.alias("number_value")) for c, t, n in rows]
+    return df.select(F.lit(name).alias("table_name"), key.alias("row_key"), F.inline(F.array(*rows)))
+
+
 @query
 def sink_bundle(spark, sf_dir):
-    df = study(spark, sf_dir).scored
+    """The deterministic tables of a study, written as one bundle and read back, every value in long form."""
+    tables = {name: QUERIES[source](spark, sf_dir) for name, (source, _, _) in fx.BUNDLE_TABLES.items()}
     folder = scratch_path(spark, "bundle")
-    tables = {
-        "brand_summary": sm.brand_summary(df, BRANDS),
-        "rating_counts": sm.rating_counts(df, BRANDS),
-        "sentiment_summary": sm.sentiment_summary(df, BRANDS),
-    }
     wr.save_bundle(tables, folder)
-    back = [load_table(spark, folder, n).select(F.lit(n).alias("table_name"), "brand", "n_reviews") for n in tables]
-    return back[0].unionByName(back[1]).unionByName(back[2])
+    back = [cells(name, load_table(spark, folder, name, df.schema), *fx.BUNDLE_TABLES[name][1:]) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, back)
 
 
 @query
@@ -777,7 +783,7 @@ def manuscript_table(spark, sf_dir):
 
 @query
 def publication_tables(spark, sf_dir):
-    """The publication step from the written tables of a study: its manuscript table, read back."""
+    """The publication step from the written tables of a study, read back, every value of five tables in long form."""
     s = study(spark, sf_dir)
     aspects = sm.aspect_prevalence(s.scored, BRANDS)
     tables = {
@@ -792,8 +798,11 @@ def publication_tables(spark, sf_dir):
     wr.save_bundle(tables, folder)
     scored = s.given_reviews.withColumn("topic_weights", F.array_repeat("membership", P.lda_topics))
     export_publication(spark, folder, out, P, scored)
-    schema = rp.manuscript_table(s.given_summary, s.given_distribution, aspects, BRANDS).schema
-    return rounded(load_table(spark, out, "Study1 Manuscript Table", schema))
+    made = pb.publication_tables(scored, {name: load_table(spark, folder, name) for name in pb.READS}, P)  # for their schemas
+    back = []
+    for name, (_, text, numbers) in fx.PUBLICATION_TABLES.items():
+        back.append(cells(name, rounded(load_table(spark, out, name, made[name].schema)), text, numbers))
+    return reduce(DataFrame.unionByName, back)
 
 
 @query

@@ -29,6 +29,7 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", compression: str | No
     if fmt == "csv":
         writer = _flat(df).write.option("header", True).option("quote", '"').option("escape", '"')
         writer = writer.option("emptyValue", '""').option("nullValue", "")
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     else:
         writer = df.write
     if compression:
