@@ -13,10 +13,11 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.frames import computed_once
 from reviewloom.operators.graph import components, spanning_forest
 from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
-from reviewloom.operators.vector_blocks import Rows, build_index, over_reach
+from reviewloom.operators.vector_blocks import GROUP_ROWS, Rows, build_index, over_reach
 from reviewloom.session import materialise
 
 BLOCK = 1024  # rows handled at a time inside a task
@@ -81,9 +82,12 @@ def _directions(vectors: DataFrame) -> DataFrame:
     """``row_ix, unit, h1, h2`` of ``row_ix, vec``: vectors scaled to length 1, and hashes that stand for them in narrow
     joins.  All are null for zero vectors and vectors with a null or non-finite component, which are near nothing."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select("row_ix", "vec", length.alias("length"))
+    # each step reads the one before for every component
+    rows = computed_once(vectors.select("row_ix", "vec"), ["vec"])
+    rows = computed_once(rows.select("row_ix", "vec", length.alias("length")), ["vec", "length"])
     usable = (F.col("length") > 0) & (F.col("length") < float("inf"))
     rows = rows.select("row_ix", F.when(usable, F.transform("vec", lambda x: x / F.col("length"))).alias("unit"))
+    rows = computed_once(rows, ["unit"])
     hashes = [F.when(F.col("unit").isNotNull(), F.xxhash64(F.lit(i), "unit")).alias(f"h{i}") for i in (1, 2)]
     return rows.select("row_ix", "unit", *hashes)
 
@@ -92,6 +96,18 @@ def _table_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def joined_rows(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and each column of a matrix of links is connected with: smallest ids go from rows
+    to columns and back until none changes, so that dense links are never listed."""
+    most = np.iinfo(np.int64).max
+    while True:
+        columns = np.minimum(columns, np.where(linked, rows[:, None], most).min(axis=0, initial=most))
+        new = np.minimum(rows, np.where(linked, columns, most).min(axis=1, initial=most))
+        if np.array_equal(new, rows):
+            return rows, columns
+        rows = new
+
+
 def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int) -> DataFrame:
     """``row_ix, cluster_id`` for ``row_ix, vec`` (array): density clusters, outliers -1.
 
@@ -114,7 +130,7 @@ def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int
     n_points = distinct.count()
     if not n_points:
         return found
-    index = build_index(distinct.select("id", "n", "unit"), n_points, BLOCK, eps)
+    index = build_index(distinct.select("id", "n", "unit"), n_points, BLOCK, eps, min(GROUP_ROWS, max(256, n_points // (4 * vectors.sparkSession.sparkContext.defaultParallelism))))
 
     def count(counts: np.ndarray, at: int, strip: Rows, others: Rows) -> None:
         counts[at : at + len(strip.ids)] += (strip.unit @ others.unit.T >= min_cos) @ others.n
@@ -144,10 +160,11 @@ def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int
         # the group of smaller number takes the links between two groups
         linked = (cosine >= min_cos) & state["core"][here, None] & (others.home[there] >= strip.home[0])
         for part in range(0, len(ids), BLOCK):
-            a, b = np.nonzero(linked[:, part : part + BLOCK])
-            if len(a):
-                old = state["links"]
-                state["links"] = spanning_forest(np.append(strip.ids[a], old[0]), np.append(ids[part + b], old[1]))
+            some = ids[part : part + BLOCK]
+            a, b = joined_rows(linked[:, part : part + BLOCK], strip.ids, some)
+            new, root = np.append(strip.ids, some), np.append(a, b)
+            moved, old = new != root, state["links"]
+            state["links"] = spanning_forest(np.append(new[moved], old[0]), np.append(root[moved], old[1]))
 
     def ended(state: dict, own: Rows) -> pa.RecordBatch:
         near = state["cosine"] >= min_cos

@@ -193,4 +193,4 @@ def test_written_text_keeps_its_outer_blanks(spark):
     folder = scratch_path(spark, "blanks")
     wr.save_table(spark.createDataFrame([("  a ", "b\t"), (" ", "c ")], "x string, y string"), f"{folder}/t")
     back = load_table(spark, folder, "t", spark.createDataFrame([], "x string, y string").schema)
-    assert sorted(map(tuple, back.collect())) == [("  a ", "b\t"), (" ", "c ")]
+    assert {tuple(r) for r in back.collect()} == {("  a ", "b\t"), (" ", "c ")}
