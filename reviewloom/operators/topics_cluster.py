@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.frames import computed_once
 from reviewloom.operators.graph import components, spanning_forest
+from reviewloom.operators.sketched_svd import principal_axes, project
 from reviewloom.operators.tokens import term_frequencies
 from reviewloom.operators.topics_lda import joined_terms, topk_terms_per_topic
 from reviewloom.operators.vector_blocks import GROUP_ROWS, Rows, build_index, over_reach
@@ -38,41 +37,9 @@ def tfidf_vectors(counts: DataFrame, doc_freq: list[int]) -> DataFrame:
 
 
 def embed_svd(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
-    """``row_ix, vec`` = U * S of the uncentred truncated SVD, and the singular values.
-
-    One pass sums the Gramian (features x features, at most max_features squared); its
-    eigenvectors are the right singular vectors, and a second, row-wise pass projects on them.
-    Iterative solvers would pass over the data once per matrix-vector product.
-    """
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("tfidf"), "tfidf"))
-    values, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-    keep = np.argsort(values)[::-1][: min(dim, len(values))]
-    axes = axes[:, keep]
-    # fixed sign: the largest component of every axis is positive
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    shared = vectors.sparkSession.sparkContext.broadcast(axes)
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a vector column travels as its sparse parts: index and value lists per row
-            indices, values = (batch.column("tfidf").field(part) for part in ("indices", "values"))
-            bounds = indices.offsets.to_numpy()
-            index, value = indices.flatten().to_numpy(), values.flatten().to_numpy()
-            index_start = bounds[0]
-            out = np.empty((batch.num_rows, shared.value.shape[1]))
-            for start in range(0, batch.num_rows, BLOCK):
-                stop = min(start + BLOCK, batch.num_rows)
-                inside = slice(bounds[start] - index_start, bounds[stop] - index_start)
-                block = np.zeros((stop - start, shared.value.shape[0]))
-                row = np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1]))
-                block[row, index[inside]] = value[inside]
-                out[start:stop] = block @ shared.value
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1]
-            vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("row_ix"), vec], names=["row_ix", "vec"])
-
-    rows = vectors.select("row_ix", "tfidf").mapInArrow(project, "row_ix long, vec array<double>")
-    return rows, np.sqrt(np.maximum(values[keep], 0.0))
+    """``row_ix, vec`` = U * S of the uncentred truncated SVD, and the singular values."""
+    axes, singular = principal_axes(vectors, dim)
+    return project(vectors, axes), singular
 
 
 # --- clustering ------------------------------------------------------------------------

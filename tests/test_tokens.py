@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from reviewloom.functions.porter import porter_stem
@@ -103,6 +104,49 @@ def test_svd_matches_numpy(spark):
     assert not ours[[i for i, d in enumerate(docs) if not d]].any()
 
 
+def test_svd_of_planted_rank_among_many_features(spark):
+    """Rank five among 20,000 features, for two and seven partitions; the driver holds features x 15 numbers."""
+    n, rank, r = 20_000, 5, np.random.default_rng(3)
+    words = [r.choice(n, 40, replace=False) for _ in range(rank)]
+    scale = [9.0, 7.0, 5.0, 3.0, 1.0]
+    rows = [(i, i % rank, float(1 + i % 4)) for i in range(400)]
+    matrix = np.zeros((400, n))
+    data = []
+    for i, g, times in rows:
+        matrix[i, words[g]] = scale[g] * times
+        at = sorted(words[g].tolist())
+        data.append((i, Vectors.sparse(n, at, [scale[g] * times] * len(at))))
+    data.append((400, Vectors.sparse(n, [], [])))
+    want = np.linalg.svd(matrix @ matrix.T, compute_uv=False)[:rank] ** 0.5
+    for parts in (2, 7):
+        df = spark.createDataFrame(data, ["row_ix", "tfidf"]).repartition(parts)
+        found, singular = tc.embed_svd(df, rank)
+        got = {x.row_ix: np.array(x.vec) for x in found.collect()}
+        ours = np.array([got[i] for i in range(400)])
+        assert np.allclose(singular, want, rtol=1e-9)
+        assert np.allclose(ours @ ours.T, matrix @ matrix.T, atol=1e-6)
+        assert not got[400].any()
+
+
+def test_svd_settles_on_slowly_falling_values(spark):
+    r = np.random.default_rng(8)
+    matrix = r.normal(size=(600, 80)) * (0.8 ** np.arange(80))
+    data = [(i, Vectors.sparse(80, list(range(80)), x.tolist())) for i, x in enumerate(matrix)]
+    df = spark.createDataFrame(data, ["row_ix", "tfidf"]).repartition(5)
+    _, singular = tc.embed_svd(df, 6)
+    assert np.allclose(singular, np.linalg.svd(matrix, compute_uv=False)[:6], rtol=1e-6)
+
+
+def test_svd_merges_triangles_in_a_tree_and_takes_empty_tables(spark):
+    data = [(i, Vectors.sparse(4, [i % 4], [float(i)])) for i in range(200)]
+    df = spark.createDataFrame(data, ["row_ix", "tfidf"]).repartition(40, "row_ix")
+    _, singular = tc.embed_svd(df, 4)
+    want = sorted((sum(i * i for i in range(200) if i % 4 == f) ** 0.5 for f in range(4)), reverse=True)
+    assert np.allclose(singular, want)
+    found, singular = tc.embed_svd(df.filter("row_ix < 0"), 4)
+    assert found.count() == 0 and len(singular) == 0
+
+
 def test_hot_word_counts_are_whole(spark):
     tokens = spark.range(2000).select(F.col("id").alias("row_ix"), F.array(F.lit("hot"), F.lit("hot"), F.concat(F.lit("t"), F.col("id") % 7)).alias("tokens"))
     found = {r.term: (r.df, r.corpus_tf) for r in tk.feature_terms(tokens, Params(max_df=1.0)).collect()}
