@@ -33,6 +33,7 @@ from reviewloom.plans.publication import export_publication
 from reviewloom.plans.study import Study
 from reviewloom.session import configure, materialise, scratch_path
 from reviewloom.sources import writers as wr
+from reviewloom.sources.bundles import open_bundle, save_bundle
 from reviewloom.sources.reviews import dictionary_table, load_reviews, load_table
 
 P = fx.PARAMS
@@ -186,12 +187,12 @@ def src_csv_tables(spark, sf_dir):
         "sentiment_summary": (sm.sentiment_summary(s.scored, BRANDS), ["brand", "sentiment_label"], "pct_reviews"),
     }
     folder = scratch_path(spark, "tables")
-    wr.save_bundle({name: df for name, (df, _, _) in tables.items()}, folder)
-    back = None
+    save_bundle({name: df for name, (df, _, _) in tables.items()}, folder)
+    at, back = open_bundle(spark, folder), None
     for name, (_, keys, number) in tables.items():
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
         value = (F.col(number) if number else F.lit(0.0)).alias("value")
-        rows = load_table(spark, folder, name).select(F.lit(name).alias("table_name"), key, value)
+        rows = load_table(spark, at, name).select(F.lit(name).alias("table_name"), key, value)
         rows = rounded(rows, 12 if number == "mean_compound" else 6)
         back = rows if back is None else back.unionByName(rows)
     return back
@@ -230,8 +231,9 @@ def sink_bundle(spark, sf_dir):
     """The deterministic tables of a study, written as one bundle and read back, every value in long form."""
     tables = {name: QUERIES[source](spark, sf_dir) for name, (source, _, _) in fx.BUNDLE_TABLES.items()}
     folder = scratch_path(spark, "bundle")
-    wr.save_bundle(tables, folder)
-    back = [cells(name, load_table(spark, folder, name, df.schema), *fx.BUNDLE_TABLES[name][1:]) for name, df in tables.items()]
+    save_bundle(tables, folder)
+    at = open_bundle(spark, folder)
+    back = [cells(name, load_table(spark, at, name, df.schema), *fx.BUNDLE_TABLES[name][1:]) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, back)
 
 
@@ -795,13 +797,14 @@ def publication_tables(spark, sf_dir):
         "aspect_distribution_by_brand": aspects,
     }
     folder, out = scratch_path(spark, "tables"), scratch_path(spark, "publication")
-    wr.save_bundle(tables, folder)
+    save_bundle(tables, folder)
     scored = s.given_reviews.withColumn("topic_weights", F.array_repeat("membership", P.lda_topics))
     export_publication(spark, folder, out, P, scored)
-    made = pb.publication_tables(scored, {name: load_table(spark, folder, name) for name in pb.READS}, P)  # for their schemas
-    back = []
+    study_at = open_bundle(spark, folder, [])
+    made = pb.publication_tables(scored, {name: load_table(spark, study_at, name) for name in pb.READS}, P)  # for their schemas
+    at, back = open_bundle(spark, out), []
     for name, (_, text, numbers) in fx.PUBLICATION_TABLES.items():
-        back.append(cells(name, rounded(load_table(spark, out, name, made[name].schema)), text, numbers))
+        back.append(cells(name, rounded(load_table(spark, at, name, made[name].schema)), text, numbers))
     return reduce(DataFrame.unionByName, back)
 
 

@@ -117,7 +117,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray
     their singular values.
 
     A seeded Gaussian sketch of ``dim + OVERSAMPLING`` columns is multiplied by A' A and made orthogonal again up to
-    ``1 + POWER_ITERATIONS`` times, one pass each, until the singular values stand still.  The triangle of A times that
+    ``POWER_ITERATIONS`` times, one pass each, until the singular values stand still.  The triangle of A times that
     basis then gives the singular values and the turn of the basis.  If the sketch is as wide as the features, the basis
     is the identity and the result is the full decomposition.  Each axis has its largest component positive.  A table
     without rows has no axes.
@@ -131,7 +131,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray
     if width < n:
         basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, width)))[0]
         before = np.zeros(dim)
-        for _ in range(1 + POWER_ITERATIONS):
+        for _ in range(POWER_ITERATIONS):
             basis, r = np.linalg.qr(_gram_times(vectors, basis))
             found = np.sqrt(np.linalg.svd(r, compute_uv=False)[:dim])
             if np.abs(found - before).max(initial=0) <= SETTLED * found.max(initial=0):

@@ -10,6 +10,7 @@ from reviewloom.operators import summaries as sm
 from reviewloom.params import Params
 from reviewloom.session import configure
 from reviewloom.sources import writers as wr
+from reviewloom.sources.bundles import open_bundle, save_bundle
 from reviewloom.sources.reviews import load_scored, load_table
 
 READS = [
@@ -44,12 +45,14 @@ def publication_tables(scored: DataFrame, tables: dict[str, DataFrame], params:
 
 
 def export_publication(spark: SparkSession, folder: str, out: str, params: Params | None = None, scored: DataFrame | None = None) -> dict[str, str]:
-    """Re-read the study's CSV tables from ``folder`` and write the publication bundle to ``out``.
+    """Re-read the study's tables from the bundle in ``folder`` and write the publication bundle to ``out``.
 
     Pass ``Study.reviews`` as ``scored`` where it is at hand: it saves parsing the reviews again.
     """
     configure(spark)
     params = params or Params()
-    tables = {name: load_table(spark, folder, name) for name in READS}
-    scored = load_scored(spark, folder, params) if scored is None else scored
-    return wr.save_bundle(publication_tables(scored, tables, params), out)
+    read = READS if scored is not None else [*READS, "scored_reviews"]
+    at = open_bundle(spark, folder, check=read)
+    tables = {name: load_table(spark, at, name) for name in READS}
+    scored = load_scored(spark, at, params) if scored is None else scored
+    return save_bundle(publication_tables(scored, tables, params), out)

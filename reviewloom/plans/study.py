@@ -24,6 +24,7 @@ from reviewloom.operators.dictionary import score_dictionary
 from reviewloom.params import Params
 from reviewloom.session import configure, materialise
 from reviewloom.sources import writers as wr
+from reviewloom.sources.bundles import save_bundle
 
 
 class Study:
@@ -184,11 +185,7 @@ class Study:
         }
 
     def run(self, folder: str, fmt: str = "csv") -> dict[str, str]:
-        """Write every table, the public projection, and its compressed copy."""
-        paths = wr.save_bundle(self.tables(), folder, fmt)
+        """Write every table, the public projection, and its compressed copy, as one bundle."""
         public = wr.public_reviews(self.reviews)
-        paths["study1_scored_reviews_public"] = f"{folder}/study1_scored_reviews_public"
-        wr.save_table(public, paths["study1_scored_reviews_public"], "csv")
-        paths["study1_scored_reviews_public_gz"] = f"{folder}/study1_scored_reviews_public_gz"
-        wr.save_compressed(public, paths["study1_scored_reviews_public_gz"])
-        return paths
+        copies = {"study1_scored_reviews_public": public, "study1_scored_reviews_public_gz": public}
+        return save_bundle(self.tables() | copies, folder, fmt, list(copies), ["study1_scored_reviews_public_gz"])

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from reviewloom.functions.sentiment import MAX_LEXICON
 from reviewloom.params import Params
+from reviewloom.sources.bundles import current_folder
 from reviewloom.sources.split_csv import read_split_csv
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
@@ -94,8 +95,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """One result table written by ``sources.writers``, read back under its declared schema."""
-    return spark.read.options(**CSV_READ).schema(schema or TABLE_SCHEMAS[name]).csv(f"{folder}/{name}")
+    """One result table written by ``sources.writers`` or in a bundle, read back under its declared schema."""
+    path = f"{current_folder(spark, folder)}/{name}"
+    return spark.read.options(**CSV_READ).schema(schema or TABLE_SCHEMAS[name]).csv(path)
 
 
 def load_scored(spark: SparkSession, folder: str, params: Params) -> DataFrame:
@@ -108,7 +110,7 @@ def load_scored(spark: SparkSession, folder: str, params: Params) -> DataFrame:
     types |= {name: _D for name in ("neg", "neu", "pos", "compound")}
     types |= {f"topic_{i}": _D for i in range(params.lda_topics)}
     types |= {f"aspect_{c}": _L for c in params.aspects} | {f"emotion_{c}": _L for c in params.emotions}
-    path = f"{folder}/scored_reviews"
+    path = f"{current_folder(spark, folder)}/scored_reviews"
     df = read_split_csv(spark, path, spark.read.options(**CSV_READ).csv(path).columns, CSV_PARSE).select("row.*")
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
 

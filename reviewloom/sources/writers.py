@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from reviewloom.params import EXPORT_COLUMNS, PUBLIC_COLUMNS
 
-NAME_LIMIT = 31  # longest table name the published bundle allows
-
 
 def _flat(df: DataFrame) -> DataFrame:
     """Zoned timestamps lose their zone (the session is UTC); arrays become JSON text for CSV."""
@@ -37,16 +35,6 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", compression: str | No
     writer.mode("overwrite").format(fmt).save(path)
 
 
-def save_bundle(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> dict[str, str]:
-    """Write every named table to its own sub-folder; returns name -> path."""
-    paths = {name: f"{folder}/{name[:NAME_LIMIT]}" for name in tables}
-    if len(set(paths.values())) != len(paths):
-        raise ValueError("table names collide after cutting")
-    for name, df in tables.items():
-        save_table(df, paths[name], fmt)
-    return paths
-
-
 def public_reviews(scored: DataFrame, columns: list[str] = PUBLIC_COLUMNS) -> DataFrame:
     """The columns that may be published: no reviewer name or contact."""
     return scored.select(*columns)
