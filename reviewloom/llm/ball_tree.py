@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.session import materialise
+from reviewloom.session import giving_back, materialise
 
 #: Vectors in a shard, and queries in a block.
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 12
 LEAF_ROWS = 256
+#: Components in a shard (64 MB of doubles), whatever the width of the vectors.
+SHARD_CELLS = 1 << 23
+#: No score; less than every score.
+NONE = np.iinfo(np.int64).min
 
 
 def scaled(vector: Column, scale: int = 1024) -> Column:
@@ -32,6 +36,30 @@ def scaled(vector: Column, scale: int = 1024) -> Column:
     return F.when(~bad, F.transform(x, lambda v: F.floor(v * scale).cast("double")))
 
 
+def by_length(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vector: the places of those vectors, and the vectors as a matrix."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(sizes) - sizes
+    found = {}
+    for dims in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dims)
+        cells = flat if len(at) == len(sizes) else flat[begin[at][:, None] + np.arange(dims)]
+        found[dims] = at, cells.reshape(len(at), dims)
+    return found
+
+
+def exact_products(queries: np.ndarray, vectors: np.ndarray, bound: float) -> np.ndarray:
+    """Inner products of whole-numbered rows as longs, where every product fits one.
+
+    ``bound`` is the product of the greatest lengths, which no sum of absolute products exceeds: below 2**52 doubles hold
+    all sums, else longs multiply.
+    """
+    if bound < 2.0**52:
+        return (queries @ vectors.T).astype(np.int64)
+    return queries.astype(np.int64) @ vectors.T.astype(np.int64)
+
+
 class Tree:
     """A ball tree as flat arrays: node i covers rows begin[i]:end[i]; children 0 means a leaf."""
 
@@ -57,15 +85,18 @@ class Tree:
         self.centres = np.array([self.vectors[b:e].mean(axis=0) if e > b else np.zeros(vectors.shape[1]) for b, e in zip(begin, end, strict=True)])
         gaps = [np.sqrt(((self.vectors[b:e] - c) ** 2).sum(axis=1).max(initial=0)) for b, e, c in zip(begin, end, self.centres, strict=True)]
         self.radii = np.array(gaps)
+        self.longest = float(np.sqrt((vectors**2).sum(axis=1).max(initial=0)))
+        self.reach = np.sqrt((self.centres**2).sum(axis=1)) + self.radii
 
 
 class Search:
-    """The best k of each query so far: scores and ids, best first; empty places score -inf."""
+    """The best k of each query so far: scores and ids, best first; empty places score ``NONE``."""
 
     def __init__(self, queries: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray):
-        self.queries, self.own, self.k, self.bound = queries, own, k, bound.astype(float)
+        self.queries, self.own, self.k = queries, own, k
+        self.bound = np.where(np.isfinite(bound), bound, NONE).astype(np.int64)
         self.norms = np.sqrt((queries**2).sum(axis=1))
-        self.scores = np.full((len(queries), k), -np.inf)
+        self.scores = np.full((len(queries), k), NONE)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def floor(self, rows: np.ndarray) -> np.ndarray:
@@ -73,7 +104,7 @@ class Search:
 
     def upper(self, tree: Tree, node: int, rows: np.ndarray) -> np.ndarray:
         top = self.queries[rows] @ tree.centres[node] + self.norms[rows] * tree.radii[node]
-        return top + 1e-9 * np.abs(top) + 1e-6 * self.norms[rows] + 1  # above any rounding; scores are whole numbers
+        return top + 1e-9 * self.norms[rows] * tree.reach[node] + 1  # above any rounding; scores are whole numbers
 
     def visit(self, tree: Tree, node: int, rows: np.ndarray) -> None:
         rows = rows[self.upper(tree, node, rows) >= self.floor(rows)]
@@ -88,11 +119,11 @@ class Search:
                     self.visit(tree, two, mine)
             return
         b, e = tree.begin[node], tree.end[node]
-        scores = self.queries[rows] @ tree.vectors[b:e].T
-        scores[self.own[rows, None] == tree.ids[b:e]] = -np.inf
+        scores = exact_products(self.queries[rows], tree.vectors[b:e], self.norms[rows].max() * tree.longest)
+        scores[self.own[rows, None] == tree.ids[b:e]] = NONE
         scores = np.concatenate([self.scores[rows], scores], axis=1)
         ids = np.concatenate([self.ids[rows], np.broadcast_to(tree.ids[b:e], (len(rows), e - b))], axis=1)
-        keep = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        keep = np.lexsort((ids, ~scores), axis=1)[:, : self.k]
         self.scores[rows] = np.take_along_axis(scores, keep, axis=1)
         self.ids[rows] = np.take_along_axis(ids, keep, axis=1)
 
@@ -101,21 +132,19 @@ def build_shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: in
     """(shard, dims, largest, tree): ball trees of ``vectors`` (vec_id, v), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)  # one shard: at most about shard_rows rows
-        ids = np.concatenate([p.column("vec_id").to_numpy() for p in parts] or [np.zeros(0, np.int64)])
-        lists = [x for p in parts for x in p.column("v").to_pylist()]
-        by_dims: dict[int, list[int]] = {}
-        for i, x in enumerate(lists):
-            by_dims.setdefault(len(x), []).append(i)
-        for dims, rows in by_dims.items():
-            matrix = np.array([lists[i] for i in rows], float).reshape(len(rows), dims)
-            tree = pickle.dumps(Tree(matrix, ids[rows], leaf_rows))
+        parts = list(batches)  # one shard: about shard_rows rows or SHARD_CELLS components at most
+        if not parts:
+            return
+        ids = np.concatenate([p.column("vec_id").to_numpy() for p in parts])
+        for dims, (at, matrix) in by_length(pa.concat_arrays([p.column("v") for p in parts])).items():
+            tree = pickle.dumps(Tree(matrix, ids[at], leaf_rows))
             columns = [pa.array([dims], pa.int32()), pa.array([float(np.abs(matrix).max(initial=0))]), pa.array([tree], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["dims", "largest", "tree"])
 
-    n = -(-vectors.count() // shard_rows)
-    dealt = vectors.repartition(max(1, n), F.xxhash64("vec_id", "v"))
-    trees = dealt.mapInArrow(run, "dims int, largest double, tree binary")
+    rows, cells = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_rows), -(-cells // SHARD_CELLS))
+    dealt = vectors.repartition(shards, F.xxhash64("vec_id", "v"))
+    trees = dealt.mapInArrow(giving_back(run), "dims int, largest double, tree binary")
     return materialise(trees.withColumn("shard", F.monotonically_increasing_id()), "ball_trees")
 
 
@@ -125,8 +154,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
 
     A query is not matched with rows of its own vec_id.  Ties go to the smaller vec_id.  Rows with a null id or
     a null v take no part; vectors of different lengths do not match.  Repeated queries with equal id and
-    vector answer once; repeated candidates are candidates each.  Scores are exact; a corpus whose scores could
-    leave the whole numbers that doubles hold (2**53) is an error.  Empty tables give an empty result.
+    vector answer once; repeated candidates are candidates each.  Scores are exact, beyond 2**53 too; a corpus
+    whose scores could leave the longs of the result (components x largest squared from 2**63) is an error.  Further columns, of whatever names, are left out.  Empty
+    tables give an empty result.
     """
     spark = vectors.sparkSession
     valid = materialise(vectors.filter("vec_id is not null and v is not null").select("vec_id", "v"), "vectors")
@@ -134,18 +164,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     asked = materialise(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
     trees = build_shards(valid, shard_rows)
     for dims, largest in trees.groupBy("dims").agg(F.max("largest")).collect():  # a row for each length
-        if dims * largest * largest >= 2.0**53:
-            raise OverflowError(f"scores of vectors of {dims} components up to {largest} are not exact in doubles")
+        if dims * largest * largest >= 2.0**63:
+            raise OverflowError(f"scores of vectors of {dims} components up to {largest} may not fit a long")
     schema = "query long, query_id long, vec_id long, score long"
     blocks = max(1, -(-asked.count() // block_queries))
     found = None
     for block in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow()
         keys, own = rows.column("query").to_numpy(), rows.column("vec_id").to_numpy()
-        lists = rows.column("v").to_pylist()
-        sizes = np.array([len(x) for x in lists], np.int64)
-        matrices = {d: np.array([x for x in lists if len(x) == d], float).reshape((sizes == d).sum(), d) for d in set(sizes.tolist())}
-        shared = spark.sparkContext.broadcast((keys, own, sizes, matrices, k))
+        asked_by_length = by_length(rows.column("v").combine_chunks()) if rows.num_rows else {}
+        shared = spark.sparkContext.broadcast((keys, own, asked_by_length, k))
         first = _searched(trees.filter("shard = 0"), shared, None, schema)
         kth = Window.partitionBy("query").orderBy(F.desc("score"))
         lower = materialise(first, "first_shard")
@@ -161,20 +189,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
 
 def _searched(trees: DataFrame, shared, bound, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own, sizes, matrices, k = shared.value
+        keys, own, asked_by_length, k = shared.value
         lower = bound.value if bound else {}
-        floor = np.array([lower.get(q, -np.inf) for q in keys.tolist()], float)
+        floor = np.array([lower.get(q, NONE) for q in keys.tolist()], np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                tree: Tree = pickle.loads(batch.column("tree")[i].as_py())
-                mine = np.flatnonzero(sizes == batch.column("dims")[i].as_py())
-                if not len(mine) or not len(tree.ids):
+                mine, asked = asked_by_length.get(batch.column("dims")[i].as_py(), ((), None))
+                if not len(mine):
                     continue
-                search = Search(matrices[int(sizes[mine[0]])], own[mine], k, floor[mine])
+                tree: Tree = pickle.loads(batch.column("tree")[i].as_buffer())
+                search = Search(asked, own[mine], k, floor[mine])
                 search.visit(tree, 0, np.arange(len(mine)))
                 floor[mine] = search.floor(np.arange(len(mine)))  # the next shard of this task starts from it
-                query, place = np.nonzero(np.isfinite(search.scores) & (search.scores >= search.bound[:, None]))
-                arrays = [keys[mine][query], own[mine][query], search.ids[query, place], search.scores[query, place].astype(np.int64)]
+                query, place = np.nonzero((search.scores != NONE) & (search.scores >= search.bound[:, None]))
+                arrays = [keys[mine][query], own[mine][query], search.ids[query, place], search.scores[query, place]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query", "query_id", "vec_id", "score"])
 
-    return trees.select("dims", "tree").mapInArrow(run, schema)
+    return trees.select("dims", "tree").mapInArrow(giving_back(run), schema)

@@ -51,6 +51,38 @@ def test_few_rows_empty_tables_and_overflow(spark):
         run(spark, [(0, [1e30]), (1, [1e30])], 1, 1)
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    """Products of up to 2**62, which doubles round, and which cancel."""
+    r = np.random.default_rng(9)
+    wide = as_float([(i, r.integers(-(2**20), 2**20, 6) * 0.75) for i in range(300)])
+    assert max(abs(s) for *_, s in whole_brute(wide, 5, 10)) > 2**53
+    assert run(spark, wide, 5, 10, shard_rows=60) == whole_brute(wide, 5, 10)
+    far = as_float([(i, [2.0**19, -(2.0**19) + i % 5, i / 1024]) for i in range(200)] + [(i, [2.0**19, 2.0**19, i / 1024]) for i in range(200, 400)])
+    assert run(spark, far, 300, 100, shard_rows=60) == whole_brute(far, 300, 100)
+
+
+def whole_brute(rows, k, divisor):
+    """``brute`` in Python's integers; doubles round such scores."""
+    good = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows]
+    out = []
+    for q, v in good:
+        if q % divisor == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def as_float(rows):
+    """Vectors as the table of floats holds them."""
+    return [(i, [float(x) for x in np.array(v, np.float32)]) for i, v in rows]
+
+
+def test_wide_vectors_are_split_by_components(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "SHARD_CELLS", 5000)
+    rows = vectors(200, 128, 4)
+    assert run(spark, rows, 3, 20) == brute(rows, 3, 20)
+
+
 def test_bounds_prune_but_never_a_winner():
     rows = vectors(4000, 6, 3, 40)
     x = np.floor(np.array([v for _, v in rows]) * 1024)
