@@ -37,6 +37,19 @@ NO_WORD = frozenset(
     "newsletter subscribe subscription signup login popup modal share sharing social related comment comments disqus "
     "replies masthead toolbar widget pagination pager".split()
 )
+#: Words that say where or how an element stands, not what it is about.  A class or id of several words marks an element
+#: only if all its other words are among these; "site-header" does, "social-history" does not.
+PLACE_WORD = frozenset(
+    "site page main global local primary secondary tertiary top bottom left right center middle upper lower inner outer "
+    "inside sticky fixed floating mobile desktop small large mini full wide list lists item items link links box boxes wrap wrapper "
+    "container content block blocks bar bars area region section row col column columns grid group panel pane card cards slot "
+    "unit units zone position placement layer overlay backdrop window body head title heading label text icon icons image "
+    "button buttons btn toggle input field form message msg alert info thread tree entry entries post posts article articles "
+    "story stories blog news user users reader readers visitor member author web home index default custom dynamic auto js "
+    "hidden visible open closed active first last new old more next prev previous count counter tools tool tags tag categories "
+    "archive archives recent popular latest recommended reading also like likes follow media email mail phone legal policy privacy "
+    "copyright terms accept settings preferences search login logout sign register account topic topics the and for with".split()
+)
 #: Elements and roles that the rules drop whatever they hold.
 NEVER_TEXT = NO_TEXT - frozenset("form header dialog".split())
 NEVER_ROLE = frozenset("navigation contentinfo complementary menu menubar toolbar".split())
@@ -62,6 +75,17 @@ _MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def marking_words(names: str) -> Iterator[str]:
+    """The words of those class or id names that say an element is no article text."""
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        whole = "".join(words)
+        if whole in NO_WORD:
+            yield whole
+        elif NO_WORD.intersection(words) and all(w in NO_WORD or w in PLACE_WORD or len(w) <= 2 for w in words):
+            yield from words
+
+
 class Node:
     """An element: children are nodes and strings."""
 
@@ -73,7 +97,7 @@ class Node:
         if attributes and not attributes.isspace():
             marks = {k.lower(): v.strip("\"'") for k, v in _MARK.findall(attributes)}
             self.role = marks.get("role", "").lower()
-            self.words = frozenset(w.lower() for k in ("class", "id") for w in _WORD.findall(marks.get(k, "")))
+            self.words = frozenset(w for k in ("class", "id") for w in marking_words(marks.get(k, "")))
         self.dropped = self._no_text()
 
     def _no_text(self) -> bool:

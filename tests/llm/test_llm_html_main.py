@@ -48,6 +48,20 @@ def test_wrappers_of_the_main_part_stay(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='comments-enabled page'><article><p>x</p></article></div>", "x"),
+        ("<article><p>x</p><div class='social-history'>y</div><p class='notice-of-war'>z</p></article>", "x\n\ny\n\nz"),
+        ("<article><p>x</p><section id='menu-recipe'>y</section></article>", "x\n\ny"),
+        ("<article><p>x</p><div class='site-footer'>y</div><div id='topNavBar'>z</div><div class='ad-300x250'>a</div></article>", "x"),
+        ("<article><p>x</p><div class='share-buttons'>y</div><div class='related-posts'>z</div><div id='user_comments'>a</div></article>", "x"),
+    ],
+)
+def test_one_word_of_a_compound_name_does_not_decide(page, text):
+    assert main_text(page) == text
+
+
 def test_deep_and_long_pages():
     deep = "top" + "<div>" * 20_000 + "x" + "<b>" * 20_000
     assert main_text(deep) == "top\n\nx"
