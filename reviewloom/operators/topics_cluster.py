@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.frames import computed_once
+from reviewloom.operators.cluster_tree import contracted, joined_levels, stable_clusters
 from reviewloom.operators.graph import components, spanning_forest
 from reviewloom.operators.sketched_svd import principal_axes, project
 from reviewloom.operators.tokens import term_frequencies
@@ -153,6 +154,32 @@ def density_clusters(vectors: DataFrame, eps: float, min_pts: int, min_size: int
     return members.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
+def hierarchical_clusters(vectors: DataFrame, min_pts: int, min_size: int) -> DataFrame:
+    """``row_ix, cluster_id`` for ``row_ix, vec`` (array): clusters of differing density, outliers -1.
+
+    The most stable clusters of the density hierarchy (``cluster_tree``) of vectors scaled to length 1, over all rows;
+    copies count with their number.  Parts that are joined at equal distances are joined at once.  Clusters are
+    numbered by size, then by smallest row.  Zero vectors and vectors with a null or non-finite component are outliers,
+    as are all rows where nothing falls into two parts of ``min_size`` (at least 2) rows.
+    """
+    if min_pts < 1 or min_size < 2:
+        raise ValueError("min_pts must be 1 or more and min_size 2 or more")
+    keyed = _directions(vectors)
+    distinct = keyed.filter("unit is not null").groupBy("unit", "h1", "h2").agg(F.min("row_ix").alias("id"), F.count("*").alias("n"))
+    distinct = materialise(distinct, "directions")
+    n_points = distinct.count()
+    if not n_points:
+        return vectors.select("row_ix", F.lit(-1).cast("long").alias("cluster_id"))
+    rows, links = joined_levels(distinct.select("id", "n", "unit"), n_points, min_pts, min_size)
+    found = materialise(stable_clusters(*contracted(rows, links, min_size), min_size), "stable")
+    sizes = found.groupBy("chosen").agg(F.sum("n").alias("size"), F.min("id").alias("first"))
+    by_size = Window.orderBy(F.desc("size"), F.asc("first"))  # one row per cluster
+    ids = sizes.select("chosen", (F.row_number().over(by_size) - 1).cast("long").alias("cluster_id"))
+    named = found.join(ids, "chosen").join(distinct.select("id", "h1", "h2"), "id").select("h1", "h2", "cluster_id")
+    members = keyed.select("row_ix", "h1", "h2").join(materialise(named, "named"), ["h1", "h2"], "left")
+    return members.select("row_ix", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
+
+
 # --- description -----------------------------------------------------------------------
 
 

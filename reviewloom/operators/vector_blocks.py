@@ -196,16 +196,18 @@ def asked_cells(index: BlockIndex, eps: float) -> DataFrame:
     return index.blocks.select("home", "centre", "radius").mapInArrow(run, "want long, cell long").distinct()
 
 
-def over_reach(index: BlockIndex, eps: float, schema: str, begin: Callable, meet: Callable, end: Callable, extra: DataFrame | None = None, needed: str = "true") -> DataFrame:
+def over_reach(index: BlockIndex, eps: float, schema: str, begin: Callable, meet: Callable, end: Callable, extra: DataFrame | None = None, needed: str = "true", wanted: DataFrame | None = None) -> DataFrame:
     """Every group of vectors against all vectors of blocks within ``eps`` of it.
 
     ``begin(own)`` makes a group's state from its ``Rows``, ``meet(state, at, strip, others)`` takes rows at: of it with
     others in reach, and ``end(state, own)`` gives the group's record batch.  ``extra`` adds columns to blocks by
-    ``block``; ``needed`` is the condition on blocks that are no group's own.
+    ``block``; ``needed`` is the condition on blocks that are no group's own; ``wanted`` (want) names the groups, else all.
     """
     payload = index.blocks.drop("near", "far")
     payload = payload if extra is None else payload.join(extra, "block")
-    shipped = asked_cells(index, eps).join(payload, "cell").filter(F.expr(f"home = want or ({needed})"))
+    asked = asked_cells(index, eps)
+    asked = asked if wanted is None else asked.join(wanted, "want", "left_semi")
+    shipped = asked.join(payload, "cell").filter(F.expr(f"home = want or ({needed})"))
     shipped = shipped.drop("cell").withColumn("away", F.col("home") != F.col("want"))
     shipped = shipped.repartition("want").sortWithinPartitions("want", "away", "block")
 
