@@ -547,6 +547,8 @@ FINALS = {
         FROM sample LEFT JOIN (SELECT * FROM weights JOIN whole USING (term)) USING (row_ix) GROUP BY row_ix""",
     "density_clusters": """SELECT vec_id AS row_ix, coalesce(cluster_id, -1)::BIGINT AS cluster_id
         FROM embeddings e LEFT JOIN planted_ids p ON p.label = e.label AND e.vec_id % 10 <> 0""",
+    "hierarchical_clusters": """SELECT vec_id AS row_ix, coalesce(cluster_id, -1)::BIGINT AS cluster_id
+        FROM embeddings e LEFT JOIN planted_ids p ON p.label = e.label AND e.vec_id % 10 <> 0""",
     "ctfidf_terms": f"SELECT topic_id, topic_label, rank, term, {r6('weight')} FROM gt_terms",
     "topic_info": """WITH terms AS (SELECT row_ix, cluster_id AS topic_id, term, tf FROM tf JOIN given USING (row_ix)),
         cosines AS (SELECT row_ix, topic_id, sum(tf * idf * weight) / (sqrt(sum((tf * idf) ** 2)) *

@@ -569,6 +569,24 @@ def density_clusters(spark, sf_dir):
     return tc.density_clusters(vectors, eps=0.6, min_pts=5, min_size=10)
 
 
+@query
+def hierarchical_clusters(spark, sf_dir):
+    """On vectors with planted pairs of clusters, each of another density: 0.05 to 0.23 * unit embedding, plus 1 in the
+    dimension of the pair and 0.5 in that of the cluster, except every tenth row, which stays as it is."""
+    configure(spark)
+    table = fx.table(spark, sf_dir, "embeddings")
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(F.col("e"), F.lit(0.0), lambda acc, x: acc + x * x))
+
+    def planted(x, i):
+        pair = F.when(i == F.floor(F.col("label") / 2), 1.0).otherwise(0.0)
+        return (0.05 + 0.02 * F.col("label")) * x / F.col("len") + pair + F.when(i == 10 + F.col("label") % 2, 0.5).otherwise(0.0)
+
+    vec = F.when(F.col("vec_id") % 10 == 0, F.col("e")).otherwise(F.transform("e", planted))
+    vectors = table.withColumn("e", e).withColumn("len", length).select(F.col("vec_id").alias("row_ix"), vec.alias("vec"))
+    return tc.hierarchical_clusters(vectors, min_pts=5, min_size=10)
+
+
 @query
 def ctfidf_terms(spark, sf_dir):
     return rounded(study(spark, sf_dir).given_terms.select("topic_id", "topic_label", "rank", "term", "weight"))

@@ -15,6 +15,7 @@ their cluster by joins with its table of ancestors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,12 +78,13 @@ def _lowest(w: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.nd
 
 
 def first_reach(points: DataFrame) -> float:
-    """A reach to begin with, under most distances of nearest rows in a sample; it decides the work, not the result."""
+    """A reach to begin with, under most distances of nearest rows in a sample; it sets the number of passes and not the
+    result."""
     some = points.select(F.xxhash64("unit").alias("h"), "id", "unit").orderBy("h", "id").limit(SAMPLE_ROWS)
     unit = matrix(some.select("unit").toArrow().combine_chunks().column("unit").chunk(0))
     gap = gaps(unit, unit)
     np.fill_diagonal(gap, MOST)
-    return float(np.clip(np.quantile(gap.min(axis=1), 0.05) / 2, 1e-3, 0.5))
+    return float(np.clip(np.quantile(gap.min(axis=1), 0.25), 1e-3, 0.5))
 
 
 def joined_levels(points: DataFrame, n_points: int, min_pts: int, min_size: int) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +117,8 @@ def joined_levels(points: DataFrame, n_points: int, min_pts: int, min_size: int)
         state = materialise(state, "rows")
         new = materialise(_links(index, reach, state), "links")
         links = new if links is None else links.unionByName(new)
-        roots = components(new.select("a", "b"), "parts")
+        # stars first, so that long ways within a task take no rounds
+        roots = components(new.select("a", "b").mapInArrow(_stars_of_task, "a long, b long"), "parts")
         state = state.join(roots, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("root", "part")).drop("node", "root")
         state = materialise(state, "rows")
         largest = state.groupBy("part").agg(F.sum("n").alias("size")).agg(F.max("size")).first()[0]
@@ -234,6 +237,13 @@ def _forest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest], ["a", "b", "w"])
 
 
+def _stars_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = (np.zeros(0, np.int64),) * 2
+    for batch in batches:
+        links = spanning_forest(*(np.append(old, batch.column(i).to_numpy()) for i, old in enumerate(links)))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in links], ["a", "b"])
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The clusters over the parts (a = b, w: where they have the least size) and their links, with their ancestors at
     steps of 1, 2, 4, ... and the weight up to which a row stays below these."""
@@ -323,7 +333,8 @@ def stable_clusters(rows: DataFrame, links: DataFrame, min_size: int) -> DataFra
     first = first.withColumn("size", F.sum("n").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)))
     leaves = first.filter(F.col("size") >= min_size).groupBy("part").agg(F.min("w").alias("w"))
     forest = links
-    for tasks in (64, 8, 1):  # at most a row for each part, and parts have min_size rows
+    tasks = links.sparkSession.sparkContext.defaultParallelism
+    for tasks in (tasks, math.isqrt(tasks), 1):  # at most a row for each part, and parts have min_size rows
         forest = forest.repartition(tasks).mapInArrow(_forest_of_task, _EDGE)
     nodes = leaves.select(F.col("part").alias("a"), F.col("part").alias("b"), "w")
     tree = nodes.unionByName(forest).repartition(1).mapInArrow(

@@ -241,6 +241,7 @@ class Params:
     max_df: float = 0.85
     embedding_dim: int = 100
     min_topic_size: int = 75
+    cluster_method: str = "reach"  # one reach, eps; or "hierarchy", clusters of differing density
     eps: float = 0.6
     min_pts: int = 5
     frequent_words: int = 50_000  # looked up by broadcast, some 3 MB; other words by a join

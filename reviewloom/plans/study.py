@@ -100,7 +100,12 @@ class Study:
     @cached_property
     def clusters(self) -> DataFrame:
         p = self.params
-        found = tc.density_clusters(self.vectors, p.eps, p.min_pts, p.min_topic_size)
+        if p.cluster_method == "hierarchy":
+            found = tc.hierarchical_clusters(self.vectors, p.min_pts, p.min_topic_size)
+        elif p.cluster_method == "reach":
+            found = tc.density_clusters(self.vectors, p.eps, p.min_pts, p.min_topic_size)
+        else:
+            raise ValueError(f"cluster_method is reach or hierarchy, not {p.cluster_method}")
         return materialise(found, "clusters")
 
     @cached_property
