@@ -79,6 +79,23 @@ def test_large_vocabulary_is_split(spark):
     assert "LeftAnti" in text and "Join" in text
 
 
+def test_frequent_tokens_are_not_exploded(spark):
+    """Only the way of rare words has a row per token; that of all tokens keeps one row per review."""
+    text = plan(tk.token_array(study(spark, SF_DIR).sample, fx.PARAMS))
+    assert text.count("Generate posexplode") == 1 and "posexplode_outer" not in text
+
+
+def test_coherence_sorts_no_occurrences(spark):
+    s = study(spark, SF_DIR)
+    text = plan(co.window_counts(s.tokens, co.word_sets(s.given_terms), 110))
+    assert "Window" not in text and "Join" not in text
+
+
+def test_given_topics_are_not_written_again(spark):
+    s = study(spark, SF_DIR)
+    assert s.given.inputFiles() == s.scored.inputFiles()
+
+
 def test_term_counts_need_no_shuffle(spark):
     tokens = study(spark, SF_DIR).tokens
     assert exchanges(tk.term_frequencies(tokens)) == 0

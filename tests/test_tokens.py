@@ -57,6 +57,15 @@ def test_token_array_keeps_order_repeats_and_empty_rows(spark):
     assert got[3] == ["didn", "repli"]
 
 
+def test_token_array_joins_rows_of_one_number(spark):
+    rows = [(1, "late parcel"), (2, "rude staff rude"), (1, "parcel lost again"), (3, ""), (None, "lost")]
+    df = spark.createDataFrame(rows, "row_ix long, review_full_text string").repartition(3)
+    for frequent in (1, 3, 50_000):
+        params = Params(stopwords=["again"], custom_stopwords=[], stem_map={}, frequent_words=frequent)
+        got = {r.row_ix: r.tokens for r in tk.token_array(df, params).collect()}
+        assert got == {1: ["late", "parcel", "lost", "parcel"], 2: ["rude", "staff", "rude"], 3: [], None: ["lost"] if frequent > 3 else got[None]}
+
+
 def corpus(spark, n=60):
     rng = np.random.default_rng(5)
     words = [f"w{chr(97 + i)}x" for i in range(12)]

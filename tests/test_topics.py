@@ -277,6 +277,26 @@ def test_coherence_matches_listed_windows(spark, window):
     assert lists == dict(enumerate(topics))
 
 
+def test_window_starts_of_rows_cut_into_batches_and_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(co, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    docs = {i: [str(w) for w in rng.choice(list("abcdefgh"), rng.integers(0, 40))] for i in range(30)}
+    rows = [(i, d, ["x", "y"] if i % 2 else ["x"]) for i, d in docs.items()]
+    tokens = spark.createDataFrame(rows + rows[::4], "row_ix long, tokens array<string>, models array<string>")
+    sets = [(m, a, b, t) for m, a, b in [("x", "a", "a"), ("x", "a", "c"), ("y", "a", "c"), ("y", "f", "g")] for t in {a, b}]
+    sets = spark.createDataFrame(sets, "model string, a string, b string, term string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.model, r.a, r.b): r.n for r in co.model_window_counts(tokens, sets, 6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for model, a, b in got:
+        mine = [d for i, d in docs.items() if d and (model == "x" or i % 2)]
+        want[model, a, b] = sum(bool({a, b} & set(d[i : i + 6])) for d in mine for i in range(max(1, len(d) - 5)))
+    assert len(got) == 4 and got == want
+
+
 # --- labels and reports ----------------------------------------------------------------
 
 
