@@ -6,8 +6,9 @@ sample (``sample_rows``), one task a tree, and then every vector is put into one
 
 A query walks all trees through one queue, ordered by the sum of squared margins by which it lies on the other
 side of a leaf's splits, until the leaves it has taken hold ``budget`` rows.  The budget is measured, not guessed:
-for ``tuning_queries`` rows the true neighbours are found by brute force, and the budget is the queue length within
-which the share ``recall`` of them is met.  Where all vectors are far apart it is a large part of the rows, as for
+for ``tuning_queries`` vectors, and for each that a large part of the queries share, the true neighbours are found by
+brute force, and the budget is the queue length within which the share ``recall`` of them is met, counted in rows: copies
+of a query and of a neighbour count as often as they occur.  Where all vectors are far apart it is a large part of the rows, as for
 any index of such vectors.
 
 Leaves meet their queries in a join by leaf.  Both sides of a leaf are dealt out in tiles of bounded size, so neither
@@ -194,39 +195,46 @@ def _products(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (matrix * query).sum(axis=1)
 
 
-def _brute(distinct: DataFrame, queries: list, k: int, dims: int) -> list[list[np.ndarray]]:
-    """For each of a few query vectors the vectors of its k nearest rows, its own direction left out."""
+def _brute(distinct: DataFrame, queries: list, k: int, dims: int) -> list[list[tuple[np.ndarray, int]]]:
+    """For each of a few query vectors its ``k`` nearest rows, one of its own left out: (vector, rows with it), nearest
+    first and ties by the smallest id, as in the result."""
     asked = np.array(queries, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in asked]
         for batch in batches:
-            for _, matrix in _by_length(batch) if batch.num_rows else ():
+            for rows, matrix in _by_length(batch) if batch.num_rows else ():
                 if matrix.shape[1] != dims:
                     continue
-                for q, row in enumerate(asked @ matrix.T):
-                    near = np.argpartition(-row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-                    merged = best[q] + [(float(row[i]), matrix[i].tolist()) for i in near.tolist()]
-                    best[q] = sorted(merged, key=lambda p: -p[0])[: k + 1]
-        rows = [(q, s, v) for q, found in enumerate(best) for s, v in found]
-        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["q", "score", "near"])
-
-    found = distinct.select("v").mapInArrow(run, "q int, score double, near array<double>")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "near")
+                ids = batch.column("ids").take(pa.array(rows)).to_pylist()
+                for q, rough in enumerate(asked @ matrix.T):
+                    edge = np.partition(rough, -k - 1)[-k - 1] if len(rough) > k + 1 else -np.inf
+                    near = np.flatnonzero(rough >= edge - 1e-9 * (1 + abs(edge)))
+                    scores = _products(matrix[near], asked[q]).tolist()
+                    merged = best[q] + [(-s, ids[i][0], len(ids[i]), matrix[i]) for s, i in zip(scores, near.tolist(), strict=True)]
+                    best[q] = sorted(merged, key=lambda p: p[:2])[: k + 1]
+        found = [(q, -s, first, n, v.tolist()) for q, mine in enumerate(best) for s, first, n, v in mine]
+        kinds = {"q": pa.int32(), "score": pa.float64(), "first": pa.int64(), "n": pa.int32(), "near": pa.list_(pa.float64())}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    found = distinct.select("v", "ids").mapInArrow(run, "q int, score double, first long, n int, near array<double>")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     found = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
-    out: list[list[np.ndarray]] = [[] for _ in queries]
+    out: list[list[tuple[np.ndarray, int]]] = [[] for _ in queries]
     for row in found.orderBy("q", "nth").collect():  # tuning queries times k + 1
         near = np.array(row.near)
-        if not np.array_equal(near, asked[row.q]) and len(out[row.q]) < k:
-            out[row.q].append(near)
+        left = k - sum(n for _, n in out[row.q])
+        n = min(row.n - np.array_equal(near, asked[row.q]), left)
+        if n > 0:
+            out[row.q].append((near, n))
     return out
 
 
-def tuned_budget(forest: Forest, queries: list, nearest: list[list[np.ndarray]], recall: float) -> int:
-    """Rows that the queue must give for the share ``recall`` of true neighbours to be among them."""
+def tuned_budget(forest: Forest, queries: list, nearest: list[list[np.ndarray]], recall: float, weights: list[list[float]] | None = None) -> int:
+    """Rows that the queue must give for the share ``recall`` of true neighbours to be among them; a neighbour counts
+    with its weight, 1 if there are none."""
     met = []
-    for query, true in zip(queries, nearest, strict=True):
+    for q, (query, true) in enumerate(zip(queries, nearest, strict=True)):
         if true:
             wanted = {}
             for i, cells in enumerate(forest.cells(np.array(true)).tolist()):
@@ -238,11 +246,32 @@ def tuned_budget(forest: Forest, queries: list, nearest: list[list[np.ndarray]],
                 for i in wanted.get(cell, ()):
                     if i in left:
                         left.discard(i)
-                        met.append(seen)
+                        met.append((seen, weights[q][i] if weights else 1.0))
                 if not left:
                     break
+    if not met:
+        return 1
     met.sort()
-    return met[min(len(met) - 1, int(np.ceil(recall * len(met))))] if met else 1
+    share = np.cumsum([weight for _, weight in met])
+    return met[min(len(met) - 1, int(np.searchsorted(share, recall * share[-1], "right")))][0]
+
+
+def _measured(asked: DataFrame, distinct: DataFrame, forest: Forest, k: int, dims: int, recall: float, tuning_queries: int) -> int:
+    """The budget for the query rows of one length.  A vector that many of them share counts with their number and is
+    always measured; of the others ``tuning_queries`` stand for the rest, chosen by another hash than the trees' sample."""
+    asked = asked.filter(F.size("v") == dims).select("v", "copies")
+    total = asked.agg(F.sum("copies")).first()[0]
+    if not total:
+        return 0
+    many = F.col("copies") * tuning_queries > total
+    hot = asked.filter(many).collect()  # fewer than tuning_queries
+    some = asked.filter(~many).orderBy(F.xxhash64(F.lit(1), "v"), "v").limit(tuning_queries).collect()
+    each = (total - sum(r.copies for r in hot)) / max(1, sum(r.copies for r in some))
+    counts = [float(r.copies) for r in hot] + [r.copies * each for r in some]
+    queries = [r.v for r in hot + some]
+    near = _brute(distinct, queries, k, dims)
+    weights = [[n * count for _, n in found] for found, count in zip(near, counts, strict=True)]
+    return tuned_budget(forest, queries, [[v for v, _ in found] for found in near], recall, weights)
 
 
 def nearest(
@@ -280,9 +309,7 @@ def nearest(
             tree.counts = np.array([in_cell.get(at + i, 0) for i in range(n)], np.int64)
             at += n
     for d, forest in forests.items():
-        some = asked.filter(F.size("v") == d).orderBy(F.xxhash64("v"), "v").select("v").limit(tuning_queries).collect()
-        if some:
-            forest.budget = tuned_budget(forest, [r.v for r in some], _brute(distinct, [r.v for r in some], k, d), recall)
+        forest.budget = _measured(asked, distinct, forest, k, d, recall, tuning_queries)
     shared = spark.sparkContext.broadcast(forests)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +335,10 @@ def nearest(
     tiles = [(r["cell"], -(-in_cell.get(r["cell"], 0) // tile_rows), -(-r["count"] // tile_rows)) for r in tiles]
     tiles = F.broadcast(spark.createDataFrame(tiles, "cell long, members int, askers int"))  # a row a leaf: bounded by the sample
     members = _placed(distinct.select("v", "ids"), shared, "v", "ids").join(tiles, "cell")
-    members = members.select("cell", F.pmod(F.xxhash64("v"), "members").alias("i"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("j"), "v", "ids")
+    # both sides number their tiles as int: hashes of int and long differ, and equal tiles would lie in different partitions
+    members = members.select("cell", F.pmod(F.xxhash64("v"), "members").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("j"), "v", "ids")
     askers = visits.join(tiles, "cell")
-    askers = askers.select("cell", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("i"), F.pmod(F.xxhash64("query"), "askers").alias("j"), "query", "v")
+    askers = askers.select("cell", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("i"), F.pmod(F.xxhash64("query"), "askers").cast("int").alias("j"), "query", "v")
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]

@@ -82,6 +82,17 @@ def test_a_third_of_all_rows_is_one_vector(spark):
     assert copies == [5000, 5001, 5002, 5003, 5004][: len(copies)]
 
 
+def test_a_third_of_all_queries_is_one_vector_that_is_hard_to_answer(spark):
+    """The others lie in narrow clusters and need few rows each."""
+    r = np.random.default_rng(0)
+    x = (3 * r.normal(size=(50, 48)))[r.integers(0, 50, 6000)] + 0.1 * r.normal(size=(6000, 48))
+    hot = 0.05 * r.normal(size=48)
+    rows = [(i, [float(c) for c in (hot if i % 3 == 0 else v)]) for i, v in enumerate(x.astype(np.float32).astype(float))]
+    asked = [row for row in rows if row[0] % 20 == 0]
+    got, want = run(spark, rows, 20, 20, kind="double", leaf_rows=64, tile_rows=400), brute(rows, asked, 20)
+    assert recall(got, want) >= 0.9
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(projection_forest, "COPIES_AT_ONCE", 3)
     rows = [(i, [float(i % 4), 1.0]) for i in range(50)] + [(3, [3.0, 1.0]), (7, [0.5, 0.5])]
