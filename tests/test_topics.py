@@ -220,6 +220,21 @@ def test_lda_reads_every_row_in_a_pass(spark):
     assert (model.topics.sum(axis=0) > 6 * (1 / 6) + 0.5).all()  # each private term has the mass of its one row
 
 
+def test_lda_updates_rows_in_blocks_of_few_counts():
+    sizes = [400] * 300 + [0] * 5 + [tl.BLOCK + 1, 3, 0]
+    indices = pa.array([list(range(n)) for n in sizes], pa.list_(pa.int32()))
+    values = pa.array([[float(i + 1)] * n for i, n in enumerate(sizes)], pa.list_(pa.float64()))
+    column = pa.StructArray.from_arrays([indices, values], names=["indices", "values"])[1:]
+    blocks = list(tl._runs(column))
+    assert [b[0] for b in blocks] == [0, *(b[1] for b in blocks[:-1])] and blocks[-1][1] == len(column)
+    assert all(len(n) * 8 * 6 < 2_000_000 or stop == start + 1 for start, stop, _, _, n in blocks)
+    assert [x for _, _, _, _, n in blocks for x in n] == [float(i + 1) for i, n in enumerate(sizes) if i for _ in range(n)]
+    beta = np.random.default_rng(1).random((3, tl.BLOCK + 1))
+    whole = [tl.row_topics(bounds, term, n, beta, 1 / 3) for _, _, bounds, term, n in blocks]
+    alone = [tl.row_topics(np.array([0, m]), np.arange(m), np.full(m, float(i + 1)), beta, 1 / 3) for i, m in enumerate(sizes) if i]
+    np.testing.assert_array_equal(np.concatenate(whole), np.concatenate(alone))
+
+
 def test_digamma():
     from math import lgamma
 
