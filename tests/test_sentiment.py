@@ -2,7 +2,10 @@ import math
 import random
 import re
 
-from reviewloom.functions.sentiment import sentiment_scores
+import numpy as np
+import pyarrow as pa
+
+from reviewloom.functions.sentiment import sentiment_scores, valence_sums
 
 LEX = {"good": 1.9, "bad": -2.5, "Great": 3.1, "very": 0.2}
 NEG = ["not", "never"]
@@ -61,6 +64,28 @@ def test_rules_against_plain_python(spark):
     assert exact >= len(texts) - 3  # decimal ties may round the other way
 
 
+def test_words_are_not_listed_in_rows(spark):
+    df = spark.createDataFrame([("good",)], "t string")
+    scored = sentiment_scores(df, "t", LEX, NEG, BOOST)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
+
+
+def test_sums_of_a_part_of_a_batch_are_those_of_plain_python():
+    rng = random.Random(5)
+    vocabulary = ["good", "BAD", "Great", "not", "very", "really", "but", "x", "it's", "'", "é", "GOODé", "日本", ""]
+    texts = ["good", *(rng.choice(["", " ", "1", "é "]).join(rng.choice(vocabulary) for _ in range(rng.randrange(20))) for _ in range(500)), None, ""]
+    lexicon = {k.lower(): v for k, v in LEX.items()}
+    boosters = {k: v for k, v in BOOST.items() if k not in lexicon}
+    listed = sorted({*lexicon, *boosters, *NEG, "but"})
+    tables = [np.array([float(t.get(w, 0)) for w in listed]) for t in (lexicon, boosters)]
+    batch = pa.array(texts, pa.string())[1:]
+    sums = valence_sums(batch, pa.array(listed), *tables, np.isin(listed, NEG), listed.index("but")).to_pylist()
+    for text, got in zip(texts[1:], sums, strict=True):  # without marks nothing is added to the sum
+        assert got["n"] == len(re.findall("[A-Za-z']+", text or ""))
+        assert abs(round(got["s"] / math.sqrt(got["s"] ** 2 + 15), 4) - score(text)[3]) < 1.1e-4
+
+
 def test_hand_values(spark):
     df = spark.createDataFrame([("good",), ("not good",), ("GOOD but bad day",), ("",)], "t string")
     got = [r.compound for r in sentiment_scores(df, "t", {"good": 1.9, "bad": -2.5}, ["not"], {}).collect()]

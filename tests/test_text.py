@@ -33,6 +33,23 @@ def test_whitespace(spark):
     assert got == ["a b c x", "a b", "", "a b"]
 
 
+def test_whitespace_of_every_kind(spark):
+    kinds = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert {*kinds} == {*tx.WHITESPACE_NARROW, *tx.WHITESPACE_WIDE, " "}
+    texts = [f"a{k}{more}b c" for k in kinds for more in ("", " ", "\t", "\u2003")] + ["a b c", "a  b", " a", "a\u200bb", None]
+    assert run(spark, tx.clean_whitespace, texts) == [" ".join(t.split()) if t else t for t in texts]
+
+
+def test_plain_texts_are_spared_the_costly_patterns(spark):
+    df = spark.createDataFrame([("plain words",)], "t string")
+
+    def plan(step):
+        return df.select(step(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()
+
+    assert "contains(" in plan(tx.clean_whitespace) and "rlike" not in plan(tx.clean_whitespace)
+    assert "rlike" in plan(tx.redact_phone)
+
+
 def test_redaction_hand_cases(spark):
     got = run(
         spark,
