@@ -1,16 +1,18 @@
 """The plans are the ones meant: no Python per row, no all-pairs joins, no needless shuffles."""
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from registry import fixture as fx
-from registry.spark_queries import QUERIES, study
+from registry.spark_queries import QUERIES, FixtureStudy, study
 from reviewloom.functions.sentiment import sentiment_scores
 from reviewloom.operators import coherence as co
 from reviewloom.operators import prepare as pr
 from reviewloom.operators import tokens as tk
+from reviewloom.session import materialise, materialise_stage, shared_folder
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -136,3 +138,27 @@ def test_top_terms_do_not_shuffle_tokens(spark):
     text = plan(QUERIES["top_terms"](spark, SF_DIR))
     assert "SortMergeJoin" not in text and "partial_min" in text and "Exchange hashpartitioning(brand" in text
     assert "Exchange" not in text[text.index("posexplode"):].replace("BroadcastExchange", "")
+
+
+def test_tables_on_the_way_to_a_stage_are_deleted(spark):
+    def tables():
+        return {f"{folder}/{name}" for folder, names, _ in os.walk(shared_folder(spark)) for name in names}
+
+    before, s = tables(), FixtureStudy(fx.reviews(spark, SF_DIR), fx.PARAMS)
+    rows = s.tokens.count(), s.clusters.count()
+    left = {path.rsplit("/", 1)[1] for path in tables() - before}
+    assert {"scored", "tokens", "counts", "vectors", "clusters"} <= left
+    assert not left & {"cleaned", "later_copies", "raw_tokens", "vocabulary", "directions", "blocks", "marks", "links_and_nearest", "named"}
+    assert rows == (s.scored.count(), s.scored.count())
+    assert {"review_full_text"} == set(s.scored.columns) - set(spark.read.parquet(next(p for p in tables() - before if p.endswith("/scored"))).columns)
+    # what was written before, or outside, stays
+    outer = materialise(spark.range(3).toDF("a"), "outer")
+    done = materialise_stage(lambda: materialise(outer, "inner").join(outer, "a"), "done")
+    assert done.count() == outer.count() == 3 and s.tokens.count() == rows[0]
+
+
+def test_shuffle_files_are_deleted_with_their_query(spark):
+    df = spark.range(1000).repartition(5)
+    first = df.collect()
+    assert sorted(first) == sorted(df.collect())  # run again, though its files are gone
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"

@@ -408,3 +408,20 @@ def test_every_vector_in_reach_is_shipped(spark):
         unit = points / np.linalg.norm(points, axis=1)[:, None]
         gaps = np.sqrt(((unit[:, None] - unit) ** 2).sum(axis=2))
         assert [met[i] for i in range(len(points))] == (gaps <= eps).sum(axis=1).tolist()
+
+
+def test_vectors_of_other_groups_are_read_and_not_shuffled(spark):
+    """Where all vectors are in reach of each other, every group meets them all, and no exchange holds copies of them."""
+    points = np.random.default_rng(5).normal(size=(700, 8))
+    rows = tc._directions(vectors(spark, points)).select(F.col("row_ix").alias("id"), F.lit(1).cast("long").alias("n"), "unit")
+    index = vb.build_index(rows, len(points), 64, 2.0, group_rows=100)
+    extra = index.blocks.select("block", (F.length("ids") / 8).cast("long").alias("size"))
+
+    def meet(state, at, strip, others):
+        assert all(b["size"] * 8 == len(b["ids"]) for b in others.blocks)
+        state[0] += len(strip.ids) * len(others.ids)
+
+    end = lambda state, own: pa.RecordBatch.from_arrays([pa.array(state), pa.array([len(own.ids)])], ["pairs", "n"])
+    met = vb.over_reach(index, 2.0, "pairs long, n long", lambda own: [0], meet, end, extra)
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.agg(F.sum("pairs"), F.sum("n"), F.count("*") > 4).first() == (700 * 700, 700, True)
