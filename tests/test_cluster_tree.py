@@ -1,11 +1,16 @@
 """The hierarchy of density clusters against a plain one that unites all pairs in order."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import cluster_tree as ct
 from reviewloom.operators import topics_cluster as tc
+from reviewloom.operators import vector_blocks as vb
+from reviewloom.operators.graph import components
+from reviewloom.session import shared_folder
 
 
 def vectors(spark, points, partitions=4):
@@ -142,3 +147,61 @@ def test_minimum_forest():
             part = [part[p] if c == part[q] else c for c in part]
     assert list(zip(v.tolist(), x.tolist(), y.tolist())) == expected
     assert [len(c) for c in ct.minimum_forest(a[:0], b[:0], w[:0])] == [0, 0, 0]
+
+
+def test_growing_links_are_the_minimum_forest():
+    """Links that come matrix by matrix, useless ones left out, against the forest of them all."""
+    rng = np.random.default_rng(11)
+    for places in (1, 3):  # many equal weights, few
+        links, every = ct.Links(), []
+        for _ in range(40):
+            x, y = np.sort(rng.choice(30, 6, False)), np.sort(30 + rng.choice(50, 9, False))
+            w = np.round(rng.random((6, 9)), places) + 0.1
+            i, j = np.nonzero(links.useful(w, x))
+            links.add(x[i], y[j], w[i, j])
+            if rng.random() < 0.4:
+                links.joined()
+            i, j = np.nonzero(w)
+            every.append((x[i], y[j], w[i, j]))
+        expected = ct.minimum_forest(*(np.concatenate(c) for c in zip(*every, strict=True)))
+        a, b, w = links.joined()
+        assert [c.tolist() for c in (a, b, w)] == [c.tolist() for c in expected]
+        direct = links.known(int(a[0]), np.array([b[0], 1000]), 9.0)
+        assert direct[0] == w[0] and direct[1] == 9.0
+
+
+def test_no_vector_in_reach_is_missed_by_half_the_digits():
+    rng = np.random.default_rng(12)
+    for dims in (2, 64, 400):
+        unit = rng.normal(size=(300, dims))
+        unit[150:] = unit[:150] + rng.normal(size=(150, dims)) * 1e-4
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        gap = ct._distances(unit, unit)
+        for most in (1e-6, 1e-4, *np.quantile(gap, [0.01, 0.3, 0.9])):
+            near = ct.in_reach(unit, unit, np.array(most))
+            assert near[gap <= most].all() and not near[gap > most + 0.02].any()
+
+
+def test_passes_of_the_hierarchy_shuffle_no_vectors(spark):
+    points = np.random.default_rng(13).normal(size=(400, 6))
+    rows = tc._directions(vectors(spark, points)).select(F.col("row_ix").alias("id"), F.lit(1).cast("long").alias("n"), "unit")
+    index = vb.build_index(rows, len(points), 32, 2.0, 64)
+    wanted = index.blocks.select(F.col("home").alias("want")).distinct()
+    cores = ct._core_distances(index, 2.0, 5, wanted, None)
+    assert "Exchange" not in cores._jdf.queryExecution().executedPlan().toString()
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    expected = np.sort(ct._distances(unit, unit), axis=1)[:, 4]
+    found = {r.id: r.core for r in cores.collect()}
+    assert np.allclose([found[i] for i in range(400)], expected, atol=1e-6)
+
+
+def test_few_edges_are_joined_in_one_task(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 60)], "a long, b long")
+    written, one, rounds = [], None, None
+    for limit in (100, 0):
+        before = set(os.listdir(shared_folder(spark)))
+        found = sorted(map(tuple, components(edges, one_task=limit).collect()))
+        one, rounds = rounds, found
+        written.append(len(set(os.listdir(shared_folder(spark))) - before))
+    assert one == rounds == sorted([(i, 0) for i in range(1, 31)] + [(41, 40), (50, 40)])
+    assert written[0] == 2 < written[1]
